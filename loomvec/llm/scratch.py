@@ -1,0 +1,38 @@
+"""Intermediate tables in the folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset (a local run), a folder of this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="loomvec-"))
+        atexit.register(_OWN[0].cleanup)
+    return f"file://{_OWN[0].name}"
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/loomvec/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: lineage ends here, and a lost executor costs no recomputation."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions for an explicit shuffle, as the session sets them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
