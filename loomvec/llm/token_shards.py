@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lexing import slices
-from .scratch import fresh, keep, width
+from ..plans.scratch import fresh, keep, width
 from .tokens import cache
 
 MAGIC = b"LVSST001"
