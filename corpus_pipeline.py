@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomvec.llm import decontamination, minhash_dedup, packing, quality, secret_scan
 from loomvec.llm.queries import vocabulary
-from loomvec.llm.scratch import keep
+from loomvec.plans.scratch import keep
 
 QUALITY_THRESHOLD = 0.7
 
