@@ -8,6 +8,7 @@ node with very many links is split by adaptive execution, never gathered whole.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,20 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = (state.n, state.s)
         now = keep(_star(_star(now, False), True), name)
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least row reachable by the links (a, b) among n rows, for each row: all links of one task as one edge a row."""
+    root = np.arange(n)
+    while len(a):
+        new = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = np.minimum(new, new[root])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from ..plans.scratch import keep
 
 LAST = 2**63 - 1
@@ -86,25 +86,6 @@ def linked_pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float,
     return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Least row reachable by the links, for each row."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        np.minimum.at(new, a, new[root[a]])
-        np.minimum.at(new, b, new[root[b]])
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int = 64, miss: float = 1e-6, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per vector: id_col, n_links, component_id, kept."""
     x = F.col(vector_col).cast("array<double>")
@@ -132,7 +113,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
         order = np.argsort(node, kind="stable")
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        root = node[order][_forest(place[a], place[b], n)][place]
+        root = node[order][forest(place[a], place[b], n)][place]
         out = links > 0
         return pa.table({"node": node[out], "links": links[out].astype(np.int64), "root": root[out]})
 

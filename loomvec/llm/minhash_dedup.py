@@ -12,8 +12,11 @@
    pass but for about one in ten million; survivors are confirmed on full sets.
 4. Connected nodes need no more links. Buckets whose members still lie in
    different components are compared member by member in blocks of bounded size
-   by sketches, and what passes is confirmed too, so that no link is lost when
-   similarity is not transitive.
+   by sketches; a block returns a spanning forest of its close pairs, and the
+   forests' components are clusters. Members of one cluster and different
+   components are compared exactly, again block by block, by a product of their
+   shingle incidence, and a block returns a spanning forest of its links. So no
+   link is lost when similarity is not transitive, and no pair list is built.
 
 The result is the smallest id reachable by links. With r rows in each of b
 bands, a pair of similarity s is missed with probability (1 - s^r)^b, under one
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .lexing import U, encode_signed, grams, mix, slices, split_words
 from ..plans.scratch import keep
 
@@ -39,6 +42,8 @@ LAST = 2**63 - 1
 SKETCH_BITS = 1024
 MEMBERS = 64
 BLOCK = 512
+TEXTS = 256
+COLUMNS = 1 << 14
 ITEM = "id long, n long, sid long, bands array<long>, sketch binary"
 
 
@@ -169,31 +174,79 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.groupBy("a", "salt").applyInArrow(compare, "a long, b long")
 
 
-def _across(members: DataFrame, bound: int, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components whose sketches are close, found block by block."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+def _dealt(members: DataFrame, key: str, size: int) -> DataFrame:
+    """Members of each key in blocks of about ``size``, once for each pair of blocks (i <= j) that their own takes part in."""
+    blocks = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "sid", "root", "n", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    dealt = members.join(blocks, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first and of the second block of a group."""
+    own = group.column("own").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    left = np.flatnonzero(own == i)
+    return left, left if i == j else np.flatnonzero(own == j)
+
+
+def _edges(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """A spanning forest of the pairs: at most one edge a row, however many pairs."""
+    root = forest(a, b, len(sid))
+    out = np.flatnonzero(root != np.arange(len(sid)))
+    return pa.table({"a": pa.array(sid[root[out]]), "b": pa.array(sid[out])})
+
+
+def _clusters(members: DataFrame, bound: int, percent: int) -> DataFrame:
+    """(a, b): a forest of each bucket's pairs that lie in different components and have close sketches."""
 
     def cross(group: pa.Table) -> pa.Table:
-        sid, root, n, own = (group.column(c).to_numpy() for c in ("sid", "root", "n", "own"))
+        sid, root, n = (group.column(c).to_numpy() for c in ("sid", "root", "n"))
         bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(sid), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
+        left, right = _sides(group)
         a, b = [], []
         for p in left.tolist():
-            fit = (root[right] != root[p]) & (np.minimum(n[right], n[p]) * 100 >= np.maximum(n[right], n[p]) * percent)
-            if i == j:
-                fit &= sid[right] > sid[p]
-            q = right[fit]
+            q = right[(root[right] != root[p]) & (np.minimum(n[right], n[p]) * 100 >= np.maximum(n[right], n[p]) * percent)]
             q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1) <= bound]
-            a += [min(sid[p], s) for s in sid[q]]
-            b += [max(sid[p], s) for s in sid[q]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a.append(np.full(len(q), p))
+            b.append(q)
+        return _edges(sid, np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)]))
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(cross, "a long, b long").distinct()
+    dealt = _dealt(members, "key", BLOCK).select("key", "i", "j", "own", "sid", "root", "n", "sketch")
+    return dealt.groupBy("key", "i", "j").applyInArrow(cross, "a long, b long")
+
+
+def _within(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the links between different components of one cluster, from exact intersections block by block."""
+
+    def exact(group: pa.Table) -> pa.Table:
+        sid, root = (group.column(c).to_numpy() for c in ("sid", "root"))
+        sets: list[np.ndarray] = []
+        for batch in group.select(["text"]).combine_chunks().to_batches():
+            for part in slices(batch, "text", 8 << 20):
+                sets += shingle_sets(part.column("text"), shingle)[0]
+        size = np.array([len(s) if set_id(s) == i else 0 for s, i in zip(sets, sid.tolist())])
+        left, right = _sides(group)
+        value, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1  # a shingle of one member alone is in no intersection
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        take = count[place] > 1
+        column, owner = shared[place[take]], owner[take]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for begin in range(0, int((count > 1).sum()), COLUMNS):
+            lo, hi = np.searchsorted(column, [begin, begin + COLUMNS])
+            table = np.zeros((len(sets), COLUMNS), np.float32)
+            table[owner[lo:hi], column[lo:hi] - begin] = 1
+            common += table[left] @ table[right].T
+        union = size[left][:, None] + size[right][None, :] - common
+        good = (100 * common >= percent * union) & (size[left] > 0)[:, None] & (size[right] > 0)[None, :] & (root[left][:, None] != root[right][None, :])
+        p, q = np.nonzero(good)
+        return _edges(sid, left[p], right[q])
+
+    dealt = _dealt(members, "cluster", TEXTS).join(texts, "sid").select("cluster", "i", "j", "own", "sid", "root", "text")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(exact, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,9 +271,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     placed = shared.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y and m > 2").select("key")
     members = placed.join(mixed, "key").join(nodes.select("sid", "n", "sketch"), "sid")
-    left = keep(_across(members, bound, percent).join(stars, ["a", "b"], "left_anti"), "left")
-    if not left.isEmpty():
-        links = links.unionByName(keep(_confirm(left, texts, shingle, percent), "links"))
+    clusters = keep(components(keep(_clusters(members, bound, percent), "clusters")), "clusters")
+    if not clusters.isEmpty():
+        inside = clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        links = links.unionByName(keep(_within(inside, texts, shingle, percent), "links"))
         roots = keep(components(links), "roots")
 
     rooted = nodes.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
