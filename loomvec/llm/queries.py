@@ -26,7 +26,7 @@ def vocabulary() -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"))
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +111,8 @@ fitted AS (
   FROM parsed JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) GROUP BY uid),
 judged AS MATERIALIZED (SELECT p.*, f.rule, f.verdict FROM parsed p LEFT JOIN fitted f USING (uid)),
 grams AS MATERIALIZED (
-  SELECT uid, verdict, substring(text, at, 3) AS gram
-  FROM (SELECT uid, verdict, text, unnest(generate_series(1, length(text) - 2)) AS at FROM judged)),
+  SELECT uid, verdict, substring(text, spot, 3) AS gram
+  FROM (SELECT uid, verdict, text, unnest(generate_series(1, length(text) - 2)) AS spot FROM judged)),
 tri AS (
   SELECT gram, gram[2:3] AS pair, gram[3:3] AS one, gram[1:2] AS ctx2, gram[2:2] AS ctx1,
     count(*) FILTER (verdict = 'allow') AS a3, count(*) FILTER (verdict = 'block') AS b3
@@ -136,8 +136,7 @@ scored AS MATERIALIZED (
 rated AS (SELECT j.*, coalesce(s.ratio, 0) AS r FROM judged j LEFT JOIN scored s USING (uid)),
 bound AS (SELECT (avg(r) FILTER (verdict = 'allow') + avg(r) FILTER (verdict = 'block')) / 2 AS bound FROM rated)
 SELECT page_id, host, path, rule,
-  coalesce(verdict, CASE WHEN coalesce(r >= bound, true) THEN 'allow' ELSE 'block' END) AS verdict,
-  CASE WHEN verdict IS NULL THEN r END AS ratio
+  coalesce(verdict, CASE WHEN coalesce(r >= bound, true) THEN 'allow' ELSE 'block' END) AS verdict
 FROM rated, bound"""
 
 
