@@ -15,7 +15,8 @@ windows are judged on the input.
    the windows under those keys. Only these windows are grouped, exactly: a
    grouped minimum with map-side combine, joined back to the windows.
 4. Windows that start in a document of smaller id come back to their document as
-   a list of hashes, bounded by its own length, and its words are marked.
+   a list of hashes, bounded by its own length, and its words are marked. Only
+   documents that may have such windows, by a bounded bitmap of ids, are shuffled.
 
 Null text has no words. Rows that repeat an id are one document to each other:
 they never remove each other's words, and each gets its own result row. Null ids
@@ -32,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import U, Words, encode_signed, grams, mix, sliding_min, slices, split_words
 from ..plans.scratch import keep
+from .idfilter import possible
+from .lexing import U, Words, encode_signed, grams, mix, sliding_min, slices, split_words
 
 LAST = 2**63 - 1
 SHARD_BYTES = 16 << 20
@@ -216,7 +218,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 8, depth:
     cell_count = min(CELLS, 1 << max(10, (4 * most).bit_length()))
     repeated = _repeated(keys, _sketches(keys, depth, cell_count), depth, cell_count)
     lists = keep(repeated.groupBy("id").agg(F.collect_set("key").alias("keys")), "repeated")
-    windows = keep(_windows(ready.join(lists, "id"), window, anchor), "windows")
+    flagged = ready.filter(possible(lists)(F.col("id"))).join(lists, "id")
+    windows = keep(_windows(flagged, window, anchor), "windows")
     least = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h", "least")
-    gone = windows.join(least, "h").filter("id > least").groupBy("id").agg(F.collect_set("h").alias("gone"))
-    return _cover(ready.join(gone, "id", "left"), window).withColumnRenamed("id", id_col)
+    gone = keep(windows.join(least, "h").filter("id > least").groupBy("id").agg(F.collect_set("h").alias("gone")), "gone")
+    maybe = F.coalesce(possible(gone)(F.col("id")), F.lit(False))
+    touched = ready.filter(maybe).join(gone, "id", "left")
+    whole = ready.filter(~maybe).withColumn("gone", F.lit(None).cast("array<long>"))
+    return _cover(touched.unionByName(whole), window).withColumnRenamed("id", id_col)
