@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import keep
 from .components import components, forest
+from .idfilter import possible
 from .lexing import U, encode_signed, grams, mix, slices, split_words
-from ..plans.scratch import keep
 
 LAST = 2**63 - 1
 SKETCH_BITS = 1024
@@ -263,8 +264,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     stars = keep(_pass_sketch(shared.filter("sid <> a").select("a", F.col("sid").alias("b")).distinct(), nodes, bound, percent), "stars")
 
     # texts of the nodes that a link could touch; a text is taken from the row of the least id and checked against the set's identity
-    touched = shared.select("sid").distinct().join(nodes.select("sid", "least"), "sid").withColumnRenamed("least", "id")
-    texts = keep(ready.join(touched, "id").select("sid", "text").dropDuplicates(["sid", "text"]), "texts")
+    touched = keep(shared.select("sid").distinct().join(nodes.select("sid", "least"), "sid").withColumnRenamed("least", "id"), "touched")
+    texts = keep(ready.filter(possible(touched)(F.col("id"))).join(touched, "id").select("sid", "text").dropDuplicates(["sid", "text"]), "texts")
     links = keep(_confirm(stars, texts, shingle, percent), "links")
     roots = keep(components(links), "roots")
 
