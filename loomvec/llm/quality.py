@@ -79,7 +79,11 @@ def _byte_offsets(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors of the shrunk covariances, log priors, and the logistic map of the margin."""
+    """Means, Cholesky factors of the shrunk covariances, log priors, and the logistic map of the margin.
+
+    Statistics of a short text say little: all but its length are drawn towards ``centre`` (the mean of class 1) as if ``damp``
+    words of the usual kind stood beside its own.
+    """
 
     mean: list[np.ndarray]
     factor: list[np.ndarray]
@@ -87,6 +91,12 @@ class Discriminant:
     slope: float = 1.0
     shift: float = 0.0
     constant: float | None = None
+    centre: np.ndarray | None = None
+    damp: float = 0.0
+
+    def drawn(self, x: np.ndarray) -> np.ndarray:
+        n = np.expm1(x[:, :1])
+        return np.hstack([x[:, :1], self.centre[1:] + (x[:, 1:] - self.centre[1:]) * (n / (n + self.damp))])
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0."""
@@ -99,7 +109,7 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * _squash(self.margin(x)) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * _squash(self.margin(self.drawn(x))) + self.shift, -40, 40)))
 
 
 def _squash(m: np.ndarray) -> np.ndarray:
@@ -107,9 +117,11 @@ def _squash(m: np.ndarray) -> np.ndarray:
     return np.sign(m) * np.log1p(np.abs(m))
 
 
-def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 1e-4) -> Discriminant:
+def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.2, ridge: float = 1e-4, damp: float = 40.0) -> Discriminant:
     if len(y) == 0 or y.min() == y.max() or min((y == 0).sum(), (y == 1).sum()) < 3:
         return Discriminant([], [], [], constant=float(y.mean()) if len(y) else 0.5)
+    model = Discriminant([], [], [], centre=x[y == 1].mean(axis=0), damp=damp)
+    x = model.drawn(x)
     scale = x.var(axis=0) + 1e-6
     mean, factor, prior = [], [], []
     for c in (0, 1):
@@ -119,18 +131,27 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 1e-4)
         mean.append(z.mean(axis=0))
         factor.append(np.linalg.cholesky(cov))
         prior.append(float(np.log(len(z) / len(y))))
-    model = Discriminant(mean, factor, prior)
+    model.mean, model.factor, model.prior = mean, factor, prior
     m = _squash(model.margin(x))
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a logistic regression on one variable, lightly held to (1, 0)
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -40, 40)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * m).sum() + (a - 1), (p - y).sum() + b])
-        h = np.array([[(w * m * m).sum() + 1, (w * m).sum()], [(w * m).sum(), w.sum() + 1]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-10:
+    design = np.column_stack([m, np.ones_like(m)])
+    home = np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * ((w - home) ** 2).sum())
+
+    w = home.copy()
+    for _ in range(100):  # Newton steps of a logistic regression on the margin, lightly held to (1, 0); a step is halved until it helps
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
+        slope = design.T @ (p - y) + (w - home)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.eye(2), slope)
+        size, now = 1.0, loss(w)
+        while loss(w - size * step) > now and size > 1e-9:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
+    a, b = w
     model.slope, model.shift = float(a), float(b)
     return model
 
