@@ -42,8 +42,8 @@ from .lexing import U, encode_signed, grams, mix, slices, split_words
 LAST = 2**63 - 1
 SKETCH_BITS = 1024
 MEMBERS = 64
-BLOCK = 512
-TEXTS = 256
+BLOCK = 4096
+TEXTS = 512
 COLUMNS = 1 << 14
 ITEM = "id long, n long, sid long, bands array<long>, sketch binary"
 
