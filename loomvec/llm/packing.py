@@ -100,7 +100,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
         if sum(fill[b] for b in under) > (len(under) - 1) * capacity:
             break
         changed = False
-        for source in under[: max(1, len(under) // 4)]:
+        for source in under[: max(16, len(under) // 4)]:
             for target in reversed(under):
                 if source == target or not fill[source] or fill[target] < fill[source] or fill[target] == capacity:
                     continue
