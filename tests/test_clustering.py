@@ -1,0 +1,211 @@
+"""Assignment, update, finalise and the Lloyd loop against NumPy, with the edge cases the tables lack."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomvec.functions.vectors import to_bfloat, to_half
+from loomvec.operators import assign as assign_module
+from loomvec.operators import kmeans as kmeans_module
+from loomvec.operators import measures
+from loomvec.operators.assign import assign, brute_force
+from loomvec.operators.kmeans import KMeans, kmeans, largest_move
+from loomvec.operators.update import accumulate, centroid_finalize, centroid_update
+from loomvec.sources.points import first_k, gaussian_points, random_rows
+
+POINTS = "batch_id int, point_id long, x array<double>"
+CENTROIDS = "batch_id int, k int, c array<double>"
+
+
+def frame(spark, x, batch=0):
+    return spark.createDataFrame([(batch, i, [float(v) for v in row]) for i, row in enumerate(x)], POINTS)
+
+
+def cents(spark, c, batch=0):
+    return spark.createDataFrame([(batch, i, [float(v) for v in row]) for i, row in enumerate(c)], CENTROIDS)
+
+
+def labels_of(df):
+    return [r.cluster_id for r in df.orderBy("batch_id", "point_id").collect()]
+
+
+def gold(x, c):
+    d = (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T
+    return np.where(d > 0, d, 0).argmin(1)
+
+
+@pytest.mark.parametrize("dims", [1, 7, 16, 31, 64, 257])
+@pytest.mark.parametrize("strategy", ["arrow", "expression"])
+def test_assign_matches_numpy(spark, dims, strategy):
+    rng = np.random.default_rng(dims)
+    x, c = rng.standard_normal((200, dims)), rng.standard_normal((9, dims))
+    assert labels_of(assign(frame(spark, x), cents(spark, c), strategy=strategy)) == gold(x, c).tolist()
+
+
+def test_brute_force_and_large_k(spark):
+    rng = np.random.default_rng(1)
+    x, c = rng.standard_normal((50, 8)), rng.standard_normal((130, 8))
+    pts, cs = frame(spark, x), cents(spark, c)
+    assert labels_of(assign(pts, cs)) == labels_of(brute_force(pts, cs)) == gold(x, c).tolist()
+
+
+def test_blocks_of_centroids_give_the_same_labels(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, c = rng.standard_normal((64, 4)), rng.standard_normal((40, 4))
+    c[20:] = c[:20]
+    whole = labels_of(assign(frame(spark, x), cents(spark, c), strategy="arrow"))
+    monkeypatch.setattr(assign_module, "BLOCK_BYTES", 7 * 48)
+    assert labels_of(assign(frame(spark, x), cents(spark, c), strategy="arrow")) == whole
+    assert max(whole) < 20
+
+
+@pytest.mark.parametrize("strategy", ["arrow", "expression"])
+def test_ties_go_to_the_lowest(spark, strategy):
+    rng = np.random.default_rng(3)
+    x, c = rng.standard_normal((100, 33)), rng.standard_normal((17, 33))
+    assert labels_of(assign(frame(spark, x), cents(spark, np.vstack([c, c])), strategy=strategy)) == gold(x, c).tolist()
+
+
+@pytest.mark.parametrize("strategy", ["arrow", "expression"])
+def test_nan_and_infinity(spark, strategy):
+    c = [[math.nan, 0.0], [1.0, 1.0], [math.inf, 0.0]]
+    pts = frame(spark, [[1.0, 1.0], [math.nan, 1.0]])
+    assert labels_of(assign(pts, cents(spark, c), clamp=False, strategy=strategy)) == [1, 0]
+    # clamped: a NaN distance counts as 0, so the NaN centroid attracts
+    assert labels_of(assign(pts, cents(spark, c), clamp=True, strategy=strategy)) == [0, 0]
+
+
+@pytest.mark.parametrize("x", [None, [1.0], [1.0, None], [1.0, 2.0, 3.0]])
+@pytest.mark.parametrize("strategy", ["arrow", "expression"])
+def test_broken_vectors_are_refused(spark, x, strategy):
+    pts = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, x)], POINTS)
+    with pytest.raises(Exception, match="not of length 2"):
+        assign(pts, cents(spark, [[0.0, 0.0]]), strategy=strategy, with_points=True).collect()
+    with pytest.raises(ValueError):
+        kmeans(pts, 1, 1, init=cents(spark, [[0.0, 0.0]]))
+
+
+def test_centroid_numbering_is_checked(spark):
+    bad = spark.createDataFrame([(0, 0, [1.0]), (0, 2, [2.0])], CENTROIDS)
+    with pytest.raises(ValueError):
+        assign(frame(spark, [[1.0]]), bad)
+
+
+def test_given_norms_are_used(spark):
+    cs = cents(spark, [[0.0], [0.0]]).withColumn("c_sq", F.when(F.col("k") == 0, 5.0).otherwise(1.0))
+    assert labels_of(assign(frame(spark, [[1.0]]), cs, clamp=False)) == [1]
+
+
+def test_update_guards_range_and_is_dense(spark):
+    pts = frame(spark, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    labels = spark.createDataFrame([(0, 0, -1), (0, 1, 1), (0, 2, 3)], "batch_id int, point_id long, cluster_id int")
+    got = {r.k: (list(r.sums), r.cnt) for r in centroid_update(pts, labels, 3, 2).collect()}
+    assert got == {0: ([0.0, 0.0], 0), 1: ([3.0, 4.0], 1), 2: ([0.0, 0.0], 0)}
+    twice = {r.k: (list(r.sums), r.cnt) for r in accumulate(*[centroid_update(pts, labels, 3, 2)] * 2).collect()}
+    assert twice[1] == ([6.0, 8.0], 2)
+    old = cents(spark, [[9.0, 9.0], [8.0, 8.0], [7.0, 7.0]])
+    new = {r.k: list(r.c) for r in centroid_finalize(centroid_update(pts, labels, 3, 2), old).collect()}
+    assert new == {0: [9.0, 9.0], 1: [3.0, 4.0], 2: [7.0, 7.0]}
+
+
+def lloyd(x, c, iters):
+    shifts = []
+    for _ in range(iters):
+        label = gold(x, c)
+        new = np.array([x[label == k].mean(0) if (label == k).any() else c[k] for k in range(len(c))])
+        shifts.append(np.sqrt(((new - c) ** 2).sum(1)).max())
+        c = new
+    return label, c, shifts
+
+
+@pytest.mark.parametrize("block", [32 << 20, 64])
+def test_kmeans_matches_numpy(spark, monkeypatch, block):
+    """Both with centroids held by the driver and with centroids in tables; the far centroid stays empty and is kept."""
+    monkeypatch.setattr(kmeans_module, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 5))
+    c = np.vstack([x[:4], [[99.0] * 5]])
+    label, want, shifts = lloyd(x, c, 4)
+    run = kmeans(frame(spark, x), 5, 4, init=cents(spark, c), verbose=True)
+    assert labels_of(run.labels) == label.tolist()
+    got = np.array([r.c for r in run.centroids.orderBy("k").collect()])
+    assert np.allclose(got, want, atol=1e-12) and (got[4] == 99.0).all()
+    assert run.n_iters == 4 and np.allclose(run.shifts, shifts)
+
+
+def test_tolerance_stops_and_keeps_the_last_centroids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 3))
+    *_, shifts = lloyd(x, x[:4], 6)
+    tol = (shifts[2] + shifts[1]) / 2
+    run = kmeans(frame(spark, x), 4, 6, tol=tol, init=cents(spark, x[:4]))
+    stop = next(i + 1 for i, s in enumerate(shifts) if s < tol)
+    assert run.n_iters == stop
+    assert np.allclose(np.array([r.c for r in run.centroids.orderBy("k").collect()]), lloyd(x, x[:4], stop)[1])
+
+
+def test_no_iterations_give_null_labels(spark):
+    run = kmeans(frame(spark, [[1.0], [2.0]]), 1, 0, init=cents(spark, [[0.0]]))
+    assert run.n_iters == 0 and labels_of(run.labels) == [None, None]
+    assert [list(r.c) for r in run.centroids.collect()] == [[0.0]]
+
+
+def test_batches_stop_together(spark):
+    """One batch has settled at once; the run goes on until both have."""
+    still, moving = [[0.0], [10.0]], [[0.0], [1.0], [2.0], [9.0], [10.0], [30.0]]
+    pts = frame(spark, still).unionByName(frame(spark, moving, 1))
+    init = cents(spark, still).unionByName(cents(spark, [[0.0], [1.0]], 1))
+    run = kmeans(pts, 2, 20, tol=1e-9, init=init)
+    assert run.n_iters == len(lloyd(np.array(moving), np.array([[0.0], [1.0]]), 20)[2]) - sum(s < 1e-9 for s in lloyd(np.array(moving), np.array([[0.0], [1.0]]), 20)[2]) + 1
+    assert largest_move(run.centroids, run.centroids) == 0.0
+
+
+def test_random_init_is_seeded_and_draws_points(spark):
+    pts = gaussian_points(spark, 2, 50, 3, 1)
+    one, two = (sorted((r.batch_id, r.k, tuple(r.c)) for r in random_rows(pts, 5, 9).collect()) for _ in range(2))
+    assert one == two and len(one) == 10
+    have = {(r.batch_id, tuple(r.x)) for r in pts.collect()}
+    assert {(b, c) for b, _, c in one} <= have
+    assert kmeans(pts, 5, 2, seed=9).n_iters == 2
+
+
+def test_determinism_and_estimator(spark):
+    pts = gaussian_points(spark, 1, 300, 8, 2)
+    model = KMeans(4, 3).fit(pts, first_k(pts, 4))
+    assert labels_of(model.predict(pts)) == labels_of(model.predict(pts.repartition(7)))
+    with pytest.raises(ValueError):
+        KMeans(2).predict(pts)
+
+
+def test_measures(spark):
+    pts, cs = frame(spark, [[0.0], [1.0], [4.0]]), cents(spark, [[0.0], [4.0], [50.0]])
+    labels = assign(pts, cs)
+    assert measures.inertia(pts, labels, cs).first().inertia == 1.0
+    assert measures.empty_clusters(labels, 3).first().n_empty == 1
+    assert measures.sampled_inertia(pts, cs, sample=3).first().inertia == 1.0
+    assert measures.label_disagreement(labels, labels).first().disagreement == 0.0
+    assert measures.flops(1, 2, 3, 4, 5) == 240
+    assert spark.range(1).select(measures.relative_delta(F.lit(1.0), F.lit(0.0)).alias("d")).first().d is None
+
+
+def test_half_formats():
+    x = np.array([1.0, 1.0 + 2**-12, 3.14159, np.nan])
+    assert to_half(x)[1] == 1.0 and abs(to_half(x)[2] - 3.140625) < 1e-12
+    assert to_bfloat(x)[1] == 1.0 and to_bfloat(x)[2] == 3.140625 and np.isnan(to_bfloat(x)[3])
+    assert to_bfloat(np.array([1.0 + 2**-8]))[0] == 1.0 and to_bfloat(np.array([1.0 + 3 * 2**-8]))[0] == 1.0 + 2**-6
+
+
+def test_stream_of_points(spark, tmp_path):
+    from loomvec.streaming.assign import assign_stream, write_labels
+
+    x = np.random.default_rng(8).standard_normal((40, 3))
+    pts = frame(spark, x)
+    pts.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(pts.schema).parquet(str(tmp_path / "in"))
+    query = write_labels(assign_stream(stream, cents(spark, x[:5])), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination(120)
+    assert labels_of(spark.read.parquet(str(tmp_path / "out"))) == gold(x, x[:5]).tolist()
