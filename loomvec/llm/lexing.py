@@ -141,7 +141,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes, so that memory stays bounded."""
     if not batch.num_rows:
         return
