@@ -4,6 +4,7 @@ Each round groups links by one end and hooks them to the smallest neighbour, so
 the number of rounds grows with the logarithm of the longest path. Minima are
 taken by a grouped aggregate with map-side combine and joined back, so that a
 node with very many links is split by adaptive execution, never gathered whole.
+The link table should be a kept one: the first round reads it more than once.
 """
 
 from __future__ import annotations
@@ -24,19 +25,19 @@ def _star(links: DataFrame, smaller: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links to (node, root): the smallest node of its component, for every node that has a link."""
-    now = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
+    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     before = None
     while True:
+        now = keep(_star(_star(now, False), True).distinct(), name)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (state.n, state.s) == before or not state.n:
             break
         before = (state.n, state.s)
-        now = keep(_star(_star(now, False), True), name)
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

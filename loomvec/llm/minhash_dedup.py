@@ -218,7 +218,7 @@ def _clusters(members: DataFrame, bound: int, percent: int) -> DataFrame:
 
 
 def _within(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): a forest of the links between different components of one cluster, from exact intersections block by block."""
+    """(a, b): a forest of the components that links within one cluster join, from exact intersections block by block."""
 
     def exact(group: pa.Table) -> pa.Table:
         sid, root = (group.column(c).to_numpy() for c in ("sid", "root"))
@@ -244,7 +244,8 @@ def _within(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
         union = size[left][:, None] + size[right][None, :] - common
         good = (100 * common >= percent * union) & (size[left] > 0)[:, None] & (size[right] > 0)[None, :] & (root[left][:, None] != root[right][None, :])
         p, q = np.nonzero(good)
-        return _edges(sid, left[p], right[q])
+        name, place = np.unique(root, return_inverse=True)
+        return _edges(name, place[left[p]], place[right[q]])
 
     dealt = _dealt(members, "cluster", TEXTS).join(texts, "sid").select("cluster", "i", "j", "own", "sid", "root", "text")
     return dealt.groupBy("cluster", "i", "j").applyInArrow(exact, "a long, b long")
@@ -273,12 +274,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y and m > 2").select("key")
     members = placed.join(mixed, "key").join(nodes.select("sid", "n", "sketch"), "sid")
     clusters = keep(components(keep(_clusters(members, bound, percent), "clusters")), "clusters")
+    rooted = nodes.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     if not clusters.isEmpty():
         inside = clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        links = links.unionByName(keep(_within(inside, texts, shingle, percent), "links"))
-        roots = keep(components(links), "roots")
+        joins = keep(_within(inside, texts, shingle, percent), "joins")
+        if not joins.isEmpty():
+            tops = keep(components(joins), "tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
+            rooted = rooted.join(tops, "root", "left").select("sid", "least", F.coalesce("top", "root").alias("root"))
 
-    rooted = nodes.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     found = rooted.join(smallest, "root").select("sid", "component")
     out = items.select("id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(found, "sid", "left")
