@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomvec.llm import decontamination, minhash_dedup, packing, quality, secret_scan
 from loomvec.llm.queries import vocabulary
+from loomvec.plans.runtime import ship
 from loomvec.plans.scratch import keep
 
 QUALITY_THRESHOLD = 0.7
@@ -24,6 +25,7 @@ QUALITY_THRESHOLD = 0.7
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    ship(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, score_col="loomvec_score")
     return scored.filter(F.col("loomvec_score") >= QUALITY_THRESHOLD).select(docs.columns)
@@ -34,6 +36,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat a kept id, the first by text stays. Documents without an id are kept if their group has no id at all.
     """
+    ship(spark)
     found = minhash_dedup.near_duplicates(docs)
     kept = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("loomvec_rows"))
     out = docs.join(kept, "doc_id")
@@ -45,17 +48,20 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    ship(spark)
     found = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hits_col="loomvec_hits")
     return found.filter(F.size("loomvec_hits") == 0).select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret masked and n_chars counted anew."""
+    ship(spark)
     return secret_scan.redact(docs, length_col="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into sequences."""
+    ship(spark)
     return packing.pack_documents(docs, vocabulary())
 
 
