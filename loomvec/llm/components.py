@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
+from .skew import join_back
 
 
 def _star(links: DataFrame, smaller: bool) -> DataFrame:
     """Links (u, v) to (v, least neighbour of u); only neighbours below u count if ``smaller``."""
     both = links if smaller else links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = join_back(both, least, "u")
     if smaller:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:

@@ -38,6 +38,7 @@ from ..plans.scratch import keep
 from .components import components, forest
 from .idfilter import possible
 from .lexing import U, encode_signed, grams, mix, slices, split_words
+from .skew import join_back
 
 LAST = 2**63 - 1
 SKETCH_BITS = 1024
@@ -150,7 +151,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     Pairs are dealt by their first member and a salt, about MEMBERS pairs to a group, so that one text meets many in bounded groups.
     """
     wide = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    dealt = pairs.join(wide, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MEMBERS)).alias("salt"))
+    dealt = join_back(pairs, wide, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MEMBERS)).alias("salt"))
     centres = dealt.select("a", F.col("a").alias("sid"), "salt").distinct()
     rows = dealt.select("a", F.col("b").alias("sid"), "salt").unionByName(centres).join(texts, "sid")
 
@@ -179,7 +180,7 @@ def _dealt(members: DataFrame, key: str, size: int) -> DataFrame:
     """Members of each key in blocks of about ``size``, once for each pair of blocks (i <= j) that their own takes part in."""
     blocks = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = join_back(members, blocks, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
 
 
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     buckets = nodes.select("sid", F.explode("bands").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min("sid").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = keep(buckets.join(pivots, "key"), "buckets")
+    shared = keep(join_back(buckets, pivots, "key"), "buckets")
     stars = keep(_pass_sketch(shared.filter("sid <> a").select("a", F.col("sid").alias("b")).distinct(), nodes, bound, percent), "stars")
 
     # texts of the nodes that a link could touch; a text is taken from the row of the least id and checked against the set's identity
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     placed = shared.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y and m > 2").select("key")
-    members = placed.join(mixed, "key").join(nodes.select("sid", "n", "sketch"), "sid")
+    members = join_back(placed, mixed, "key").join(nodes.select("sid", "n", "sketch"), "sid")
     clusters = keep(components(keep(_clusters(members, bound, percent), "clusters")), "clusters")
     rooted = nodes.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     if not clusters.isEmpty():
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             rooted = rooted.join(tops, "root", "left").select("sid", "least", F.coalesce("top", "root").alias("root"))
 
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    found = rooted.join(smallest, "root").select("sid", "component")
+    found = join_back(rooted, smallest, "root").select("sid", "component")
     out = items.select("id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(found, "sid", "left")
     component = F.coalesce("component", "id")
     plain = lambda c: F.when(c < LAST, c)
