@@ -12,7 +12,6 @@ benchmark item or secret, and packs as one end id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomvec.llm import decontamination, minhash_dedup, packing, quality, secret_scan
@@ -32,18 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that of least id.
+    """One row of each group of near copies (five-word shingles, similarity 0.8): that of least id, null ids last.
 
-    Of rows that repeat a kept id, the first by text stays. Documents without an id are kept if their group has no id at all.
+    Rows are judged each by its own text, also those that share an id or have none. Rows without a word link with nothing and all stay.
     """
     ship(spark)
-    found = minhash_dedup.near_duplicates(docs)
-    kept = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("loomvec_rows"))
-    out = docs.join(kept, "doc_id")
-    first = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    repeated = out.filter("loomvec_rows > 1").withColumn("loomvec_first", F.row_number().over(first)).filter("loomvec_first = 1")
-    nameless = docs.filter("doc_id is null and trim(coalesce(text, '')) = ''")
-    return out.filter("loomvec_rows = 1").select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(nameless)
+    return minhash_dedup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

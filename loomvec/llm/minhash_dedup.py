@@ -23,6 +23,9 @@ bands, a pair of similarity s is missed with probability (1 - s^r)^b, under one
 in a million at 0.8 for the defaults. Null and empty texts have the empty set
 and link with nothing. Rows that repeat an id keep one row each in the result.
 Null ids count as larger than all others.
+
+``one_of_each`` decides by row, not by id: a row is named by its id and a hash
+of its text, so null and repeated ids are rows like any other.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
@@ -46,7 +49,7 @@ MEMBERS = 64
 BLOCK = 4096
 TEXTS = 512
 COLUMNS = 1 << 14
-ITEM = "id long, n long, sid long, bands array<long>, sketch binary"
+ITEM = "id long, key long, n long, sid long, bands array<long>, sketch binary"
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -125,7 +128,7 @@ def _items(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 keys = encode_signed(signer.keys(samples))
                 sketches = signer.sketches(samples)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), listed, pa.array([s.tobytes() for s in sketches], pa.binary())], names=["id", "n", "sid", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), listed, pa.array([s.tobytes() for s in sketches], pa.binary())], names=["id", "key", "n", "sid", "bands", "sketch"])
 
     return docs.mapInArrow(build, ITEM)
 
@@ -252,12 +255,18 @@ def _within(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return dealt.groupBy("cluster", "i", "j").applyInArrow(exact, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id_col, n_shingles, component_id, kept."""
-    ready = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _row_name(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The id, nulls last, and a hash of the text: rows of one name hold one text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, sid) of each row, and (sid, least, key, root) of each set that is not empty: its least row's name and its group."""
+    name, key = _row_name(id_col, text_col)
+    ready = docs.select(name.alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
     items = keep(_items(ready, shingle, bands, rows), "minhash")
     full = items.filter("n > 0")
-    nodes = keep(full.groupBy("sid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = keep(full.groupBy("sid").agg(F.min(F.struct("id", "key")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("sid", F.col("row.id").alias("least"), F.col("row.key").alias("key"), "n", "bands", "sketch"), "nodes")
     bound = Signer(bands, rows).bound(percent / 100)
 
     buckets = nodes.select("sid", F.explode("bands").alias("key"))
@@ -267,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     # texts of the nodes that a link could touch; a text is taken from the row of the least id and checked against the set's identity
     touched = keep(shared.select("sid").distinct().join(nodes.select("sid", "least"), "sid").withColumnRenamed("least", "id"), "touched")
-    texts = keep(ready.filter(possible(touched)(F.col("id"))).join(touched, "id").select("sid", "text").dropDuplicates(["sid", "text"]), "texts")
+    texts = keep(ready.filter(possible(touched)(F.col("id"))).select("id", "text").join(touched, "id").select("sid", "text").dropDuplicates(["sid", "text"]), "texts")
     links = keep(_confirm(stars, texts, shingle, percent), "links")
     roots = keep(components(links), "roots")
 
@@ -275,17 +284,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y and m > 2").select("key")
     members = join_back(placed, mixed, "key").join(nodes.select("sid", "n", "sketch"), "sid")
     clusters = keep(components(keep(_clusters(members, bound, percent), "clusters")), "clusters")
-    rooted = nodes.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = nodes.select("sid", "least", "key").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     if not clusters.isEmpty():
         inside = clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         joins = keep(_within(inside, texts, shingle, percent), "joins")
         if not joins.isEmpty():
             tops = keep(components(joins), "tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
-            rooted = rooted.join(tops, "root", "left").select("sid", "least", F.coalesce("top", "root").alias("root"))
+            rooted = rooted.join(tops, "root", "left").select("sid", "least", "key", F.coalesce("top", "root").alias("root"))
+    return items, rooted
 
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id_col, n_shingles, component_id, kept."""
+    items, rooted = _groups(docs, shingle, percent, bands, rows, id_col, text_col)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     found = join_back(rooted, smallest, "root").select("sid", "component")
     out = items.select("id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(found, "sid", "left")
     component = F.coalesce("component", "id")
     plain = lambda c: F.when(c < LAST, c)
     return out.select(plain(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), plain(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``: exactly one of each group, that of least id and then of least text hash, and every row without a word."""
+    items, rooted = _groups(docs, shingle, percent, bands, rows, id_col, text_col)
+    least = rooted.groupBy("root").agg(F.min(F.struct("least", "key")).alias("row"))
+    repeated = items.filter("n > 0").groupBy("id", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    named = least.select(F.col("row.least").alias("id"), F.col("row.key").alias("key")).join(repeated, ["id", "key"], "left")
+    chosen = keep(named.select(F.col("id").alias("loomvec_id"), F.col("key").alias("loomvec_key"), F.coalesce("m", F.lit(1)).alias("loomvec_rows")), "chosen")
+
+    name, key = _row_name(id_col, text_col)
+    ready = docs.withColumns({"loomvec_id": name, "loomvec_key": key})
+    on = ["loomvec_id", "loomvec_key"]
+    wordless = docs.filter(~F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    out = ready.join(chosen.filter("loomvec_rows = 1"), on).select(docs.columns).unionByName(wordless)
+    many = chosen.filter("loomvec_rows > 1")
+    if many.isEmpty():
+        return out
+    # rows of one name hold one text: any of them stays
+    image = many.select(F.xxhash64(*on).alias("id"))
+    copies = ready.filter(possible(image)(F.xxhash64(*on))).join(many, on).groupBy(*on).agg(F.first(F.struct(*docs.columns)).alias("loomvec_row"))
+    return out.unionByName(copies.select("loomvec_row.*"))

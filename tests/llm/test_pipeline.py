@@ -45,3 +45,22 @@ def test_pipeline(spark, docs, odd_rows, tmp_path):
     assert kept[3] == kept[2] and "[SECRET]" in seen[3].filter("doc_id = 801").first().text
     assert kept[4] == kept[3]
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect(), key=repr) == sorted(now.select("doc_id", "piece", "ids_crc32").collect(), key=repr)
+
+
+def test_dedup_keeps_one_row_of_each_group_whatever_its_id(spark, docs, odd_rows):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"word{rng.randrange(10**6)}" for _ in range(n))
+    text = {c: prose(80) for c in "abcdef"}
+    near = {c: t + " end" for c, t in text.items()}
+    rows = odd_rows + [(None, text["a"]), (None, text["b"]), (None, near["b"]), (None, text["b"])]  # nameless: one clean, one group of three
+    rows += [(20, text["c"]), (None, near["c"]), (21, text["d"]), (21, near["c"])]  # near copies of 20 beside a clean text of 21
+    rows += [(22, text["e"]), (22, near["e"]), (22, text["e"]), (23, text["f"]), (23, text["f"])]
+    rows += [(2, ""), (None, None), (None, " \n")]
+    got = corpus_pipeline.dedup_stage(spark, docs(rows), "").select("doc_id", "text").collect()
+    kept = {(r.doc_id, r.text) for r in got}
+    assert {(None, "no id at all"), (None, text["a"]), (9, "Ünïcode — 漢字 text"), (9, "other text of one id"), (20, text["c"]), (21, text["d"]), (7, "Same text here again"), (5, "One")} <= kept
+    assert not kept & {(None, near["c"]), (21, near["c"]), (8, "Same text here again"), (6, "one")}
+    words = [r for r in got if (r.text or "").strip()]
+    assert sorted(c for c in text for r in words if r.text in (text[c], near[c])) == list("abcdef")
+    assert len(words) == len({r for r in kept if (r[1] or "").strip()}) == 6 + 6
+    assert sum(not (t or "").strip() for _, t in rows) == len(got) - len(words)
