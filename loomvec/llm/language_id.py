@@ -16,6 +16,12 @@ meet the tables by joins that adaptive execution may split or broadcast.
 Null pages and texts give no text evidence, null URLs an empty host, missing
 declarations an empty one. Without training documents the result is empty of
 languages: ``lang`` is null. Repeated pages get a row each.
+
+Every language with training documents is modelled. Trigram counts stay in a
+shared table; pages meet them LANGUAGES languages at a time, each block's
+log-likelihoods appended to the kept ones of the blocks before. Soft counts are
+kept sparse, so that a key costs as much as the languages seen under it. A page
+holds one number a language, and the driver the languages' names and shares.
 """
 
 from __future__ import annotations
@@ -26,12 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
 from .lexing import slices, text_bytes
 
 BUCKETS = 1 << 14
+LANGUAGES = 64
+CELLS = 1 << 20
 _DROP = re.compile(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _DECLARED = r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})"
 
@@ -49,102 +58,147 @@ def trigram_counts(column: pa.Array) -> np.ndarray:
     return np.bincount(row[:-2][inside] * BUCKETS + code[inside], minlength=rows * BUCKETS).reshape(rows, BUCKETS)
 
 
-def train_text(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log trigram shares (languages x BUCKETS), from at most ``sample`` documents of each."""
-    named = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    langs = sorted(r[0] for r in named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect())
-    ids = None
-    for lang in langs:
-        one = named.filter(F.col(lang_col) == lang).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("id"), "id").limit(sample)
-        ids = one if ids is None else ids.unionByName(one)
-    if ids is None:
-        return [], np.zeros((0, BUCKETS))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")
+def train_text(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
+    """All languages, sorted, and a table (lang, at, n) of their trigram counts from at most ``sample`` documents of each."""
+    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and id is not null").distinct()
+    sizes = keep(named.groupBy("lang").agg(F.count(F.lit(1)).alias("m")), "languages")
+    langs = sorted(sizes.select("lang").toArrow().column("lang").to_pylist())
+    # the least hashes of a large language lie in a share of the range that holds about twice as many rows: only they are ranked
+    share = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64
+    low = named.join(sizes, "lang").filter(share * F.col("m") <= 2 * sample + 1000).withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    ids = keep(low.filter(F.col("place") <= sample).select("id", "lang"), "sample")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(ids, ["id", "lang"])
+
+    def rows(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "at", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), BUCKETS), np.int64)
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                which = np.array([langs.index(v) for v in part.column("lang").to_pylist()], np.int64)
                 for at in range(0, part.num_rows, 64):
-                    np.add.at(total, which[at : at + 64], trigram_counts(part.column("text").slice(at, 64)).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(list(total), pa.list_(pa.int64()))], names=["lang", "counts"])
-
-    # one row of fixed size for each task and language, added up by position
-    parts = chosen.mapInArrow(count, "lang string, counts array<bigint>")
-    rows = parts.select("lang", F.posexplode("counts").alias("at", "n")).filter("n > 0").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+                    few = part.slice(at, 64)
+                    for lang, n in zip(few.column("lang").to_pylist(), trigram_counts(few.column("text"))):
+                        total[lang] = total.get(lang, 0) + n.astype(np.int64)
+                    if len(total) > LANGUAGES:
+                        yield from rows(total)
+                        total = {}
+        yield from rows(total)
+
+    parts = chosen.mapInArrow(count, "lang string, at int, n long")
+    return langs, keep(parts.groupBy("lang", "at").agg(F.sum("n").alias("n")), "trigrams")
+
+
+def text_table(langs: list[str], trigrams: DataFrame) -> np.ndarray:
+    """Log trigram shares (languages x BUCKETS) of one block of languages."""
+    rows = trigrams.filter(F.col("lang").isin(langs)).toArrow()
+    place = {lang: i for i, lang in enumerate(langs)}
     total = np.full((len(langs), BUCKETS), 0.5)
-    for r in rows:
-        total[langs.index(r.lang), r["at"]] += r.n
-    return langs, np.log(total / total.sum(axis=1, keepdims=True))
+    total[np.array([place[v] for v in rows.column("lang").to_pylist()], np.int64), rows.column("at").to_numpy()] += rows.column("n").to_numpy()
+    return np.log(total / total.sum(axis=1, keepdims=True))
 
 
 def page_text(html: str) -> str:
     return _DROP.sub(" ", html)
 
 
-def _read_pages(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Per page: id, host, suffix, domain, declared, and the text's tempered log-likelihoods."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#:]*)", 1))
-    ready = pages.select(F.col(id_col).alias("id"), host.alias("host"), F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), _DECLARED, 1)).alias("declared"), F.col(html_col).cast("string").alias("text"))
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return shares / shares.sum(axis=1, keepdims=True)
+
+
+def _weigh(table: np.ndarray, last: bool):
+    """A kernel that appends the block's log-likelihoods to ``text_log``; the last block's turns the text into sparse posteriors."""
+
+    def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+        return pa.array(rows, pa.list_(kind))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = pa.array([page_text(t) if t else "" for t in part.column("text").to_pylist()], pa.large_string())
-                got = []
                 for at in range(0, part.num_rows, 64):
-                    n = trigram_counts(texts.slice(at, 64))
+                    few = part.slice(at, 64)
+                    texts = pa.array([page_text(t) if t else "" for t in few.column("text").to_pylist()], pa.large_string())
+                    n = trigram_counts(texts)
                     size = n.sum(axis=1, keepdims=True)
                     # neighbouring trigrams are not independent: the evidence of a text grows with the root of its length
-                    got.append(n @ table.T / np.sqrt(np.maximum(size, 1)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "host", "declared")), pa.array(list(np.concatenate(got)), pa.list_(pa.float64()))], names=["id", "host", "declared", "text_log"])
+                    new = n @ table.T / np.sqrt(np.maximum(size, 1))
+                    logs = np.hstack([np.array(few.column("text_log").to_pylist(), np.float64).reshape(few.num_rows, -1), new])
+                    kept = [few.column(c) for c in ("id", "host", "declared")] + [lists(list(logs), pa.float64())]
+                    if not last:
+                        yield pa.RecordBatch.from_arrays([*kept, few.column("text")], names=["id", "host", "declared", "text_log", "text"])
+                        continue
+                    parts = np.floor(_softmax(logs) * 1_000_000 + 0.5).astype(np.int64)
+                    seen = [np.flatnonzero(p) for p in parts]
+                    yield pa.RecordBatch.from_arrays([*kept, lists(seen, pa.int32()), lists([p[i] for p, i in zip(parts, seen)], pa.int64())], names=["id", "host", "declared", "text_log", "at", "part"])
 
-    kind = dict(ready.dtypes)["id"]
-    read = ready.mapInArrow(weigh, f"id {kind}, host string, declared string, text_log array<double>")
+    return weigh
+
+
+def _read_pages(pages: DataFrame, langs: list[str], trigrams: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """Per page: id, host, suffix, domain, declared, the text's tempered log-likelihoods, and its posteriors in millionths (at, part)."""
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#:]*)", 1))
+    read = pages.select(F.col(id_col).alias("id"), host.alias("host"), F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), _DECLARED, 1)).alias("declared"), F.col(html_col).cast("string").alias("text"))
+    read = read.withColumn("text_log", F.array().cast("array<double>"))
+    kind = f"id {dict(read.dtypes)['id']}, host string, declared string, text_log array<double>"
+    for begin in range(0, len(langs), LANGUAGES):
+        last = begin + LANGUAGES >= len(langs)
+        weigh = _weigh(text_table(langs[begin : begin + LANGUAGES], trigrams), last)
+        read = read.mapInArrow(weigh, f"{kind}, at array<int>, part array<bigint>" if last else f"{kind}, text string")
+        if not last:
+            read = keep(read, "blocks")
     parent = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     return read.withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1)).withColumn("domain", F.when(parent == "", F.col("host")).otherwise(parent))
 
 
-def _normal(logs):
-    """Posterior of an array of logs."""
-    top = F.array_max(logs)
-    shares = F.transform(logs, lambda v: F.exp(v - top))
-    return F.transform(shares, lambda v: v / F.aggregate(shares, F.lit(0.0), lambda s, w: s + w))
+def _soft_counts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Sums of text posteriors in millionths for each key, as a list of (at, n)."""
+    each = df.select(*keys, F.explode(F.arrays_zip("at", "part")).alias("e")).groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.part").alias("n"))
+    return each.groupBy(*keys).agg(F.collect_list(F.struct("at", "n")).alias(name))
 
 
-def _soft_counts(df: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
-    """Sums of text posteriors for each key, as an array."""
-    sums = [F.sum(F.round(F.col("post")[i] * 1_000_000).cast("long")).alias(f"s{i}") for i in range(n)]
-    return df.groupBy(*keys).agg(*sums).select(*keys, F.transform(F.array(*(f"s{i}" for i in range(n))), lambda v: v / 1_000_000).alias(name))
+def _fuse(langs: list[str], everything: np.ndarray, strength: float):
+    """A kernel that adds up the four kinds of evidence and names the best language."""
+    share = (everything + 1) / (everything.sum() + len(langs))
+
+    def dense(column: pa.Array) -> np.ndarray:
+        out = np.zeros((len(column), len(langs)))
+        pairs = column.flatten()
+        row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+        out[row, pairs.field("at").to_numpy()] = pairs.field("n").to_numpy() / 1_000_000
+        return out
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // len(langs))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                few = batch.slice(at, step)
+                text = few.column("text_log").flatten().to_numpy().reshape(few.num_rows, -1)
+                mark, end, host, upper = (dense(few.column(c)) for c in ("mark_n", "end_n", "host_n", "domain_n"))
+                upper = (upper + strength * share) / (upper.sum(axis=1, keepdims=True) + strength)
+                host = np.log((host + strength * upper) / (host.sum(axis=1, keepdims=True) + strength))
+                post = _softmax(text + np.log((mark + 0.5) / (everything + 5)) + np.log((end + 0.5) / (everything + 5)) + host)
+                best = [pa.array([langs[i] for i in p.argmax(axis=1).tolist()], pa.string()) for p in (_softmax(text), post)]
+                yield pa.RecordBatch.from_arrays([*(few.column(c) for c in ("id", "host", "declared", "suffix")), *best, pa.array(post.max(axis=1))], names=["id", "host", "declared", "suffix", "text_lang", "lang", "probability"])
+
+    return fuse
 
 
 def identify(pages: DataFrame, docs: DataFrame, sample: int = 1500, strength: float = 4.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id_col, host, declared, suffix, text_lang, lang, probability."""
-    langs, table = train_text(docs, sample)
-    n = len(langs)
-    if not n:
+    langs, trigrams = train_text(docs, sample)
+    if not langs:
         return pages.select(F.col(id_col), *(F.lit(None).cast("string").alias(c) for c in ("host", "declared", "suffix", "text_lang", "lang")), F.lit(None).cast("double").alias("probability"))
-    read = keep(_read_pages(pages, langs, table, id_col, url_col, html_col).withColumn("post", _normal(F.col("text_log"))), "pages")
-    everything = _soft_counts(read, [], n, "all_n")
-    domains = _soft_counts(read, ["domain"], n, "domain_n")
-    hosts = _soft_counts(read, ["host", "domain"], n, "host_n")
-    marks = _soft_counts(read, ["declared"], n, "mark_n")
-    ends = _soft_counts(read, ["suffix"], n, "end_n")
-
-    def total(counts):
-        return F.aggregate(counts, F.lit(0.0), lambda s, v: s + v)
-
-    share = F.transform("all_n", lambda v: (v + 1.0) / (total(F.col("all_n")) + n))
-    prior_domain = F.zip_with("domain_n", share, lambda v, p: (v + strength * p) / (total(F.col("domain_n")) + strength))
-    priors = hosts.join(domains, "domain").join(F.broadcast(everything))
-    priors = priors.withColumn("upper", prior_domain)
-    priors = priors.select("host", F.zip_with("host_n", "upper", lambda v, p: F.log((v + strength * p) / (total(F.col("host_n")) + strength))).alias("host_log"))
-    likely = lambda df, key, counts, name: df.join(F.broadcast(everything)).select(key, F.zip_with(counts, "all_n", lambda v, a: F.log((v + 0.5) / (a + 5.0))).alias(name))
-    joined = read.join(likely(marks, "declared", "mark_n", "mark_log"), "declared").join(likely(ends, "suffix", "end_n", "end_log"), "suffix").join(priors, "host")
-    logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("text_log")[i] + F.col("mark_log")[i] + F.col("end_log")[i] + F.col("host_log")[i])
-    named = F.array(*(F.lit(v) for v in langs))
-    best = lambda c: F.element_at(named, F.array_position(F.col(c), F.array_max(c)).cast("int"))
-    out = joined.withColumn("fused", _normal(logs))
-    return out.select(F.col("id").alias(id_col), "host", "declared", "suffix", best("post").alias("text_lang"), best("fused").alias("lang"), F.round(F.array_max("fused"), 6).alias("probability"))
+    read = keep(_read_pages(pages, langs, trigrams, id_col, url_col, html_col), "pages")
+    everything = np.zeros(len(langs))
+    for r in read.select(F.explode(F.arrays_zip("at", "part")).alias("e")).groupBy(F.col("e.at").alias("at")).agg(F.sum("e.part").alias("n")).collect():
+        everything[r["at"]] = r.n / 1_000_000
+    marks, ends = _soft_counts(read, ["declared"], "mark_n"), _soft_counts(read, ["suffix"], "end_n")
+    hosts = _soft_counts(read, ["host", "domain"], "host_n").join(_soft_counts(read, ["domain"], "domain_n"), "domain").drop("domain")
+    joined = read.join(marks, "declared").join(ends, "suffix").join(hosts, "host").select("id", "host", "declared", "suffix", "text_log", "mark_n", "end_n", "host_n", "domain_n")
+    kind = dict(joined.dtypes)["id"]
+    out = joined.mapInArrow(_fuse(langs, everything, strength), f"id {kind}, host string, declared string, suffix string, text_lang string, lang string, probability double")
+    return out.select(F.col("id").alias(id_col), "host", "declared", "suffix", "text_lang", "lang", F.round("probability", 6).alias("probability"))

@@ -255,6 +255,18 @@ def test_language(spark, docs):
     assert language_id.identify(table.limit(0), train).count() == 0
 
 
+def test_language_models_every_language(spark):
+    rng = random.Random(6)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(8)] for k in range(150)}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    train = spark.createDataFrame([(i, text(lang, 40), lang) for i, lang in enumerate(sorted(words) * 2)], "doc_id long, text string, lang string")
+    pages = [(i, f"https://www.h{i}.example.org/x", f"<html><p>{text(lang, 30)}</p></html>") for i, lang in enumerate(sorted(words))]
+    got = language_id.identify(spark.createDataFrame(pages + [(500, None, None)], "page_id long, url string, html string"), train).collect()
+    assert len(got) == len(pages) + 1
+    assert {r.page_id: r.text_lang for r in got if r.page_id < 500} == dict(enumerate(sorted(words)))
+    assert all(r.lang == r.text_lang for r in got if r.page_id < 500)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Example.COM", "https://example.com/en/x?y", "https://a.example.com/en/", "https://www.example.com/en/1#t", "https://x.www.example.com/en/", "http://com/", "http://notcom/", "https://b.net/es/1", "https://b.net/fr/1", "https://b.net/de/1", "a://b://c/d", "https://h?x/en/", "http://exämple.org/ü", "https://b.net/es/1"]
     urls += [f"https://good{i}.com/page/{i}" for i in range(60)] + [f"http://casino{i}.net/es/win-{i}" for i in range(60)] + ["https://good7.org/page/9", "http://casino5.org/win-77"]
