@@ -10,7 +10,8 @@ deviation ``sqrt(2 - 2 * threshold)``, so the number of collisions of a linked
 pair is at least binomial, and ``least`` is its quantile at ``miss``.
 
 Equal vectors of a label are one node with a weight; a group of copies costs one
-row. Block pairs return counts for each vector and a spanning forest of links,
+row. A node has a number of its own, whatever ids its vectors have; the smallest
+id is looked up when the components are known. Block pairs return counts for each vector and a spanning forest of links,
 never the pairs. Vectors that are null, zero, or hold null or non-finite
 components, or whose label is null, link with nothing; each still has its row.
 Vectors of different lengths never link. Null ids count as larger than others.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
 from .components import components, forest
+from .skew import join_back
 
 LAST = 2**63 - 1
 BLOCK = 1024
@@ -93,9 +95,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
     finite = ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("x") > 0) & finite & F.exists("x", lambda v: v != 0), F.lit(False))
     ready = ready.withColumn("usable", usable)
-    nodes = keep(ready.filter("usable").groupBy("label", "x").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")).withColumn("size", F.size("x")), "vectors")
+    nodes = keep(ready.filter("usable").groupBy("label", "x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("size", F.size("x")).withColumn("node", F.monotonically_increasing_id()), "vectors")
 
-    # the node's id and weight stand for its copies; nodes of one (label, size) are dealt into blocks
+    # the node's number (fixed when the table was written) and weight stand for its copies; nodes of one (label, size) are dealt into blocks
     group = nodes.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
     dealt = nodes.join(group, ["label", "size"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -118,11 +120,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
         return pa.table({"node": node[out], "links": links[out].astype(np.int64), "root": root[out]})
 
     found = keep(dealt.select("label", "size", "i", "j", "own", "node", "weight", "x").groupBy("label", "size", "i", "j").applyInArrow(compare, "node long, links long, root long"), "links")
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = keep(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
+    smallest = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component"))
+    placed = join_back(roots, smallest, "root").select("node", "component")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    per_node = nodes.select("label", "x", "node", "weight").join(counted, "node", "left").join(roots, "node", "left")
+    per_node = nodes.select("label", "x", "node", "least", "weight").join(counted, "node", "left").join(placed, "node", "left")
     out = ready.join(per_node, ["label", "x"], "left")
     links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
-    component = F.coalesce("root", "node", "id")
+    component = F.coalesce("component", "least", "id")
     plain = lambda c: F.when(c < LAST, c)
     return out.select(plain(F.col("id")).alias(id_col), links.alias("n_links"), plain(component).alias("component_id"), (F.col("id") == component).alias("kept"))

@@ -119,6 +119,16 @@ def test_vectors(spark):
     assert not embedding_dedup.near_vectors(table.limit(0)).collect()
 
 
+def test_vectors_without_or_with_one_id_are_not_one_node(spark):
+    axis = lambda k: [float(i == k) for i in range(6)]
+    near = lambda k: [v + 0.01 for v in axis(k)]
+    rows = [(None, near(0), 0), (5, axis(0), 0), (None, near(1), 1), (9, axis(1), 1), (30, near(2), 0), (20, axis(2), 0), (30, near(3), 1), (25, axis(3), 1), (None, axis(4), 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(table).collect()), key=repr)
+    want = [(None, 1, 5, False), (5, 1, 5, True), (None, 1, 9, False), (9, 1, 9, True), (30, 1, 20, False), (20, 1, 20, True), (30, 1, 25, False), (25, 1, 25, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
 def test_vectors_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(3)
