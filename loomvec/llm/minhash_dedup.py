@@ -274,9 +274,10 @@ def _groups(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
     shared = keep(join_back(buckets, pivots, "key"), "buckets")
     stars = keep(_pass_sketch(shared.filter("sid <> a").select("a", F.col("sid").alias("b")).distinct(), nodes, bound, percent), "stars")
 
-    # texts of the nodes that a link could touch; a text is taken from the row of the least id and checked against the set's identity
-    touched = keep(shared.select("sid").distinct().join(nodes.select("sid", "least"), "sid").withColumnRenamed("least", "id"), "touched")
-    texts = keep(ready.filter(possible(touched)(F.col("id"))).select("id", "text").join(touched, "id").select("sid", "text").dropDuplicates(["sid", "text"]), "texts")
+    # texts of the nodes that a link could touch: each set takes its own text, once, from a row of its least row's name
+    touched = keep(shared.select("sid").distinct().join(nodes.select("sid", F.col("least").alias("id"), "key"), "sid"), "touched")
+    named = possible(touched.select(F.xxhash64("id", "key").alias("id")))(F.xxhash64("id", "key"))
+    texts = keep(ready.filter(named).dropDuplicates(["id", "key"]).join(touched, ["id", "key"]).select("sid", "text"), "texts")
     links = keep(_confirm(stars, texts, shingle, percent), "links")
     roots = keep(components(links), "roots")
 

@@ -54,6 +54,17 @@ def test_near_duplicates_keeps_odd_rows(docs, odd_rows, spark):
     assert not minhash_dedup.near_duplicates(docs([])).collect()
 
 
+def test_each_set_fetches_its_own_text_once(docs, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(prose(rng, 60, 10**6)) for _ in range(20)]
+    rows = [(i, t + end) for t in texts for end in ("", " end") for i in (None, None, 5)]
+    tables, keep = {}, minhash_dedup.keep
+    monkeypatch.setattr(minhash_dedup, "keep", lambda df, name: tables.setdefault(name, keep(df, name)))
+    got = minhash_dedup.near_duplicates(docs(rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {5}
+    assert tables["texts"].count() == tables["texts"].select("sid").distinct().count() == 40
+
+
 def test_sketches_estimate_high_similarity():
     signer = minhash_dedup.Signer(50, 6)
     rng = np.random.default_rng(1)
