@@ -2,22 +2,27 @@
 
 A word is a maximal run of bytes other than space and ``\\t\\n\\v\\f\\r``. Those
 separators are ASCII, so splitting the UTF-8 bytes equals splitting the text.
-Every hash is a polynomial in a fixed 64-bit base taken from prefix sums and
-then mixed, so a whole batch is hashed by a handful of array operations.
+A word's hash takes eight bytes at a time through a mixing step; a gram's hash
+joins the hashes of its halves the same way, so neither is linear and texts of
+regular structure meet no more often than others. Work goes by whole columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_WORD_BASE = 0x9E3779B97F4A7C15
-_GRAM_BASE = 0xC2B2AE3D27D4EB4F
+_STEP = U(0x9E3779B97F4A7C15)
+_JOIN = U(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,23 +31,6 @@ _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,!?:;")] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16, 2 * len(have) if have is not None else 0), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _POWERS[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 2**64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,12 +45,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of a column: byte spans, the row of each, hashes, and where each row's words begin."""
+    """The words of a column: byte spans, the row of each, the first eight bytes of each, hashes, and where each row's words begin."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
+    head: np.ndarray
     hash: np.ndarray
     first: np.ndarray
 
@@ -107,14 +96,54 @@ def split_words(column: pa.Array, lower: bool = False, closing: bool = False) ->
         start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    if len(data):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * powers(_WORD_BASE, len(data)), out=total[1:])
-        value = (total[end] - total[start]) * powers(inverse(_WORD_BASE), len(data) + 1)[start]
-        value = mix(value + (end - start).astype(np.uint64))
-    else:
-        value = np.zeros(0, np.uint64)
-    return Words(data, start, end, row, value, first)
+    head, value = hash_words(data, start, end)
+    return Words(data, start, end, row, head, value, first)
+
+
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    x = left * _JOIN
+    x += right
+    x ^= x >> U(29)
+    x *= _STEP
+    x ^= x >> U(32)
+    return x
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes (zeros behind a shorter word) and the hash of each word."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    head = eight[start] & _MASK[np.minimum(size, 8)]
+    value = mix(head + size.astype(np.uint64) * _STEP)
+    rest = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(rest):
+        value[rest] = join(value[rest], mix(eight[start[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        value[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return head, value
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. start[i] + size[i] - 1 of all i, one after another."""
+    total = np.cumsum(size)
+    return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i[k] of a and word j[k] of b have the same bytes."""
+    size = a.end[i] - a.start[i]
+    same = (size == b.end[j] - b.start[j]) & (a.head[i] == b.head[j])
+    long = np.flatnonzero(same & (size > 8))
+    if len(long):
+        more = size[long] - 8
+        differ = a.data[ranges(a.start[i[long]] + 8, more)] != b.data[ranges(b.start[j[long]] + 8, more)]
+        same[long] = np.add.reduceat(differ, np.cumsum(more) - more, dtype=np.int64) == 0
+    return same
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +151,25 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     count = len(words.hash) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
+    span, part, value, done = 1, words.hash, None, 0
+    while span <= n:
+        if n & span:  # the binary digits of n, the smallest parts last
+            value = part[n - done - span :][:count] if value is None else join(part[n - done - span :][:count], value)
+            done += span
+        if span * 2 <= n:
+            part = join(part[:-span], part[span:])
+        span *= 2
+    return value if n > 1 else mix(value), words.row[n - 1 :] == words.row[:count]
+
+
+def gram_checks(words: Words, n: int) -> np.ndarray:
+    """32 more bits for the n words from each position, independent of the hash but for the words' order."""
+    count = len(words.hash) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.int32)
     total = np.zeros(len(words.hash) + 1, np.uint64)
-    np.cumsum(words.hash * powers(_GRAM_BASE, len(words.hash)), out=total[1:])
-    value = mix((total[n:] - total[:-n]) * powers(inverse(_GRAM_BASE), count))
-    return value, words.row[n - 1 :] == words.row[:count]
+    np.cumsum(mix(words.hash + _JOIN), out=total[1:])
+    return (mix(total[n:] - total[:-n]) >> U(32)).astype(np.uint32).view(np.int32)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

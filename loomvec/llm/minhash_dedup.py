@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
 from .components import components, forest
-from .idfilter import possible
+from .idfilter import IdFilter
 from .lexing import U, encode_signed, grams, mix, slices, split_words
 from .skew import join_back
 
@@ -276,7 +276,7 @@ def _groups(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
 
     # texts of the nodes that a link could touch: each set takes its own text, once, from a row of its least row's name
     touched = keep(shared.select("sid").distinct().join(nodes.select("sid", F.col("least").alias("id"), "key"), "sid"), "touched")
-    named = possible(touched.select(F.xxhash64("id", "key").alias("id")))(F.xxhash64("id", "key"))
+    named = IdFilter(touched, "id", "key")("id", "key")
     texts = keep(ready.filter(named).dropDuplicates(["id", "key"]).join(touched, ["id", "key"]).select("sid", "text"), "texts")
     links = keep(_confirm(stars, texts, shingle, percent), "links")
     roots = keep(components(links), "roots")
@@ -323,6 +323,5 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     if many.isEmpty():
         return out
     # rows of one name hold one text: any of them stays
-    image = many.select(F.xxhash64(*on).alias("id"))
-    copies = ready.filter(possible(image)(F.xxhash64(*on))).join(many, on).groupBy(*on).agg(F.first(F.struct(*docs.columns)).alias("loomvec_row"))
+    copies = ready.filter(IdFilter(many, *on)(*on)).join(many, on).groupBy(*on).agg(F.first(F.struct(*docs.columns)).alias("loomvec_row"))
     return out.unionByName(copies.select("loomvec_row.*"))

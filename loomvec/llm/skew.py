@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_back(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``summary``, which has at most one row for each value of the integer column ``key``; others go."""
-    image = F.bitwise_not(key)
-    return rows.withColumn("image", image).join(summary.select(image.alias("image"), *[c for c in summary.columns if c != key]), "image").drop("image")
+def join_back(rows: DataFrame, summary: DataFrame, key: str, *others: str) -> DataFrame:
+    """``rows`` with the columns of ``summary``, which has at most one row for each ``key`` (an integer or a string) and ``others``; rows without one go."""
+    image = F.reverse(key) if dict(rows.dtypes)[key] == "string" else F.bitwise_not(key)
+    return rows.withColumn("image", image).join(summary.select(image.alias("image"), *[c for c in summary.columns if c != key]), ["image", *others]).drop("image")

@@ -10,17 +10,26 @@ windows are judged on the input.
    document and dealt into shards, whose number follows the size of the input.
 2. Count-min sketches of the parts of each shard, sparse and of one width, are
    added; what stays of a shard is one bit a cell: whether its count reaches 2.
-   A shard's keys meet its bits by a join, in parts, so a hot shard is split.
+   A shard's bits go ahead of its keys, which are tested as they stream by; a
+   shard with many keys is dealt to several tasks, each with a copy of the bits.
 3. Documents with keys estimated repeated in every row of the sketch hash again
    the windows under those keys. Only these windows are grouped, exactly: a
-   grouped minimum with map-side combine, joined back to the windows.
+   grouped minimum with map-side combine, joined back to the windows by an image
+   of the key, so that the rows of a hot window split.
 4. Windows that start in a document of smaller id come back to their document as
    a list of hashes, bounded by its own length, and its words are marked. Only
-   documents that may have such windows, by a bounded bitmap of ids, are shuffled.
-
-Null text has no words. Rows that repeat an id are one document to each other:
-they never remove each other's words, and each gets its own result row. Null ids
-count as larger than all others. Empty tables give empty results.
+   documents that may have such windows, by a bounded bitmap, are shuffled.
+
+Windows are equal when 96 bits of hash are: 64 of a hash of the words in order,
+32 of an independent one. Two different windows among 10**13 agree with a chance
+below 0.002.
+
+Null text has no words. Very long texts are hashed one at a time, by arrays of
+about 100 bytes a word. Rows that repeat an id are one document to each other:
+they never remove each other's words, and each gets its own result row; lists
+travel by id and text, so that rows without an id, or of one id, are never
+gathered. Null ids count as larger than all others. Ties need no rule: a result
+depends on ids and words alone. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,18 +39,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
-from .idfilter import possible
-from .lexing import U, Words, encode_signed, grams, mix, sliding_min, slices, split_words
+from .idfilter import IdFilter, may_hold
+from .lexing import U, Words, encode_signed, gram_checks, grams, mix, sliding_min, slices, split_words
+from .skew import join_back
 
 LAST = 2**63 - 1
 SHARD_BYTES = 16 << 20
 FLUSH = 400_000
 CELLS = 1 << 20
-KEYS = "shard int, keys binary, ids binary, n long"
+TOGETHER = 1 << 20
+KEYS = "shard int, keys binary, ids binary, names binary, n long"
+_SALT = U(0x9E3779B97F4A7C15)
+
+
+def _in_row(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A value and its row as one number."""
+    return values + row.astype(np.uint64) * _SALT
 
 
 def _window_keys(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,33 +90,33 @@ def _document_keys(words: Words, window: int, anchor: int) -> tuple[np.ndarray,
 
 def cells(keys: np.ndarray, depth: int, width: int) -> np.ndarray:
     """Cell numbers of each key in each row of the sketch: depth x n, row d at d * width."""
-    return np.stack([(mix(keys + U(0x9E3779B97F4A7C15) * U(d + 1)) % U(width)).astype(np.int64) + d * width for d in range(depth)])
+    return np.stack([(mix(keys + U(0x9E3779B97F4A7C15 * (d + 1) % 2**64)) % U(width)).astype(np.int64) + d * width for d in range(depth)])
 
 
 def _keys(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
-    """Rows of keys and document ids, packed by shard."""
+    """Rows of keys with their documents' ids and names, packed by shard."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            key, doc = (np.concatenate(x) for x in zip(*held))
+            key, doc, name = (np.concatenate(x) for x in zip(*held))
             held.clear()
             shard = (mix(key) % U(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            key, doc, shard = key[order], doc[order], shard[order]
-            names, begin = np.unique(shard, return_index=True)
-            stop = np.append(begin[1:], len(shard))
-            rows = [(key[a:b].tobytes(), doc[a:b].tobytes(), b - a) for a, b in zip(begin.tolist(), stop.tolist())]
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["shard", "keys", "ids", "n"])
+            key, doc, name, shard = key[order], doc[order], name[order], shard[order]
+            numbers, begin = np.unique(shard, return_index=True)
+            spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]))
+            packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (key, doc, name)]
+            return pa.RecordBatch.from_arrays([pa.array(numbers), *packed, pa.array([b - a for a, b in spans], pa.int64())], names=["shard", "keys", "ids", "names", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 row, key = _document_keys(split_words(part.column("text")), window, anchor)
-                held.append((key, part.column("id").to_numpy(zero_copy_only=False)[row]))
-                if sum(len(k) for k, _ in held) >= FLUSH:
+                held.append((key, part.column("id").to_numpy()[row], part.column("name").to_numpy()[row]))
+                if sum(len(h[0]) for h in held) >= FLUSH:
                     yield flush()
-        if sum(len(k) for k, _ in held):
+        if sum(len(h[0]) for h in held):
             yield flush()
 
     return docs.mapInArrow(gather, KEYS)
@@ -127,25 +145,32 @@ def _sketches(keys: DataFrame, depth: int, width: int) -> DataFrame:
     return parts.groupBy("shard").applyInArrow(merge, "shard int, bits binary")
 
 
-def _repeated(keys: DataFrame, sketches: DataFrame, depth: int, width: int) -> DataFrame:
-    """(id, key) for the keys estimated repeated in all rows of the sketch."""
+def _repeated(keys: DataFrame, sketches: DataFrame, sizes: DataFrame, depth: int, width: int) -> DataFrame:
+    """(id, name, key) for the keys estimated repeated in all rows of the sketch."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None
         for batch in batches:
             for i in range(batch.num_rows):
-                key = np.frombuffer(batch.column("keys")[i].as_py(), np.uint64)
-                doc = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                bits = np.frombuffer(batch.column("bits")[i].as_buffer(), np.uint8)
+                if batch.column("bits")[i].is_valid:
+                    bits = np.frombuffer(batch.column("bits")[i].as_py(), np.uint8)
+                    continue
+                key, doc, name = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("names", np.int32)))
                 at = cells(key, depth, width)
                 hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
                 if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(encode_signed(key[hit]))], names=["id", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(name[hit]), pa.array(encode_signed(key[hit]))], names=["id", "name", "key"])
 
-    return keys.join(sketches, "shard").select("keys", "ids", "bits").mapInArrow(test, "id long, key long")
+    # each task reads the bits of a shard, then keys of that shard; only shards above TOGETHER keys have more than one place
+    places = sizes.select("shard", F.ceil(F.col("n") / TOGETHER).cast("int").alias("places")).filter("places > 1")
+    count = F.coalesce("places", F.lit(1))
+    own = keys.join(places, "shard", "left").select("shard", F.pmod(F.xxhash64("keys", "ids"), count).cast("int").alias("place"), F.lit(None).cast("binary").alias("bits"), "keys", "ids", "names")
+    ahead = sketches.join(places, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), count - 1)).alias("place"), "bits", *(F.lit(None).cast("binary").alias(c) for c in ("keys", "ids", "names")))
+    return own.unionByName(ahead).repartition("shard", "place").sortWithinPartitions("shard", "place", F.isnull("bits")).drop("shard", "place").mapInArrow(test, "id long, name int, key long")
 
 
 def _windows(flagged: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(id, h): distinct hashes of the windows that were estimated repeated, for each document."""
+    """(id, name, h, c): distinct windows, by hash and check, that were estimated repeated, for each document."""
 
     def rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,74 +180,75 @@ def _windows(flagged: DataFrame, window: int, anchor: int) -> DataFrame:
                 lists = part.column("keys")
                 wanted = lists.flatten().to_numpy().view(np.uint64)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                salt = lambda k, r: k + r.astype(np.uint64) * U(0x9E3779B97F4A7C15)
                 row = words.row[: len(exact)]
-                take = inside & np.isin(salt(key, row), salt(wanted, owner))
-                exact, row = exact[take], row[take]
-                order = np.lexsort((exact, row))
-                exact, row = exact[order], row[order]
-                new = np.ones(len(exact), bool)
-                new[1:] = (exact[1:] != exact[:-1]) | (row[1:] != row[:-1])
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[new]]), pa.array(encode_signed(exact[new]))], names=["id", "h"])
-
-    return flagged.select("id", "text", "keys").mapInArrow(rehash, "id long, h long")
-
-
-def _cover(docs: DataFrame, window: int) -> DataFrame:
-    """Result rows of documents with the hashes of the windows to remove (null: none)."""
+                take = np.flatnonzero(inside & np.isin(_in_row(key, row), _in_row(wanted, owner)))
+                _, first = np.unique(_in_row(exact[take], row[take]), return_index=True)
+                take = np.sort(take[first])
+                place = pa.array(row[take])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(place), part.column("name").take(place), pa.array(encode_signed(exact[take])), pa.array(gram_checks(words, window)[take])], names=["id", "name", "h", "c"])
+
+    return flagged.select("id", "name", "text", "keys").mapInArrow(rehash, "id long, name int, h long, c int")
+
+
+RESULT = "id long, n_words long, n_removed long, kept_sha256 string"
+
+
+def _marked(part: pa.RecordBatch, window: int, lists: pa.Array | None) -> pa.RecordBatch:
+    """Result rows of documents with the hashes of the windows to remove, if any."""
+    words = split_words(part.column("text"))
+    gone = np.zeros(len(words.hash), bool)
+    if lists is not None and len(found := lists.flatten()):
+        exact, inside = grams(words, window)
+        owner = np.repeat(np.arange(part.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        at = np.flatnonzero(inside & np.isin(_in_row(exact, words.row[: len(exact)]), _in_row(found.to_numpy().view(np.uint64), owner)))
+        step = np.zeros(len(words.hash) + 1, np.int64)
+        step[at] += 1
+        step[at + window] -= 1
+        gone = np.cumsum(step[:-1]) > 0
+    removed = np.bincount(words.row[gone], minlength=part.num_rows)
+    shas, raw = [], words.data.tobytes()
+    for i in range(part.num_rows):
+        stay = np.arange(words.first[i], words.first[i + 1])
+        stay = stay[~gone[stay]] if removed[i] else stay
+        shas.append(hashlib.sha256(b" ".join([raw[x:y] for x, y in zip(words.start[stay].tolist(), words.end[stay].tolist())])).hexdigest())
+    ids = [None if i == LAST else i for i in part.column("id").to_pylist()]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words.counts()), pa.array(removed), pa.array(shas, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
+
+
+def _cover(ready: DataFrame, gone: DataFrame, window: int) -> DataFrame:
+    """Result rows: documents that may have windows to remove meet their lists, the others are done in the scan."""
+    touched = IdFilter(gone, "id", "name")
+    table = touched.table
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = batch.filter(pa.array(~may_hold(table, batch.column("cell").to_numpy())))
+            for part in slices(stays, "text"):
+                yield _marked(part, window, None)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = split_words(part.column("text"))
-                lists = part.column("gone")
-                lengths = np.asarray(pc_len(lists))
-                gone = np.zeros(len(words.hash), bool)
-                if lengths.any():
-                    exact, inside = grams(words, window)
-                    row = words.row[: len(exact)]
-                    owner = np.repeat(np.arange(part.num_rows), lengths)
-                    salt = lambda k, r: k + r.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-                    hit = inside & np.isin(salt(exact, row), salt(lists.flatten().to_numpy().view(np.uint64), owner))
-                    step = np.zeros(len(words.hash) + 1, np.int64)
-                    at = np.flatnonzero(hit)
-                    step[at] += 1
-                    step[at + window] -= 1
-                    gone = np.cumsum(step[:-1]) > 0
-                removed = np.bincount(words.row[gone], minlength=part.num_rows)
-                shas, raw = [], words.data.tobytes()
-                for i in range(part.num_rows):
-                    a, b = words.first[i], words.first[i + 1]
-                    stay = np.arange(a, b)[~gone[a:b]] if removed[i] else np.arange(a, b)
-                    shas.append(hashlib.sha256(b" ".join([raw[x:y] for x, y in zip(words.start[stay].tolist(), words.end[stay].tolist())])).hexdigest())
-                ids = part.column("id").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([None if i == LAST else i for i in ids], pa.int64()), pa.array(words.counts()), pa.array(removed), pa.array(shas)], names=["id", "n_words", "n_removed", "kept_sha256"])
-
-    return docs.mapInArrow(mark, "id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def pc_len(lists: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.list_value_length(lists), 0)
-
-
-def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 8, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                yield _marked(part, window, part.column("gone"))
+
+    met = ready.filter(touched("id", "name")).join(gone, ["id", "name"], "left").select("id", "text", "gone").mapInArrow(mark, RESULT)
+    return met.unionByName(ready.select("id", "text", touched.cell("id", "name").alias("cell")).mapInArrow(done, RESULT))
+
+
+def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 25, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id_col, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
-    ready = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    ready = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("name"), text.alias("text"))
     size = ready.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    shards = max(16, -(-size // SHARD_BYTES))
-    keys = keep(_keys(ready, shards, window, anchor), "anchors")
-    most = keys.groupBy("shard").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+    keys = keep(_keys(ready, max(16, -(-size // SHARD_BYTES)), window, anchor), "anchors")
+    sizes = keep(keys.groupBy("shard").agg(F.sum("n").alias("n")), "sizes")
+    most = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
     cell_count = min(CELLS, 1 << max(10, (4 * most).bit_length()))
-    repeated = _repeated(keys, _sketches(keys, depth, cell_count), depth, cell_count)
-    lists = keep(repeated.groupBy("id").agg(F.collect_set("key").alias("keys")), "repeated")
-    flagged = ready.filter(possible(lists)(F.col("id"))).join(lists, "id")
+    repeated = _repeated(keys, _sketches(keys, depth, cell_count), sizes, depth, cell_count)
+    lists = keep(repeated.groupBy("id", "name").agg(F.collect_set("key").alias("keys")), "repeated")
+    flagged = ready.filter(IdFilter(lists, "id", "name")("id", "name")).join(lists, ["id", "name"])
     windows = keep(_windows(flagged, window, anchor), "windows")
-    least = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h", "least")
-    gone = keep(windows.join(least, "h").filter("id > least").groupBy("id").agg(F.collect_set("h").alias("gone")), "gone")
-    maybe = F.coalesce(possible(gone)(F.col("id")), F.lit(False))
-    touched = ready.filter(maybe).join(gone, "id", "left")
-    whole = ready.filter(~maybe).withColumn("gone", F.lit(None).cast("array<long>"))
-    return _cover(touched.unionByName(whole), window).withColumnRenamed("id", id_col)
+    least = windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h", "c", "least")
+    later = join_back(windows, least, "h", "c").filter("id > least")
+    gone = keep(later.groupBy("id", "name").agg(F.collect_set("h").alias("gone")), "gone")
+    return _cover(ready, gone, window).withColumnRenamed("id", id_col)

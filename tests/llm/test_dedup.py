@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import sys
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from loomvec.llm import embedding_dedup, minhash_dedup, substring_dedup  # noqa: E402
 from loomvec.llm.components import components, forest  # noqa: E402
-from loomvec.llm.idfilter import possible  # noqa: E402
+from loomvec.llm.idfilter import IdFilter, may_hold  # noqa: E402
 
 
 def prose(rng, n, vocabulary=400):
@@ -103,13 +105,53 @@ def test_substrings_count_repeats_of_an_id_as_one_document(docs, odd_rows):
     assert not substring_dedup.dedup_substrings(docs([])).collect()
 
 
-def test_count_min_never_underestimates(spark, docs):
+def test_substrings_of_rows_without_an_id_and_of_a_hot_passage(docs):
+    """A thousand rows without an id, a passage that every third row holds, one id with many texts."""
+    rng = random.Random(14)
+    passage = prose(rng, 70, 10**6)
+    rows = [(i if i % 2 else None, " ".join(prose(rng, 12, 10**6) + (passage if i % 3 == 0 else []) + prose(rng, 5, 10**6))) for i in range(2000)]
+    rows += [(7, " ".join(passage + [f"own{i}"])) for i in range(50)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs(rows)).collect())
+    first = min(i for i, t in rows if i is not None and " ".join(passage) in t)
+    want = []
+    for i, t in rows:
+        words = t.split()
+        gone = " ".join(passage) in t and i != first
+        stay = t.replace(" ".join(passage), "").split() if gone else words
+        want.append((i is None, i or 0, len(words), 70 if gone else 0, hashlib.sha256(" ".join(stay).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def thue_morse(n, a, b):
+    """The sequence of length 2**n over two symbols and its complement: equal under every polynomial hash modulo 2**64 from n = 10 on."""
+    one, two = [a], [b]
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_words_and_windows_of_regular_structure_stay_apart(docs):
+    one, two = ("".join(s) for s in thue_morse(10, "a", "b"))
+    rows = [(1, f"{one} x"), (2, f"{two} x"), (3, one), (4, two), (5, f"{two} x")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs(rows), shingle=2).collect()}
+    assert got == brute.near(rows, 2) and got[5][1] == 2
+    one, two = (" ".join(s) for s in thue_morse(11, "p", "q"))
+    rows = [(1, one), (2, two)]
+    for window in (50, 1500):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs(rows), window=window).collect()}
+        assert got == brute.substrings(rows, window)
+
+
+def test_count_min_never_underestimates(spark, docs, monkeypatch):
     """Keys of two documents always pass the sketch, however small it is."""
     text = " ".join(f"t{i}" for i in range(80))
     ready = docs([(1, text), (2, "x " + text), (3, " ".join(f"u{i}" for i in range(80)))]).select("doc_id", "text").toDF("id", "text")
-    for cells in (8, 1024):
+    ready = ready.withColumn("name", F.lit(0))
+    for cells, together in ((8, 1 << 20), (1024, 1 << 20), (1024, 2)):
+        monkeypatch.setattr(substring_dedup, "TOGETHER", together)
         keys = substring_dedup._keys(ready, 4, 50, 8).cache()
-        found = {(r.id, r.key) for r in substring_dedup._repeated(keys, substring_dedup._sketches(keys, 2, cells), 2, cells).collect()}
+        sizes = keys.groupBy("shard").agg(F.sum("n").alias("n"))
+        found = {(r.id, r.key) for r in substring_dedup._repeated(keys, substring_dedup._sketches(keys, 2, cells), sizes, 2, cells).collect()}
         assert len({k for i, k in found if i == 1} & {k for i, k in found if i == 2}) >= 1
 
 
@@ -164,8 +206,9 @@ def test_components_and_forest(spark):
 
 def test_id_filter_has_no_false_negative(spark):
     ids = spark.range(0, 5000, 7)
-    from pyspark.sql import functions as F
-
-    passed = {r.id for r in spark.range(5000).filter(possible(ids)(F.col("id"))).collect()}
+    made = IdFilter(ids, "id")
+    passed = {r.id for r in spark.range(5000).filter(made("id")).collect()}
     assert set(range(0, 5000, 7)) <= passed and len(passed) < 1500
-    assert spark.range(5).filter(possible(spark.range(0))(F.col("id"))).count() == 0
+    cells = spark.range(5000).select(made.cell(F.col("id")).alias("cell")).toPandas().cell.to_numpy()
+    assert set(np.flatnonzero(may_hold(made.table, cells)).tolist()) == passed
+    assert spark.range(5).filter(IdFilter(spark.range(0), "id")("id")).count() == 0
