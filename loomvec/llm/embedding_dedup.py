@@ -9,20 +9,31 @@ line, two unit vectors at the threshold differ by a normal deviate of standard
 deviation ``sqrt(2 - 2 * threshold)``, so the number of collisions of a linked
 pair is at least binomial, and ``least`` is its quantile at ``miss``.
 
+A window that keeps linked pairs holds a fixed share of a line, so windows alone
+leave the work of a label quadratic. A label of many vectors is therefore dealt
+into cells first, ``tables`` times, by the side of the origin on which a vector
+lies on each of ``bits`` further lines: two unit vectors at the threshold share
+a side with chance 1 - acos(threshold) / pi, so the calibrated number of tables
+puts a linked pair into one cell at least once but for ``miss``. Bits follow the
+size of the label and keep the average cell at about a block; they are 0, one
+cell for all, wherever cells would not save work. A pair counts in the first
+table that holds it. Cells of more vectors are dealt into pairs of blocks.
+
 Equal vectors of a label are one node with a weight; a group of copies costs one
 row. A node has a number of its own, whatever ids its vectors have; the smallest
-id is looked up when the components are known. Block pairs return counts for each vector and a spanning forest of links,
-never the pairs. Vectors that are null, zero, or hold null or non-finite
-components, or whose label is null, link with nothing; each still has its row.
-Vectors of different lengths never link. Null ids count as larger than others.
-
-Work grows with the square of a label's distinct vectors, over as many tasks as
-there are block pairs; memory does not grow.
+id is looked up when the components are known. Tasks return counts for each
+vector and a spanning forest of links, never the pairs. Vectors that are null,
+zero, or hold null or non-finite components, or whose label is null, link with
+nothing; each still has its row. Vectors of different lengths never link; very
+long ones only make a block larger. Repeated ids get a row each. Null ids count
+as larger than others. Pairs exactly at the threshold link. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +65,28 @@ def calibrate(threshold: float, projections: int, miss: float, share: float = 0.
     return high * distance, least
 
 
+def cells_for(n: int, threshold: float, miss: float) -> tuple[int, int]:
+    """Bits and tables for n vectors of a label: the least work among cells of at least about BLOCK vectors."""
+    share = 1 - math.acos(threshold) / math.pi
+    best = (1.0, 0, 1)
+    for bits in range(1, max(0, int(math.log2(max(1, n / BLOCK)))) + 1):
+        tables = math.ceil(math.log(miss) / math.log1p(-(share**bits)))
+        best = min(best, (tables / 2**bits, bits, tables))
+    return best[1:]
+
+
+def _sides(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The cell of each row in each table."""
+    if not bits:
+        return np.zeros((len(x), 1), np.int32)
+    lines = np.random.default_rng(7919 + bits).standard_normal((x.shape[1], tables * bits))
+    out = np.empty((len(x), tables), np.int32)
+    for at in range(0, len(x), 4096):
+        side = (x[at : at + 4096] @ lines > 0).reshape(-1, tables, bits)
+        out[at : at + 4096] = side @ (1 << np.arange(bits))
+    return out
+
+
 def linked_pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, projections: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (from rows i, from rows j) of the matrix with cosine >= threshold: count collisions, then verify."""
     norm = np.sqrt((x * x).sum(axis=1))
@@ -97,10 +130,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
     ready = ready.withColumn("usable", usable)
     nodes = keep(ready.filter("usable").groupBy("label", "x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("size", F.size("x")).withColumn("node", F.monotonically_increasing_id()), "vectors")
 
-    # the node's number (fixed when the table was written) and weight stand for its copies; nodes of one (label, size) are dealt into blocks
-    group = nodes.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # a label's number of distinct vectors decides its cells; one row a label and length reaches the driver
+    sizes = nodes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
+    plans = nodes.sparkSession.createDataFrame([(n, *cells_for(n, threshold, miss)) for (n,) in sizes.select("n").distinct().collect()], "n long, bits int, tables int")
+    planned = nodes.join(sizes.join(plans, "n").drop("n"), ["label", "size"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = np.stack([batch.column(c).to_numpy() for c in ("size", "bits", "tables")], axis=1)
+            for kind in np.unique(kinds, axis=0):
+                rows = batch.take(pa.array(np.flatnonzero((kinds == kind).all(axis=1))))
+                cells = _sides(rows.column("x").flatten().to_numpy().reshape(rows.num_rows, -1), *kind[1:].tolist())
+                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(list(cells), pa.list_(pa.int32()))], names=["node", "cells"])
+
+    placed = keep(planned.select("node", "size", "bits", "tables", "x").mapInArrow(place, "node long, cells array<int>").join(nodes, "node"), "cells")
+    each = placed.select("label", "size", "node", "weight", "x", "cells", F.posexplode("cells").alias("tab", "cell"))
+    # the node's number (fixed when the table was written) and weight stand for its copies; the nodes of one cell are dealt into blocks
+    cell = ["label", "size", "tab", "cell"]
+    group = each.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(*cell, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
-    dealt = nodes.join(group, ["label", "size"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = each.join(group, cell).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -111,6 +160,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
         left = np.flatnonzero(own_block == i)
         right = left if i == j else np.flatnonzero(own_block == j)
         a, b = linked_pairs(matrix, left, right, threshold, projections, miss)
+        if table_number := table.column("tab")[0].as_py():
+            cells = table.column("cells").combine_chunks().flatten().to_numpy().reshape(n, -1)[:, :table_number]
+            first = np.concatenate([~(cells[a[k : k + 50_000]] == cells[b[k : k + 50_000]]).any(axis=1) for k in range(0, len(a), 50_000)] or [np.zeros(0, bool)])
+            a, b = a[first], b[first]
         links = np.bincount(a, weight[b], n) if i == j else np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
         order = np.argsort(node, kind="stable")
         place = np.empty(n, np.int64)
@@ -119,7 +172,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
         out = links > 0
         return pa.table({"node": node[out], "links": links[out].astype(np.int64), "root": root[out]})
 
-    found = keep(dealt.select("label", "size", "i", "j", "own", "node", "weight", "x").groupBy("label", "size", "i", "j").applyInArrow(compare, "node long, links long, root long"), "links")
+    found = keep(dealt.select(*cell, "i", "j", "own", "node", "weight", "x", "cells").groupBy(*cell, "i", "j").applyInArrow(compare, "node long, links long, root long"), "links")
     roots = keep(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
     smallest = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component"))
     placed = join_back(roots, smallest, "root").select("node", "component")

@@ -4,6 +4,9 @@ A window is ``window`` consecutive words of one document. A word is removed if
 it lies in a window whose word sequence also starts in a document of smaller id;
 windows are judged on the input.
 
+0. Texts with exact copies under a smaller id need no windows: all their words go
+   if they have a window at all. Copies are found by 128 bits of hash; from here
+   on each text is seen under its smallest id only.
 1. A window is counted under its least ``anchor``-word hash, so neighbouring
    windows share one entry and a key's count is at least that of each window
    under it: the sketch overestimates and never misses. Keys are taken once a
@@ -43,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import keep
+from ..plans.scratch import discard, keep
 from .idfilter import IdFilter, may_hold
 from .lexing import U, Words, encode_signed, gram_checks, grams, mix, sliding_min, slices, split_words
 from .skew import join_back
@@ -54,6 +57,7 @@ FLUSH = 400_000
 CELLS = 1 << 20
 TOGETHER = 1 << 20
 KEYS = "shard int, keys binary, ids binary, names binary, n long"
+COPY = ["t1", "t2"]
 _SALT = U(0x9E3779B97F4A7C15)
 
 
@@ -93,8 +97,8 @@ def cells(keys: np.ndarray, depth: int, width: int) -> np.ndarray:
     return np.stack([(mix(keys + U(0x9E3779B97F4A7C15 * (d + 1) % 2**64)) % U(width)).astype(np.int64) + d * width for d in range(depth)])
 
 
-def _keys(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
-    """Rows of keys with their documents' ids and names, packed by shard."""
+def _keys(docs: DataFrame, copied: np.ndarray, shards: int, window: int, anchor: int) -> DataFrame:
+    """Rows of keys with their documents' ids and names, packed by shard; rows whose ``cell`` the bitmap may hold are left out."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -111,6 +115,7 @@ def _keys(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(numbers), *packed, pa.array([b - a for a, b in spans], pa.int64())], names=["shard", "keys", "ids", "names", "n"])
 
         for batch in batches:
+            batch = batch.filter(pa.array(~may_hold(copied, batch.column("cell").to_numpy())))
             for part in slices(batch, "text"):
                 row, key = _document_keys(split_words(part.column("text")), window, anchor)
                 held.append((key, part.column("id").to_numpy()[row], part.column("name").to_numpy()[row]))
@@ -193,8 +198,8 @@ def _windows(flagged: DataFrame, window: int, anchor: int) -> DataFrame:
 RESULT = "id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _marked(part: pa.RecordBatch, window: int, lists: pa.Array | None) -> pa.RecordBatch:
-    """Result rows of documents with the hashes of the windows to remove, if any."""
+def _marked(part: pa.RecordBatch, window: int, lists: pa.Array | None = None, whole: np.ndarray | None = None) -> pa.RecordBatch:
+    """Result rows of documents with the hashes of the windows to remove, if any; from ``whole`` rows all windows go."""
     words = split_words(part.column("text"))
     gone = np.zeros(len(words.hash), bool)
     if lists is not None and len(found := lists.flatten()):
@@ -205,6 +210,8 @@ def _marked(part: pa.RecordBatch, window: int, lists: pa.Array | None) -> pa.Rec
         step[at] += 1
         step[at + window] -= 1
         gone = np.cumsum(step[:-1]) > 0
+    if whole is not None:
+        gone |= (whole & (words.counts() >= window))[words.row]
     removed = np.bincount(words.row[gone], minlength=part.num_rows)
     shas, raw = [], words.data.tobytes()
     for i in range(part.num_rows):
@@ -215,40 +222,56 @@ def _marked(part: pa.RecordBatch, window: int, lists: pa.Array | None) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words.counts()), pa.array(removed), pa.array(shas, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _cover(ready: DataFrame, gone: DataFrame, window: int) -> DataFrame:
-    """Result rows: documents that may have windows to remove meet their lists, the others are done in the scan."""
+def _cover(ready: DataFrame, copied: IdFilter, copies: DataFrame, gone: DataFrame, window: int) -> DataFrame:
+    """Result rows: copies, and documents that may have windows to remove, meet their lists; the others are done in the scan."""
     touched = IdFilter(gone, "id", "name")
-    table = touched.table
+    tables = copied.table, touched.table
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stays = batch.filter(pa.array(~may_hold(table, batch.column("cell").to_numpy())))
-            for part in slices(stays, "text"):
-                yield _marked(part, window, None)
+            other = may_hold(tables[0], batch.column("cell").to_numpy()) | may_hold(tables[1], batch.column("place").to_numpy())
+            for part in slices(batch.filter(pa.array(~other)), "text"):
+                yield _marked(part, window)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _marked(part, window, part.column("gone"))
+                yield _marked(part, window, part.column("gone"), part.column("later").to_numpy(zero_copy_only=False))
 
-    met = ready.filter(touched("id", "name")).join(gone, ["id", "name"], "left").select("id", "text", "gone").mapInArrow(mark, RESULT)
-    return met.unionByName(ready.select("id", "text", touched.cell("id", "name").alias("cell")).mapInArrow(done, RESULT))
+    some = ready.filter(touched("id", "name") & ~copied(*COPY)).select("id", "name", "text", F.lit(False).alias("later"))
+    met = some.unionByName(copies).join(gone, ["id", "name"], "left").select("id", "text", "later", "gone").mapInArrow(mark, RESULT)
+    rest = ready.select("id", "text", copied.cell(*COPY).alias("cell"), touched.cell("id", "name").alias("place"))
+    return met.unionByName(rest.mapInArrow(done, RESULT))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 25, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id_col, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     text = F.col(text_col).cast("string")
-    ready = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("name"), text.alias("text"))
-    size = ready.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    keys = keep(_keys(ready, max(16, -(-size // SHARD_BYTES)), window, anchor), "anchors")
+    ready = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(5), text).alias("t2"))
+    ready = ready.withColumn("name", F.shiftright("t1", 32).cast("int"))
+    groups = ready.groupBy(*COPY).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.sum(F.length("text")).alias("size"))
+    shared = keep(groups.select(*COPY, "least", F.col("least") < F.col("most"), "size").toDF(*COPY, "least", "shared", "size"), "texts")
+    size = shared.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    shared = shared.filter("shared").select(*COPY, "least")
+    copied = IdFilter(shared, *COPY)
+    copies = ready.filter(copied(*COPY)).join(shared, COPY, "left").select("id", "name", "text", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("later"))
+    copies = keep(copies, "copies")
+
+    none = np.zeros(copied.bits >> 5, np.uint32)
+    alone = _keys(ready.select("id", "name", "text", copied.cell(*COPY).alias("cell")), copied.table, max(16, -(-size // SHARD_BYTES)), window, anchor)
+    heads = _keys(copies.filter("not later").select("id", "name", "text", F.lit(0).cast("long").alias("cell")), none, max(16, -(-size // SHARD_BYTES)), window, anchor)
+    keys = keep(alone.unionByName(heads), "anchors")
     sizes = keep(keys.groupBy("shard").agg(F.sum("n").alias("n")), "sizes")
     most = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
     cell_count = min(CELLS, 1 << max(10, (4 * most).bit_length()))
     repeated = _repeated(keys, _sketches(keys, depth, cell_count), sizes, depth, cell_count)
     lists = keep(repeated.groupBy("id", "name").agg(F.collect_set("key").alias("keys")), "repeated")
+    discard(keys)
     flagged = ready.filter(IdFilter(lists, "id", "name")("id", "name")).join(lists, ["id", "name"])
     windows = keep(_windows(flagged, window, anchor), "windows")
+    discard(lists)
     least = windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h", "c", "least")
     later = join_back(windows, least, "h", "c").filter("id > least")
     gone = keep(later.groupBy("id", "name").agg(F.collect_set("h").alias("gone")), "gone")
-    return _cover(ready, gone, window).withColumnRenamed("id", id_col)
+    discard(windows)
+    return _cover(ready, copied, copies, gone, window).withColumnRenamed("id", id_col)

@@ -90,6 +90,8 @@ def test_substrings(docs):
             words += rng.choice(shared) + prose(rng, 3, 10**6)
         rows.append((i, " ".join(words)))
     rows += [(100 + i, " ".join(shared[2])) for i in range(80)]  # a hot passage
+    copy, short = " ".join(prose(rng, 90, 10**6)), " ".join(prose(rng, 49, 10**6))
+    rows += [(200 + i, copy) for i in range(9)] + [(220 + i, short) for i in range(4)] + [(230, "a " + copy), (199, "b " + copy), (240, rows[3][1]), (241, rows[3][1])]
     rows += [(300, "the " * 500), (301, "the " * 60), (302, "The " * 60), (303, None), (304, " \n")]
     rng.shuffle(rows)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs(rows)).collect()}
@@ -146,10 +148,10 @@ def test_count_min_never_underestimates(spark, docs, monkeypatch):
     """Keys of two documents always pass the sketch, however small it is."""
     text = " ".join(f"t{i}" for i in range(80))
     ready = docs([(1, text), (2, "x " + text), (3, " ".join(f"u{i}" for i in range(80)))]).select("doc_id", "text").toDF("id", "text")
-    ready = ready.withColumn("name", F.lit(0))
+    ready = ready.withColumns({"name": F.lit(0), "cell": F.lit(0).cast("long")})
     for cells, together in ((8, 1 << 20), (1024, 1 << 20), (1024, 2)):
         monkeypatch.setattr(substring_dedup, "TOGETHER", together)
-        keys = substring_dedup._keys(ready, 4, 50, 8).cache()
+        keys = substring_dedup._keys(ready, np.zeros(1, np.uint32), 4, 50, 8).cache()
         sizes = keys.groupBy("shard").agg(F.sum("n").alias("n"))
         found = {(r.id, r.key) for r in substring_dedup._repeated(keys, substring_dedup._sketches(keys, 2, cells), sizes, 2, cells).collect()}
         assert len({k for i, k in found if i == 1} & {k for i, k in found if i == 2}) >= 1
@@ -192,6 +194,22 @@ def test_vectors_in_many_blocks(spark, monkeypatch):
     assert got == brute.linked_vectors(rows, 0.93)
 
 
+def test_vectors_in_cells(spark, monkeypatch):
+    """Labels of many vectors are dealt into cells several times; every link is still counted once."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    bits, tables = embedding_dedup.cells_for(900, 0.93, 1e-6)
+    assert bits >= 6 and tables < 2**bits and embedding_dedup.cells_for(8, 0.93, 1e-6) == (0, 1)
+    rng = np.random.default_rng(31)
+    centres = rng.standard_normal((150, 24))
+    rows = [(i, (centres[i % 150] + 0.2 * rng.standard_normal(24)).tolist(), 0) for i in range(900)]
+    rows += [(2000 + i, (centres[0] + 0.01 * rng.standard_normal(24)).tolist(), 0) for i in range(40)]  # one hot cell
+    rows += [(3000 + i, rng.standard_normal(24).tolist(), 1) for i in range(20)] + [(4000, rows[5][1], 0), (4001, rows[5][1][:23], 0)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, cells string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(table).collect()}
+    want = brute.linked_vectors(rows, 0.93)
+    assert got == want and sum(n for n, _ in want.values()) > 2000
+
+
 def test_components_and_forest(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
