@@ -1,17 +1,22 @@
 """Secret scan by grammar inference.
 
 Base rules find credentials of three kinds. A bounded, reproducible sample of
-those labelled credentials (``sample`` values a kind, by least hash) trains one
-probabilistic automaton a kind: a prefix tree of character classes whose states
-are merged when their outgoing frequencies agree within the Hoeffding bound.
-Every other token that could be a credential is then scored by each automaton;
-it becomes a span of kind ``format`` when the mean log-likelihood per character
-reaches the calibrated bound of some kind, which is a low quantile of what the
-labelled credentials themselves score.
-
-Spans are in code points, end exclusive. Base spans always stay; a format span
-never overlaps one. Null text counts as empty. Repeated ids and rows are
-separate documents, one result row each. Empty tables give empty results.
+those labelled credentials (``sample`` values a kind by least hash, as long as
+they have ``characters`` characters together) trains one probabilistic automaton
+a kind: a prefix tree of character classes, of whole values, whose states are
+merged when their outgoing frequencies agree within the Hoeffding bound. Every
+other token that could be a credential, six characters or more of the alphabet
+of the first rule, is then scored whole by each automaton; it becomes a span of
+kind ``format`` when the mean log-likelihood per character reaches the
+calibrated bound of some kind, which is a low quantile of what the labelled
+credentials themselves score. A kind without credentials has no automaton.
+
+Spans are in code points, end exclusive, ordered by start; at a tie as the kinds
+are listed, ``format`` last. Base spans always stay; a format span never overlaps
+one. Null text counts as empty. Very long texts and tokens are scanned and scored
+whole, one text at a time, in linear time. Repeated ids and rows are separate
+documents, one result row each. Empty tables give empty results. The texts are
+read twice; found credentials are written nowhere but to the result.
 """
 
 from __future__ import annotations
@@ -25,9 +30,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.scratch import keep
 from .lexing import slices
 
 KINDS = ("assign", "access", "hex")
@@ -36,8 +41,10 @@ _NAME = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in _NAME)
 ASSIGN = re.compile(rf"""(?:{_NAME})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".encode())
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{4,}[A-Za-z0-9+/_=-]")
 _QUICK = re.compile(rb"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}")
+#: Tokens whose verdict a worker remembers.
+MEMORY = 500_000
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -52,29 +59,15 @@ def base_spans(text: bytes) -> list[tuple[int, int, str, bytes]]:
     return [(a, b, KINDS[k], v) for a, b, k, v in sorted(found, key=lambda s: (s[0], s[2]))]
 
 
-def candidates(text: bytes, base: list[tuple[int, int, str, bytes]]) -> list[tuple[int, int, str, bytes]]:
-    """Tokens with a digit and a letter, long enough for a credential and clear of the base spans."""
-    out, at = [], 0
-    for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if any(48 <= c <= 57 for c in value) and any(c > 64 for c in value):
-            while at < len(base) and base[at][1] <= m.start():
-                at += 1
-            if not any(a < m.end() and m.start() < b for a, b, *_ in base[at : at + 64]):
-                out.append((m.start(), m.end(), "", value))
-    return out
+_CLASSES = {**{c: ("d", 10) for c in range(48, 58)}, **{c: ("h", 6) for c in range(97, 103)}, **{c: ("l", 20) for c in range(103, 123)}, **{c: ("H", 6) for c in range(65, 71)}, **{c: ("L", 20) for c in range(71, 91)}}
 
 
-_CLASSES = {**{c: ("d", 10) for c in range(48, 58)}, **{c: ("h", 6) for c in range(97, 103)}, **{c: ("l", 20) for c in range(103, 123)}, **{c: ("H", 6) for c in range(65, 71)}, **{c: ("L", 20) for c in range(71, 91)}}
+_SYMBOLS = [(name, math.log(size)) for name, size in (_CLASSES.get(c, (chr(c), 1)) for c in range(256))]
 
 
-def symbols(value: bytes) -> list[tuple[str, float]]:
+def symbols(value: bytes) -> Iterator[tuple[str, float]]:
     """Character class and log of its size, for each character."""
-    out = []
-    for c in value:
-        name, size = _CLASSES.get(c, (chr(c), 1))
-        out.append((name, math.log(size)))
-    return out
+    return (_SYMBOLS[c] for c in value)
 
 
 @dataclass
@@ -85,24 +78,29 @@ class Automaton:
     endings: list[int] = field(default_factory=lambda: [0])
     edges: list[dict[str, tuple[int, int]]] = field(default_factory=lambda: [{}])
 
-    def score(self, value: bytes) -> float:
-        """Mean log-likelihood per character, the ending included; unseen steps cost one in ten thousand."""
-        state, total = 0, 0.0
+    def score(self, value: bytes, least: float = -math.inf) -> float:
+        """Mean log-likelihood per character, the ending included; unseen steps cost one in ten thousand.
+
+        Every step lowers the sum: once the mean cannot reach ``least``, the value so far is returned.
+        """
+        state, total, enough = 0, 0.0, least * (len(value) + 1)
         for name, share in symbols(value):
             count, after = self.edges[state].get(name, (0, state))
             total += math.log((count + 1e-4) / (self.arrivals[state] + 1e-2)) - share
+            if total < enough:
+                return total / (len(value) + 1)
             state = after
         total += math.log((self.endings[state] + 1e-4) / (self.arrivals[state] + 1e-2))
         return total / (len(value) + 1)
 
 
-def infer(values: list[bytes], alpha: float = 0.01, depth: int = 96) -> Automaton:
+def infer(values: list[bytes], alpha: float = 0.01) -> Automaton:
     """Merge the states of the values' prefix tree that are statistically compatible."""
     arrivals, endings, edges = [0], [0], [{}]
     for value in values:
         state = 0
         arrivals[0] += 1
-        for name, _ in symbols(value[:depth]):
+        for name, _ in symbols(value):
             if name not in edges[state]:
                 edges[state][name] = [0, len(edges)]
                 arrivals.append(0)
@@ -166,18 +164,39 @@ def infer(values: list[bytes], alpha: float = 0.01, depth: int = 96) -> Automato
 
 @dataclass
 class Formats:
-    """An automaton and the least accepted score for each kind."""
+    """An automaton and the least accepted score for each kind; verdicts on tokens are remembered up to MEMORY tokens."""
 
     automata: dict[str, tuple[Automaton, float]]
+    yes: set[bytes] = field(default_factory=set)
+    no: set[bytes] = field(default_factory=set)
 
     def accepts(self, value: bytes) -> bool:
-        return any(a.score(value) >= least for a, least in self.automata.values())
+        return any(a.score(value, least) >= least for a, least in self.automata.values())
+
+    def spans(self, text: bytes, base: list[tuple[int, int, str, bytes]]) -> list[tuple[int, int, str, bytes]]:
+        """Accepted tokens that are clear of the base spans, which are ordered by start."""
+        if not self.automata:
+            return []
+        tokens = set(CANDIDATE.findall(text))
+        if len(self.no) + len(self.yes) > MEMORY:
+            self.yes.clear(), self.no.clear()
+        for token in tokens - self.no - self.yes:
+            (self.yes if self.accepts(token) else self.no).add(token)
+        if tokens.isdisjoint(self.yes):
+            return []
+        out, at, reach = [], 0, 0
+        for m in CANDIDATE.finditer(text):
+            while at < len(base) and base[at][0] < m.end():  # the farthest end of all base spans that begin before the token ends
+                reach, at = max(reach, base[at][1]), at + 1
+            if reach <= m.start() and m[0] in self.yes:
+                out.append((m.start(), m.end(), "format", m[0]))
+        return out
 
 
 def learn(labelled: dict[str, list[bytes]], quantile: float = 0.01) -> Formats:
     out = {}
     for kind, values in sorted(labelled.items()):
-        if len(values) >= 8:
+        if values:
             automaton = infer(values)
             scores = sorted(map(automaton.score, values))
             out[kind] = (automaton, scores[int(quantile * len(scores))] - 1e-9)
@@ -194,58 +213,50 @@ def _points(text: bytes, spans: list[tuple[int, int, str, bytes]]) -> list[dict]
     return [{"kind": k, "start": int(before[a]), "end": int(before[b]), "value": v.decode()} for a, b, k, v in spans]
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, base, more): base spans, and the tokens to be scored."""
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+def labelled_sample(docs: DataFrame, sample: int, characters: int, text_col: str) -> dict[str, list[bytes]]:
+    """The first distinct credentials of each kind by hash, ``sample`` and ``characters`` at most: the only rows that reach the driver."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                base, more = [], []
-                for text in part.column("text").cast(pa.large_binary()).to_pylist():
-                    text = text or b""
-                    spans = base_spans(text)
-                    base.append(_points(text, spans))
-                    more.append(_points(text, candidates(text, spans)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(base, span), pa.array(more, span)], names=["id", "base", "more"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id long, base {SPANS}, more {SPANS}")
-
-
-def labelled_sample(found: DataFrame, sample: int) -> dict[str, list[bytes]]:
-    """At most ``sample`` distinct credentials of each kind, those of least hash: the only rows that reach the driver."""
-    values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
-    out = {}
-    for kind in KINDS:
-        rows = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        out[kind] = [r.value.encode() for r in rows]
+            found = {(k, v) for text in batch.column("text").cast(pa.large_binary()).to_pylist() if text for _, _, k, v in base_spans(text)}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v.decode() for _, v in found], pa.string())], names=["kind", "value"])
+
+    values = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "kind string, value string").distinct()
+    ranked = values.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))).filter(F.col("place") <= sample)
+    so_far = F.sum(F.length("value")).over(W.partitionBy("kind").orderBy("place"))
+    rows = ranked.withColumn("so_far", so_far).filter(F.col("so_far") <= characters).toArrow()
+    out: dict[str, list[bytes]] = {kind: [] for kind in KINDS}
+    for _, kind, value in sorted(zip(rows.column("place").to_pylist(), rows.column("kind").to_pylist(), rows.column("value").to_pylist())):
+        out[kind].append(value.encode())
     return out
 
 
-def find_secrets(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, sample: int = 2000, characters: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id_col and ``spans`` (kind, start, end, value), base and format spans ordered by start and kind."""
-    found = keep(_found(docs, id_col, text_col), "secrets")
-    formats = learn(labelled_sample(found, sample))
+    formats = learn(labelled_sample(docs, sample, characters, text_col))
     order = {k: i for i, k in enumerate((*KINDS, "format"))}
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            for base, more in zip(batch.column("base").to_pylist(), batch.column("more").to_pylist()):
-                extra = [s | {"kind": "format"} for s in more if formats.accepts(s["value"].encode())]
-                spans.append(sorted(base + extra, key=lambda s: (s["start"], order[s["kind"]])) if extra else base)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, span)], names=["id", "spans"])
+            for part in slices(batch, "text"):
+                spans = []
+                for text in part.column("text").cast(pa.large_binary()).to_pylist():
+                    base = base_spans(text or b"")
+                    extra = formats.spans(text or b"", base)
+                    spans.append(_points(text, sorted(base + extra, key=lambda s: (s[0], order[s[2]])) if extra else base))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(spans, span)], names=["id", "spans"])
 
-    return found.mapInArrow(decide, f"id long, spans {SPANS}").withColumnRenamed("id", id_col)
+    ready = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return ready.mapInArrow(scan, f"id long, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, sample: int = 2000, mask: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, sample: int = 2000, characters: int = 400_000, mask: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; all rows and columns stay, ``length_col`` is counted anew.
 
     The automata are learnt from a first scan; the second scan finds and masks the spans in place, so rows need no identifier.
     """
-    formats = learn(labelled_sample(_found(docs.select(F.lit(0).alias("id"), F.col(text_col)), "id", text_col), sample))
+    formats = learn(labelled_sample(docs, sample, characters, text_col))
     names, schema = docs.columns, docs.schema
 
     def mask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +265,7 @@ def redact(docs: DataFrame, sample: int = 2000, mask: str = "[SECRET]", text_col
             for text in batch.column(at).cast(pa.large_binary()).to_pylist():
                 if text is not None:
                     spans = base_spans(text)
-                    spans += [s for s in candidates(text, spans) if formats.accepts(s[3])]
+                    spans += formats.spans(text, spans)
                     place, pieces = 0, []
                     for a, b, *_ in sorted(spans):
                         if b > place:
