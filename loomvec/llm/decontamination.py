@@ -8,10 +8,15 @@ with both text ends free. A document is contaminated by an item if the least
 distance is at most k.
 
 Normalisation lower-cases and turns each run of characters other than letters
-and digits into one space. Items shorter than ``least`` normalised characters
-are matched exactly as whole words only; items without letters or digits never
-match. Null text matches nothing. Repeated items and documents are each
-reported; the item table is taken in blocks of bounded size, so it may be large.
+and digits into one space. Items too short for an edit (k = 0) are matched as
+whole words; items without letters or digits never match. Null and empty texts
+match nothing; a very long text is searched whole, in time in proportion to it
+and to its hits. Repeated items are searched once and each reported, as is each
+repeated document. The least distance has no ties to break.
+
+Different item texts are numbered in a table and taken in blocks of bounded
+size, one at a time: a block goes to the workers, its hits are written, and the
+next one is read. So neither the driver nor a task holds more than a block.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import keep
+
 _GAP = re.compile(r"[\W_]+")
 BLOCK_BYTES = 16 << 20
 
@@ -62,12 +69,11 @@ def myers(pattern: str, text: str, limit: int) -> int | None:
 class Matcher:
     """Pieces of the items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, normalise(t or "")) for i, t in items]
-        self.budget = [int(rate * len(t)) if len(t) >= least else 0 for _, t in self.items]
-        self.whole = [len(t) < least for _, t in self.items]
+        self.items = [(i, normalise(t)) for i, t in items]
+        self.budget = [int(rate * len(t)) for _, t in self.items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(self.items):
             cuts = [len(text) * j // (self.budget[n] + 1) for j in range(self.budget[n] + 2)]
@@ -93,7 +99,7 @@ class Matcher:
         for n, starts in spans.items():
             item, k = self.items[n][1], self.budget[n]
             m = len(item)
-            if any(s >= 0 and text.startswith(item, s) and (not self.whole[n] or (text[s - 1 : s] in ("", " ") and text[s + m : s + m + 1] in ("", " "))) for s in starts):
+            if any(s >= 0 and text.startswith(item, s) and (k or (text[s - 1 : s] in ("", " ") and text[s + m : s + m + 1] in ("", " "))) for s in starts):
                 out.append((n, 0))
             elif k:
                 found, windows = [], []
@@ -111,25 +117,37 @@ class Matcher:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_BYTES, each small enough to send to every worker."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+def numbered(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """(item, text): a number for each different item text."""
+    texts = benchmark.select(F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
+    return keep(texts.select(F.monotonically_increasing_id().alias("item"), "text"), "items")
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The numbered items in blocks of about BLOCK_BYTES, each small enough to send to every worker."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     count = max(1, -(-size // BLOCK_BYTES))
     for block in range(count):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == block).collect()
-        yield sorted(((r.item, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == block).toArrow()
+        yield sorted(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist()))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_col: str = "text", hits_col: str = "hits", item_text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` and ``hits_col``, a new name: array of (item, distance, budget), empty where clean; items by number."""
+    return _search(docs, numbered(benchmark, item_text), rate, text_col, hits_col)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least: int = 24, text_col: str = "text", hits_col: str = "hits", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` and ``hits_col``: array of (item, distance, budget), empty where clean."""
+def _search(docs: DataFrame, items: DataFrame, rate: float, text_col: str, hits_col: str) -> DataFrame:
+    """``docs`` with the hits of the numbered items; each block after the first writes the rows once more."""
+    if hits_col in docs.columns:
+        raise ValueError(f"{hits_col} is a column of the documents")
     kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("budget", pa.int32())]))
     out, at, schema = docs, docs.columns.index(text_col), docs.schema
     field = T.StructField(hits_col, T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("budget", T.IntegerType())])))
-    for number, items in enumerate(_blocks(benchmark, item_col, item_text)):
+    for number, block in enumerate(_blocks(items)):
 
-        def search(batches: Iterator[pa.RecordBatch], items=items, number=number) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate, least)
+        def search(batches: Iterator[pa.RecordBatch], block=block, number=number) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, rate)
             for batch in batches:
                 hits = []
                 for text in batch.column(at).to_pylist():
@@ -140,12 +158,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least: in
                     hits = [a + b for a, b in zip(columns.pop().to_pylist(), hits)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, kind)], names=[*schema.names, hits_col])
 
+        if number:
+            out = keep(out, "hits")
         out = out.mapInArrow(search, T.StructType([*schema.fields, field]))
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it contains: id_col, item_col, distance, budget."""
+    items = numbered(benchmark, item_text)
     ready = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = matches(ready, benchmark, rate, least, item_col=item_col).select("id", F.explode("hits").alias("h"))
-    return found.select(F.col("id").alias(id_col), F.col("h.item").alias(item_col), "h.distance", "h.budget")
+    found = _search(ready, items, rate, "text", "hits").select("id", F.explode("hits").alias("h"))
+    names = items.join(benchmark.select(F.col(item_col).cast("long").alias("name"), F.col(item_text).cast("string").alias("text")), "text").select("item", "name")
+    joined = found.select("id", F.col("h.item").alias("item"), "h.distance", "h.budget").join(names, "item")
+    return joined.select(F.col("id").alias(id_col), F.col("name").alias(item_col), "distance", "budget")
