@@ -1,6 +1,8 @@
 """Token ids in sorted-string-table shards.
 
-Documents are range-partitioned by identifier; each partition becomes one file:
+Documents are range-partitioned by identifier, text hash and row number, so
+that equal rows are split too; the number of partitions follows the size of the
+texts. Each partition becomes one file:
 
     magic | blocks | sparse index | Bloom filter | footer
 
@@ -15,7 +17,9 @@ bit turned, so that byte order is id order.
 Files are written under a fresh name by each task attempt and become visible
 only through the manifest that the finished tasks return, so lost or repeated
 tasks do no harm. Nulls in the text count as empty. Null ids come first.
-Repeated ids stay separate entries, ordered by a hash of their text.
+Repeated ids stay separate entries, ordered by a hash of their text; equal rows
+are entries of equal content in any order. Very long texts are encoded one at a
+time and make a block of their own size. An empty table has no file.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ _INDEX = struct.Struct("<HQIIQ")
 _FOOTER = struct.Struct("<QQQQQQBB6x8s")
 BLOCK = 64 << 10
 BLOOM_BITS = 10
+#: Text bytes for a shard; small tables have smaller ones, so that all cores work.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 MANIFEST = "shard int, path string, entries long, tokens long, bytes long"
 ROWS = "id long, start long, n_tokens long, ids_crc32 long"
 
@@ -194,8 +200,11 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shards: int | None
             yield pa.RecordBatch.from_pylist([{"shard": number, "path": f"{path}/{name}", "entries": len(writer.keys), "tokens": writer.tokens, "bytes": size}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
     ready = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    ready = ready.repartitionByRange(shards or width(spark), F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
+    if shards is None:
+        size = ready.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+        shards = max(-(-size // SHARD_BYTES), min(width(spark), -(-size // LEAST_BYTES)), 1)
+    order = F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("row")
+    ready = ready.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("id", "text")
     return keep(ready.mapInArrow(build, MANIFEST), "manifest")
 
 
