@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
 * text: a multinomial model over hashed byte trigrams, trained on at most
-  ``sample`` documents of each language (those of least hash of their id), as a
+  ``sample`` documents of each language (those of least hash of id and text), as a
   table of fixed size; the log-likelihood is tempered by the text's length.
 * markup: the declared ``lang`` attribute. P(declared | language) is estimated
   over all pages from the text's own answer.
@@ -11,11 +11,14 @@
 
 Every grouped table holds soft counts, sums of text posteriors, with map-side
 combine, so one host with a third of all pages is a row like any other. Pages
-meet the tables by joins that adaptive execution may split or broadcast.
+meet the tables by joins on an image of the key, which adaptive execution may
+split or broadcast.
 
 Null pages and texts give no text evidence, null URLs an empty host, missing
-declarations an empty one. Without training documents the result is empty of
-languages: ``lang`` is null. Repeated pages get a row each.
+declarations an empty one. Very long pages are read whole, in time in proportion
+to their length. Ties go to the first language by name. Without training
+documents the result is empty of languages: ``lang`` is null. Repeated pages get
+a row each; repeated training rows (of one id and text) count once.
 
 Every language with training documents is modelled. Trigram counts stay in a
 shared table; pages meet them LANGUAGES languages at a time, each block's
@@ -37,12 +40,14 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
 from .lexing import slices, text_bytes
+from .skew import join_back
 
 BUCKETS = 1 << 14
 LANGUAGES = 64
 CELLS = 1 << 20
-_DROP = re.compile(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})"
+_SKIPPED = re.compile(rb"(?i)(script|style|template|noscript)\b")
+_END = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style", b"template", b"noscript")} | {b"!--": re.compile(rb"-->")}
+_DECLARED = r"(?i)<html[^<>]*?\slang\s*=\s*[\"']?([a-z]{2,3})"
 
 
 def trigram_counts(column: pa.Array) -> np.ndarray:
@@ -60,14 +65,15 @@ def trigram_counts(column: pa.Array) -> np.ndarray:
 
 def train_text(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
     """All languages, sorted, and a table (lang, at, n) of their trigram counts from at most ``sample`` documents of each."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and id is not null").distinct()
+    source = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and id is not null").withColumn("tie", F.xxhash64("text"))
+    named = source.select("id", "tie", "lang").distinct()
     sizes = keep(named.groupBy("lang").agg(F.count(F.lit(1)).alias("m")), "languages")
     langs = sorted(sizes.select("lang").toArrow().column("lang").to_pylist())
     # the least hashes of a large language lie in a share of the range that holds about twice as many rows: only they are ranked
-    share = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64
-    low = named.join(sizes, "lang").filter(share * F.col("m") <= 2 * sample + 1000).withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    ids = keep(low.filter(F.col("place") <= sample).select("id", "lang"), "sample")
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(ids, ["id", "lang"])
+    share = (F.xxhash64("id", "tie").cast("double") + 2.0**63) / 2.0**64
+    low = named.join(sizes, "lang").filter(share * F.col("m") <= 2 * sample + 1000).withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", "tie"), "id", "tie")))
+    ids = keep(low.filter(F.col("place") <= sample).select("id", "tie", "lang"), "sample")
+    chosen = source.join(ids, ["id", "tie", "lang"]).dropDuplicates(["id", "tie", "lang"]).select("lang", "text")
 
     def rows(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, n in total.items():
@@ -101,7 +107,23 @@ def text_table(langs: list[str], trigrams: DataFrame) -> np.ndarray:
 
 
 def page_text(html: str) -> str:
-    return _DROP.sub(" ", html)
+    """The page with a space for each tag, comment, and script or the like with its content; one pass, whatever is left open."""
+    data = html.encode()
+    out, at, open_for_good = [], 0, set()
+    while (begin := data.find(b"<", at)) >= 0:
+        name = _SKIPPED.match(data, begin + 1)
+        kind = name[1].lower() if name else b"!--" if data.startswith(b"<!--", begin) else None
+        end = None
+        if kind and kind not in open_for_good:
+            end = _END[kind].search(data, begin + 1 + len(kind))
+            if end is None:
+                open_for_good.add(kind)  # nothing closes it here or farther on
+        stop = end.end() if end else data.find(b">", begin + 1) + 1
+        if not stop:
+            break
+        out.append(data[at:begin])
+        at = stop
+    return b" ".join([*out, data[at:]]).decode()
 
 
 def _softmax(logs: np.ndarray) -> np.ndarray:
@@ -197,8 +219,9 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = 1500, strength: fl
     for r in read.select(F.explode(F.arrays_zip("at", "part")).alias("e")).groupBy(F.col("e.at").alias("at")).agg(F.sum("e.part").alias("n")).collect():
         everything[r["at"]] = r.n / 1_000_000
     marks, ends = _soft_counts(read, ["declared"], "mark_n"), _soft_counts(read, ["suffix"], "end_n")
-    hosts = _soft_counts(read, ["host", "domain"], "host_n").join(_soft_counts(read, ["domain"], "domain_n"), "domain").drop("domain")
-    joined = read.join(marks, "declared").join(ends, "suffix").join(hosts, "host").select("id", "host", "declared", "suffix", "text_log", "mark_n", "end_n", "host_n", "domain_n")
+    hosts = join_back(_soft_counts(read, ["host", "domain"], "host_n"), _soft_counts(read, ["domain"], "domain_n"), "domain").select("host", "host_n", "domain_n")
+    met = join_back(join_back(join_back(read, marks, "declared"), ends, "suffix"), hosts, "host")
+    joined = met.select("id", "host", "declared", "suffix", "text_log", "mark_n", "end_n", "host_n", "domain_n")
     kind = dict(joined.dtypes)["id"]
     out = joined.mapInArrow(_fuse(langs, everything, strength), f"id {kind}, host string, declared string, suffix string, text_lang string, lang string, probability double")
     return out.select(F.col("id").alias(id_col), "host", "declared", "suffix", "text_lang", "lang", F.round("probability", 6).alias("probability"))
