@@ -3,14 +3,19 @@
 Statistics of the whole text are counted by array kernels and transformed to be
 roughly normal. Each class gets a mean and a covariance that is shrunk towards
 its diagonal; a text's margin is the difference of the two log densities, each
-from a squared Mahalanobis distance solved with the class's cached Cholesky
-factor. A logistic map fitted to held-in margins turns the margin into a score.
+from a squared Mahalanobis distance by the inverse of the class's Cholesky
+factor, which is computed once. A logistic map fitted to held-in margins turns
+the margin into a score.
 
 The model is fitted on at most ``sample`` labelled rows, those of least hash of
-their identifier. Inputs of a score are the text alone. Null and empty texts
-have all statistics at zero and get a score like any other. Labels that are null
-are ignored; if an identifier has several labels their mean is rounded. Without
-rows of both classes every score is the share of label 1 (0.5 without labels).
+their identifier, and its shrinkage and damping are those of least log loss on a
+fifth of these rows when fitted on the others. Inputs of a score are the text
+alone. Null and empty texts have all statistics at zero and get a score like any
+other; a very long text is counted whole. Labels that are null are ignored; if
+an identifier has several labels their mean is rounded. Rows that repeat an
+identifier each count; where the bound cuts among them, a hash of the text
+decides. Without rows of both classes every score is the share of label 1 (0.5
+without labels). Extra columns stay; a new column's name must be free.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import keep
 from .lexing import slices, split_words
 
 _ONE_OF = {name: np.isin(np.arange(256), list(chars)) for name, chars in {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "stop": b".,;:", "bang": b"!?", "bar": b"|<>{}[]()\\/", "sign": b"#$%&*@^~+=_", "line": b"\n"}.items()} | {"wide": np.arange(256) >= 128}
@@ -87,6 +91,7 @@ class Discriminant:
 
     mean: list[np.ndarray]
     factor: list[np.ndarray]
+    inverse: list[np.ndarray]
     prior: list[float]
     slope: float = 1.0
     shift: float = 0.0
@@ -96,13 +101,13 @@ class Discriminant:
 
     def drawn(self, x: np.ndarray) -> np.ndarray:
         n = np.expm1(x[:, :1])
-        return np.hstack([x[:, :1], self.centre[1:] + (x[:, 1:] - self.centre[1:]) * (n / (n + self.damp))])
+        return np.hstack([x[:, :1], self.centre[1:] + (x[:, 1:] - self.centre[1:]) * (n / np.maximum(n + self.damp, 1e-9))])
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0."""
         density = []
-        for mean, factor, prior in zip(self.mean, self.factor, self.prior):
-            z = np.linalg.solve(factor, (x - mean).T)
+        for mean, factor, inverse, prior in zip(self.mean, self.factor, self.inverse, self.prior):
+            z = inverse @ (x - mean).T
             density.append(prior - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(factor)).sum())
         return density[1] - density[0]
 
@@ -119,8 +124,8 @@ def _squash(m: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.2, ridge: float = 1e-4, damp: float = 40.0) -> Discriminant:
     if len(y) == 0 or y.min() == y.max() or min((y == 0).sum(), (y == 1).sum()) < 3:
-        return Discriminant([], [], [], constant=float(y.mean()) if len(y) else 0.5)
-    model = Discriminant([], [], [], centre=x[y == 1].mean(axis=0), damp=damp)
+        return Discriminant([], [], [], [], constant=float(y.mean()) if len(y) else 0.5)
+    model = Discriminant([], [], [], [], centre=x[y == 1].mean(axis=0), damp=damp)
     x = model.drawn(x)
     scale = x.var(axis=0) + 1e-6
     mean, factor, prior = [], [], []
@@ -132,6 +137,7 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.2, ridge: float = 1e-4,
         factor.append(np.linalg.cholesky(cov))
         prior.append(float(np.log(len(z) / len(y))))
     model.mean, model.factor, model.prior = mean, factor, prior
+    model.inverse = [np.tril(np.linalg.inv(f)) for f in factor]
     m = _squash(model.margin(x))
     design = np.column_stack([m, np.ones_like(m)])
     home = np.array([1.0, 0.0])
@@ -156,6 +162,22 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.2, ridge: float = 1e-4,
     return model
 
 
+#: Settings among which the training rows choose.
+SHRINK, DAMP = (0.02, 0.1, 0.2, 0.4), (0.0, 10.0, 40.0, 120.0)
+
+
+def choose(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
+    """Shrinkage and damping of least log loss on the rows of ``fold`` when fitted on the other ones; ties go to the first."""
+    best, found = np.inf, (SHRINK[0], DAMP[0])
+    for shrink in SHRINK:
+        for damp in DAMP:
+            p = np.clip(fit(x[~fold], y[~fold], shrink, damp=damp).score(x[fold]), 1e-9, 1 - 1e-9)
+            loss = -float(np.mean(np.where(y[fold] == 1, np.log(p), np.log(1 - p)))) if fold.any() else 0.0
+            if loss < best - 1e-12:
+                best, found = loss, (shrink, damp)
+    return found
+
+
 def held_out(id_col: str):
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -165,24 +187,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, id_col: str
     """Fit on at most ``sample`` labelled documents that are not held out."""
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("double").alias("y")).filter("id is not null and y is not null")
     usable = usable.filter(~held_out("id")).groupBy("id").agg(F.round(F.avg("y")).alias("y"))
-    # labels of least hash, by a bound on the hash that the number of labels gives: nothing is sorted or sent to the driver
+    # labels of least hash, by a bound on the hash that the number of labels gives: about ``sample`` rows, which may be broadcast
     share = min(1.0, 1.02 * sample / max(1, usable.count()))
     usable = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(usable, "id")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(usable), "id")
+    chosen = chosen.withColumns({"place": F.xxhash64("id"), "tie": F.xxhash64("text")})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 x = statistics(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("place", "id", "tie", "y")), pa.array(list(x), pa.list_(pa.float64()))], names=["place", "id", "tie", "y", "x"])
 
-    seen = chosen.mapInArrow(measure, "id long, y double, x array<double>")
-    rows = seen.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    seen = chosen.select("place", "id", "tie", "y", "text").mapInArrow(measure, "place long, id long, tie long, y double, x array<double>")
+    rows = seen.orderBy("place", "id", "tie").limit(sample).toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, 1)), np.zeros(0))
-    order = np.lexsort((rows.column("id").to_numpy(),))
-    x = np.stack(rows.column("x").to_pylist())[order]
-    return fit(np.asarray(x, float), rows.column("y").to_numpy()[order])
+    place, ids, tie = (rows.column(c).to_numpy() for c in ("place", "id", "tie"))
+    order = np.lexsort((tie, ids))
+    x = np.stack(rows.column("x").to_pylist())[order].astype(float)
+    y = rows.column("y").to_numpy()[order]
+    return fit(x, y, **dict(zip(("shrink", "damp"), choose(x, y, place[order] % 5 == 0))))
 
 
 def score(docs: DataFrame, model: Discriminant, text_col: str = "text", score_col: str = "score") -> DataFrame:
