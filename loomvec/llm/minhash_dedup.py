@@ -21,8 +21,14 @@
 The result is the smallest id reachable by links. With r rows in each of b
 bands, a pair of similarity s is missed with probability (1 - s^r)^b, under one
 in a million at 0.8 for the defaults. Null and empty texts have the empty set
-and link with nothing. Rows that repeat an id keep one row each in the result.
-Null ids count as larger than all others.
+and link with nothing. A very long text is hashed whole, in arrays of about 100
+bytes a word. Rows that repeat an id keep one row each in the result. Null ids
+count as larger than all others. Pairs exactly at the bound link; texts of equal
+sets are one node, and a tie of ids changes no result but in ``one_of_each``,
+where the text's hash decides. Extra columns are never read. Empty tables give
+empty results. Shingles are equal when their 64-bit hashes are: within one pair
+of texts, the only place where they are compared, a false match is as good as
+impossible.
 
 ``one_of_each`` decides by row, not by id: a row is named by its id and a hash
 of its text, so null and repeated ids are rows like any other.

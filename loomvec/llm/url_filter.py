@@ -15,8 +15,12 @@ results do not depend on the order of rows. Scoring is one pass with map-side
 combine; hot hosts or repeated URLs make no hot task.
 
 Null URLs and URLs without ``://`` have empty host and path and no rule; their
-text (null: empty) is still judged by the models. Empty text is allowed. If
-either class has no URL, every URL without a rule is allowed.
+text (null: empty) is still judged by the models. Empty text is allowed. Very
+long URLs are taken whole. Of rules that fit, no two have one length and differ
+unless they name different hosts; then the later one by name wins. A ratio equal
+to the bound is allowed. Repeated rows and ids get a row each. If either class
+has no URL, every URL without a rule is allowed. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -64,14 +64,16 @@ def substrings(rows, window):
 
 
 def edit_distance_within(pattern, text):
-    """Least edit distance of the pattern to any part of the text, by the full table."""
-    row = [0] * (len(text) + 1)
+    """Least edit distance of the pattern to any part of the text, by the full table, column after column of the pattern."""
+    import numpy as np
+
+    codes = np.array([ord(c) for c in text], np.int64)
+    row = np.zeros(len(text) + 1, np.int64)
+    place = np.arange(len(text) + 1)
     for i, p in enumerate(pattern, 1):
-        new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
+        new = np.minimum(np.concatenate([[i], row[:-1] + (codes != ord(p))]), np.concatenate([[i], row[1:] + 1]))
+        row = np.minimum.accumulate(new - place) + place  # steps along the text cost one each
+    return int(row.min())
 
 
 def linked_vectors(rows, threshold):
