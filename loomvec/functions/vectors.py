@@ -1,12 +1,14 @@
-"""Vector expressions, and rounding to half-precision formats."""
+"""Vector expressions, and rounding to shorter floating-point formats."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bits after the first one of a significand, and the least exponent of a normal number.
+FORMATS = {"half": (10, -14), "bfloat": (7, -126), "single": (23, -126)}
+
 
 def dot(x: Column, y: Column) -> Column:
     """Left-to-right sum of products in double precision."""
@@ -35,25 +37,40 @@ def checked(x: Column, dims: int) -> Column:
     return F.when(good, x).otherwise(F.raise_error(F.lit(f"a vector is null, has a null component, or is not of length {dims}")).cast("array<double>"))
 
 
-def to_half(values: np.ndarray) -> np.ndarray:
-    """Round to IEEE half precision."""
-    return values.astype(np.float16).astype(np.float64)
+def to_precision(values: np.ndarray, precision: str) -> np.ndarray:
+    """Doubles rounded to nearest, ties to even, in a shorter format; values beyond its range stay as they are."""
+    if precision == "double":
+        return values
+    bits, least = FORMATS[precision]
+    if precision == "bfloat":
+        values = to_precision(values, "single")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = np.exp2(np.maximum(np.frexp(values)[1] - 1, least) - bits)
+        return np.where(np.isfinite(values) & (values != 0), np.rint(values / unit) * unit, values)
+
+
+def rounded(x: Column, precision: str) -> Column:
+    """``x`` with every component rounded as by to_precision: JVM expressions only."""
+    if precision == "double":
+        return x
+    if precision == "single":
+        return x.cast("array<float>").cast("array<double>")
+    bits, least = FORMATS[precision]
+    x = rounded(x, "single") if precision == "bfloat" else x
 
+    def turn(v: Column) -> Column:
+        unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(least)) - bits)
+        return F.when((v == 0) | F.isnan(v) | (F.abs(v) == float("inf")), v).otherwise(F.rint(v / unit) * unit)
 
-def to_bfloat(values: np.ndarray) -> np.ndarray:
-    """Round to bfloat16: the upper half of a single-precision word, to nearest, ties to even; NaN stays NaN."""
-    single = np.ascontiguousarray(values, np.float32)
-    word = single.view(np.uint32).astype(np.uint64)
-    word = (word + 0x7FFF + (word >> 16 & 1)) & 0xFFFF0000
-    return np.where(np.isnan(single), np.nan, word.astype(np.uint32).view(np.float32)).astype(np.float64)
+    return F.transform(x, turn)
 
 
-def rounded(x: Column, kind: str) -> Column:
-    """``x`` with every component rounded to ``half`` or ``bfloat``."""
-    turn = {"half": to_half, "bfloat": to_bfloat}[kind]
+def drawn(seed: int, *keys: Column) -> Column:
+    """A number below 2**32 that depends on the seed and integer keys below 2**32 alone: integer arithmetic that any SQL engine can repeat."""
 
-    @F.pandas_udf("array<double>")
-    def apply(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda v: turn(np.asarray(v, float)))
+    def step(h: Column, key: Column) -> Column:
+        h = (h + key + 1013904223) * 747796405 % (1 << 32)
+        h = h.bitwiseXOR(F.shiftright(h, 16)) * 569420461 % (1 << 32)
+        return h.bitwiseXOR(F.shiftright(h, 15))
 
-    return apply(x)
+    return F.aggregate(F.array(*(key.cast("long") for key in keys)), F.lit(seed).cast("long"), step)

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import checked, clamped_distance, dot, raw_distance, sq_norm
-from .kernel import matrix, nearest
+from ..plans.scratch import keep
+from .kernel import distinct, matrix, nearest
 
 LABELS = "batch_id int, point_id long, cluster_id int"
 #: Largest centroid table that is broadcast, or sent to the workers at once.
@@ -50,8 +51,21 @@ def _with_norm(centroids: DataFrame) -> DataFrame:
     return centroids.select("batch_id", "k", "c", (F.coalesce("c_sq", own) if "c_sq" in centroids.columns else own).alias("c_sq"))
 
 
-def _blocks(centroids: DataFrame, dims: int) -> Iterator[dict[int, tuple[int, np.ndarray, np.ndarray]]]:
-    """For each block of k: batch to (first k, vectors, norms), about BLOCK_BYTES at once."""
+Block = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def packed_block(which: np.ndarray, names: np.ndarray, c: np.ndarray, c_sq: np.ndarray) -> Block:
+    """Batch to (numbers, vectors, norms); of equal centroids of a batch only the lowest is sent."""
+    out = {}
+    for b in np.unique(which).tolist():
+        rows = np.flatnonzero(which == b)
+        rows = rows[distinct(c[rows], c_sq[rows])]
+        out[b] = names[rows].astype(np.int32), c[rows], c_sq[rows]
+    return out
+
+
+def _blocks(centroids: DataFrame, dims: int) -> Iterator[Block]:
+    """Blocks of k, about BLOCK_BYTES at once."""
     table = _with_norm(centroids)
     size = table.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).first()
     step = max(1, int(BLOCK_BYTES / (8 * (dims + 2)) * (size.k + 1) / size.n))
@@ -59,15 +73,14 @@ def _blocks(centroids: DataFrame, dims: int) -> Iterator[dict[int, tuple[int, np
         rows = table.filter((F.col("k") >= first) & (F.col("k") < first + step)).orderBy("batch_id", "k").toArrow()
         batch = rows.column("batch_id").to_numpy()
         c = matrix(rows.column("c"), dims) if len(rows) else np.zeros((0, dims))
-        c_sq = rows.column("c_sq").to_numpy()
-        yield {int(b): (first, c[batch == b], c_sq[batch == b]) for b in np.unique(batch)}
+        yield packed_block(batch, rows.column("k").to_numpy(), c, rows.column("c_sq").to_numpy())
 
 
 def _by_kernel(points: DataFrame, centroids: DataFrame, dims: int, clamp: bool) -> DataFrame:
     out = points.select("batch_id", "point_id", "x", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("cluster_id"))
     names = out.columns
 
-    def step(block: dict[int, tuple[int, np.ndarray, np.ndarray]]):
+    def step(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
@@ -78,18 +91,19 @@ def _by_kernel(points: DataFrame, centroids: DataFrame, dims: int, clamp: bool)
                 best[np.isnan(best)] = np.inf
                 label = np.nan_to_num(batch.column("cluster_id").to_numpy(zero_copy_only=False)).astype(np.int32)
                 known = np.zeros(len(x), bool)
-                for b, (first, c, c_sq) in block.items():
+                for b, (numbers, c, c_sq) in block.items():
                     rows = np.flatnonzero(which == b)
                     known[rows] = True
                     if len(rows):
-                        best[rows], label[rows] = nearest(x[rows], c, c_sq, clamp, best[rows], label[rows], first)
+                        best[rows], label[rows] = nearest(x[rows], c, c_sq, clamp, best[rows], label[rows], numbers)
                 mask = ~known & np.asarray(batch.column("cluster_id").is_null())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best), pa.array(label, pa.int32(), mask=mask)], names=names)
 
         return run
 
-    for block in _blocks(centroids, dims):
-        out = out.mapInArrow(step(block), out.schema)
+    for number, block in enumerate(_blocks(centroids, dims)):
+        # one block at a time on the driver and in a plan: the running best is written before the next block is read
+        out = (keep(out, "nearest") if number else out).mapInArrow(step(block), out.schema)
     return out.filter(F.col("cluster_id").isNotNull())
 
 
@@ -98,8 +112,15 @@ def packed(centroids: DataFrame) -> DataFrame:
     return _with_norm(centroids).groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("k", "c", "c_sq"))).alias("cs"))
 
 
+def small(centroids: DataFrame) -> DataFrame:
+    """The packed centroids, to be broadcast if they fit BLOCK_BYTES; else Spark joins them as it finds best."""
+    rows = packed(centroids)
+    size = centroids.agg(F.coalesce(F.sum(F.size("c") + 2), F.lit(0)).alias("n")).first().n * 8
+    return F.broadcast(rows) if size <= BLOCK_BYTES else rows
+
+
 def _by_expression(points: DataFrame, centroids: DataFrame, dims: int, clamp: bool) -> DataFrame:
-    joined = points.join(F.broadcast(packed(centroids)), "batch_id").withColumn("x", checked(F.col("x"), dims))
+    joined = points.join(small(centroids), "batch_id").withColumn("x", checked(F.col("x"), dims))
     joined = joined.withColumn("x_sq", sq_norm(F.col("x")) if clamp else F.lit(0.0))
 
     def candidate(s):
@@ -124,7 +145,7 @@ def assign(points: DataFrame, centroids: DataFrame, clamp: bool = True, strategy
 
 def cross_products(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """Every point's product with every centroid of its batch, and the clamped squared distance."""
-    each = points.join(F.broadcast(packed(centroids)), "batch_id").select("batch_id", "point_id", "x", F.explode("cs").alias("s"))
+    each = points.join(small(centroids), "batch_id").select("batch_id", "point_id", "x", F.explode("cs").alias("s"))
     product = dot(F.col("x"), F.col("s.c"))
     each = each.select("batch_id", "point_id", F.col("s.k").alias("k"), product.alias("product"), sq_norm(F.col("x")).alias("x_sq"), F.col("s.c_sq").alias("c_sq"))
     return each.withColumn("distance", clamped_distance(F.col("x_sq"), F.col("c_sq"), F.col("product")))

@@ -17,24 +17,51 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), dims)
 
 
-def nearest(x: np.ndarray, c: np.ndarray, c_sq: np.ndarray, clamp: bool, best: np.ndarray | None = None, label: np.ndarray | None = None, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Least distance and its lowest centroid, block by block with a running best.
+def squares(x: np.ndarray) -> np.ndarray:
+    """Squared norm of each row, summed in the one order that all decisions use."""
+    return (x * x).sum(axis=1)
 
-    The product is a matrix multiplication; rows whose best two are within its rounding error are decided again by sums in one
-    fixed order, so that equal centroids tie exactly and the lowest wins.
+
+def distinct(c: np.ndarray, c_sq: np.ndarray) -> np.ndarray:
+    """The first of each group of equal centroids, ascending: no other one ever wins."""
+    _, first = np.unique(np.column_stack([c, c_sq]), axis=0, return_index=True)
+    return np.sort(first)
+
+
+def _exact(x: np.ndarray, x_sq: np.ndarray, c: np.ndarray, c_sq: np.ndarray, row: np.ndarray, k: np.ndarray, clamp: bool) -> np.ndarray:
+    """Distances of pairs (row, k), each product summed in one fixed order."""
+    out = np.empty(len(row))
+    step = max(1, TILE // max(1, x.shape[1]))
+    for a in range(0, len(row), step):
+        r, q = row[a : a + step], k[a : a + step]
+        d = c_sq[q] - 2.0 * (x[r] * c[q]).sum(axis=1)
+        if clamp:
+            d += x_sq[r]
+            out[a : a + step] = np.where(d > 0, d, 0.0)
+        else:
+            out[a : a + step] = np.where(np.isnan(d), np.inf, d)
+    return out
+
+
+def nearest(x: np.ndarray, c: np.ndarray, c_sq: np.ndarray, clamp: bool, best: np.ndarray | None = None, label: np.ndarray | None = None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Least distance and its lowest centroid, block by block with a running best; ``names`` are the centroids' numbers, ascending.
+
+    The product is a matrix multiplication. The least of a block, and all that are within its rounding error, are decided again by
+    sums in one fixed order, and only those sums are compared between blocks: equal centroids tie exactly and the lowest wins.
     """
     n = len(x)
     best = np.full(n, np.inf) if best is None else best.copy()
     label = np.zeros(n, np.int32) if label is None else label.copy()
-    x_sq = np.einsum("ij,ij->i", x, x) if clamp else np.zeros(n)
+    names = np.arange(len(c), dtype=np.int32) if names is None else names
     width = max(1, min(len(c), 4096))
     height = max(1, TILE // width)
     with np.errstate(invalid="ignore", over="ignore"):
+        x_sq = squares(x) if clamp else np.zeros(n)
         for a in range(0, n, height):
             rows = slice(a, a + height)
             for b in range(0, len(c), width):
-                block = c[b : b + width]
-                d = c_sq[None, b : b + width] - 2.0 * (x[rows] @ block.T)
+                block, block_sq = c[b : b + width], c_sq[b : b + width]
+                d = block_sq[None] - 2.0 * (x[rows] @ block.T)
                 if clamp:
                     d += x_sq[rows, None]
                     d = np.where(d > 0, d, 0.0)
@@ -42,20 +69,18 @@ def nearest(x: np.ndarray, c: np.ndarray, c_sq: np.ndarray, clamp: bool, best: n
                     d[np.isnan(d)] = np.inf
                 at = d.argmin(axis=1)
                 low = d[np.arange(len(d)), at]
-                slack = 1e-12 * (np.abs(low) + x_sq[rows] + 1.0 + np.abs(c_sq[b : b + width]).max(initial=0.0))
-                close = np.flatnonzero((d <= (low + slack)[:, None]).sum(axis=1) > 1)
-                for r in close.tolist():
-                    near = np.flatnonzero(d[r] <= low[r] + slack[r])
-                    exact = c_sq[b + near] - 2.0 * np.array([np.add.reduce(x[a + r] * block[k]) for k in near])
-                    if clamp:
-                        exact = exact + x_sq[a + r]
-                        exact = np.where(exact > 0, exact, 0.0)
-                    else:
-                        exact = np.where(np.isnan(exact), np.inf, exact)
-                    at[r], low[r] = near[exact.argmin()], exact.min()
+                slack = np.where(np.isfinite(low), 1e-12 * (np.abs(low) + x_sq[rows] + 1.0 + np.abs(block_sq[np.isfinite(block_sq)]).max(initial=0.0)), -np.inf)
+                near = d <= (low + slack)[:, None]
+                near[np.arange(len(d)), at] = True
+                r, k = np.nonzero(near)
+                exact = _exact(x[rows], x_sq[rows], block, block_sq, r, k, clamp)
+                first = np.searchsorted(r, np.arange(len(d)))
+                low = np.minimum.reduceat(exact, first)
+                won = np.flatnonzero(exact == low[r])
+                at = k[won[np.searchsorted(r[won], np.arange(len(d)))]]
                 better = low < best[rows]
                 best[rows] = np.where(better, low, best[rows])
-                label[rows] = np.where(better, base + b + at, label[rows])
+                label[rows] = np.where(better, names[b + at], label[rows])
     return best, label
 
 
@@ -68,3 +93,13 @@ def partial_sums(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray,
     if not len(names):
         return names, np.zeros((0, x.shape[1])), np.zeros(0, np.int64)
     return names, np.add.reduceat(x[order], begin, axis=0), np.diff(np.append(begin, len(order)))
+
+
+def run_sums(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As partial_sums, for rows that already lie in runs of equal labels; a cluster occurs once a run."""
+    inside = (label >= 0) & (label < k)
+    x, label = x[inside], label[inside]
+    begin = np.flatnonzero(np.diff(label, prepend=-1))
+    if not len(begin):
+        return label, np.zeros((0, x.shape[1])), np.zeros(0, np.int64)
+    return label[begin], np.add.reduceat(x, begin, axis=0), np.diff(np.append(begin, len(label)))

@@ -1,7 +1,7 @@
 """The Lloyd iteration.
 
-Each iteration is one scan: a kernel assigns the points of an Arrow batch and
-returns partial sums, which one small shuffle adds up. Centroids are held by the
+Each iteration is one scan: a kernel assigns the points and adds them up over its
+task, and one small shuffle adds up the tasks. Centroids are held by the
 driver and sent to the workers while they fit ``assign.BLOCK_BYTES``; larger
 ones stay in tables, and the same iteration runs as assignment in blocks,
 update and finalise, with a table written for each new set of centroids.
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import rounded, to_precision
 from ..plans.scratch import keep
 from ..sources.points import random_rows
-from .assign import BLOCK_BYTES, assign, dimension, validate
-from .kernel import matrix, nearest
-from .update import PARTIAL, centroid_finalize, centroid_update_labelled, merge, partial_table
+from .assign import BLOCK_BYTES, assign, dimension, packed_block, validate
+from .kernel import matrix, nearest, squares
+from .update import PARTIAL, Partials, centroid_finalize, centroid_update_labelled, merge
 
 log = logging.getLogger(__name__)
 
@@ -43,36 +44,45 @@ def _table(points: DataFrame, held: dict[int, np.ndarray]) -> DataFrame:
     return points.sparkSession.createDataFrame(rows, "batch_id int, k int, c array<double>")
 
 
-def _step(points: DataFrame, held: dict[int, np.ndarray], dims: int, clamp: bool) -> dict[int, np.ndarray]:
-    """New centroids: one scan, partial sums, one shuffle of a row for each task and cluster."""
-    norms = {b: np.einsum("ij,ij->i", c, c) for b, c in held.items()}
+def _step(points: DataFrame, held: dict[int, np.ndarray], dims: int, clamp: bool, precision: str) -> dict[int, np.ndarray]:
+    """New centroids: one scan, partial sums, one shuffle of an array for each task and cluster."""
+    which = np.concatenate([np.full(len(c), b) for b, c in held.items()])
+    names = np.concatenate([np.arange(len(c)) for c in held.values()])
+    everything = np.concatenate(list(held.values()))
+    block, most = packed_block(which, names, everything, squares(everything)), max(map(len, held.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Partials(most)
         for batch in batches:
             if batch.num_rows:
                 which = batch.column("batch_id").to_numpy(zero_copy_only=False)
                 x = matrix(batch.column("x"), dims)
                 label = np.full(len(x), -1, np.int32)
-                for b, c in held.items():
+                for b, (numbers, c, c_sq) in block.items():
                     rows = np.flatnonzero(which == b)
                     if len(rows):
-                        label[rows] = nearest(x[rows], c, norms[b], clamp)[1]
-                yield partial_table(which, x, label, max(map(len, held.values())))
+                        label[rows] = nearest(x[rows], c, c_sq, clamp, names=numbers)[1]
+                yield from found.add(which, x, label)
+        yield found.rows()
 
     found = merge(points.select("batch_id", "x").mapInArrow(run, PARTIAL)).toArrow()
     new = {b: c.copy() for b, c in held.items()}
     for b, k, sums, n in zip(*(found.column(c).to_pylist() for c in ("batch_id", "k", "sums", "cnt"))):
-        new[b][k] = np.asarray(sums) / n
+        new[b][k] = to_precision(np.asarray(sums) / n, precision)
     return new
 
 
-def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tol: float = 0.0, init: DataFrame | None = None, verbose: bool = False, seed: int = 0, clamp: bool = True, check: bool = True, persist: bool = False) -> Result:
+def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tol: float = 0.0, init: DataFrame | None = None, verbose: bool = False, seed: int = 0, clamp: bool = True, check: bool = True, persist: bool = False, precision: str = "double") -> Result:
     """Labels, centroids, the number of iterations, and the moves if ``tol`` or ``verbose`` asked for them.
 
     ``init`` has n_clusters centroids in each batch; without it, points are drawn with replacement by ``seed``. Labels are null
     if ``max_iters`` is 0. Vectors that are null, ragged or incomplete fail. ``persist`` caches the points for the iterations.
+    ``precision`` (double, single, half or bfloat) is that of points, first centroids and each iteration's centroids; sums and
+    distances of such numbers are taken in double.
     """
-    centroids = keep(init if init is not None else random_rows(points, n_clusters, seed), "centroids")
+    points = points.withColumn("x", rounded(F.col("x"), precision))
+    centroids = init if init is not None else random_rows(points, n_clusters, seed)
+    centroids = keep(centroids.withColumn("c", rounded(F.col("c"), precision)), "centroids")
     dims = dimension(centroids)
     sizes = centroids.groupBy("batch_id").count()
     if sizes.filter(F.col("count") != n_clusters).take(1):
@@ -90,13 +100,13 @@ def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tol: float
     before, shifts, done = centroids, [], 0
     for done in range(1, max_iters + 1):
         if small:
-            new = _step(points, held, dims, clamp)
+            new = _step(points, held, dims, clamp, precision)
             last, shift = held, max(float(np.sqrt(((new[b] - held[b]) ** 2).sum(axis=1)).max()) for b in held) if watched else None
             held = new
         else:
             before = centroids
             labelled = assign(points, before, clamp, "arrow", with_points=True)
-            centroids = keep(centroid_finalize(centroid_update_labelled(labelled, n_clusters, dims), before), "centroids")
+            centroids = keep(centroid_finalize(centroid_update_labelled(labelled, n_clusters, dims), before, precision), "centroids")
             shift = largest_move(before, centroids) if watched else None
         if watched:
             shifts.append(shift)
@@ -123,15 +133,15 @@ def largest_move(old: DataFrame, new: DataFrame) -> float:
 class KMeans:
     """fit and predict over the functions above."""
 
-    def __init__(self, n_clusters: int, max_iters: int = 100, tol: float = 0.0, seed: int = 0, clamp: bool = True):
-        self.n_clusters, self.max_iters, self.tol, self.seed, self.clamp = n_clusters, max_iters, tol, seed, clamp
+    def __init__(self, n_clusters: int, max_iters: int = 100, tol: float = 0.0, seed: int = 0, clamp: bool = True, precision: str = "double"):
+        self.n_clusters, self.max_iters, self.tol, self.seed, self.clamp, self.precision = n_clusters, max_iters, tol, seed, clamp, precision
         self.result: Result | None = None
 
     def fit(self, points: DataFrame, init: DataFrame | None = None) -> KMeans:
-        self.result = kmeans(points, self.n_clusters, self.max_iters, self.tol, init, seed=self.seed, clamp=self.clamp)
+        self.result = kmeans(points, self.n_clusters, self.max_iters, self.tol, init, seed=self.seed, clamp=self.clamp, precision=self.precision)
         return self
 
     def predict(self, points: DataFrame) -> DataFrame:
         if self.result is None:
             raise ValueError("fit first")
-        return assign(points, self.result.centroids, self.clamp)
+        return assign(points.withColumn("x", rounded(F.col("x"), self.precision)), self.result.centroids, self.clamp)

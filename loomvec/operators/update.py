@@ -1,49 +1,93 @@
 """Grouped sums and counts of points by label, and new centroids from them.
 
 accumulators: ``batch_id INT, k INT, sums ARRAY<DOUBLE>, cnt INT``, dense over
-0..K-1 for every batch. Sums are taken inside each Arrow batch first, so the
-shuffle carries a row for each task and cluster, whatever the number of points.
+0..K-1 for every batch. A task adds up all its points first, so the shuffle
+carries one array for each task and cluster, whatever the number of points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import matrix, partial_sums
+from ..functions.vectors import rounded
+from .kernel import matrix, partial_sums, run_sums
 
 PARTIAL = "batch_id int, k int, sums array<double>, cnt long"
-
-
-def partial_table(which: np.ndarray, x: np.ndarray, label: np.ndarray, k: int) -> pa.RecordBatch:
-    """Partial accumulators of one Arrow batch."""
-    out: list[tuple[int, int, np.ndarray, int]] = []
-    for b in np.unique(which):
-        rows = which == b
-        out += [(int(b), int(name), s, int(n)) for name, s, n in zip(*partial_sums(x[rows], label[rows], k))]
-    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.float64())), pa.array([o[3] for o in out], pa.int64())], names=["batch_id", "k", "sums", "cnt"])
-
-
-def _partials(labelled: DataFrame, k: int, dims: int) -> DataFrame:
+#: Bytes of sums that a task holds before it passes them on.
+HELD_BYTES = 64 << 20
+
+
+class Partials:
+    """Sums and counts of one task, by batch and cluster."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size = k, {}, 0
+
+    def add(self, which: np.ndarray, x: np.ndarray, label: np.ndarray, sums: Callable = partial_sums) -> Iterator[pa.RecordBatch]:
+        """Take the points of an Arrow batch; rows come out only when HELD_BYTES are full."""
+        for b in np.unique(which).tolist():
+            rows = which == b
+            for name, total, n in zip(*sums(x[rows], label[rows], self.k)):
+                key = b, int(name)
+                if key in self.held:
+                    self.held[key][0] += total
+                    self.held[key][1] += int(n)
+                else:
+                    self.held[key] = [total.copy(), int(n)]
+                    self.size += total.nbytes
+        if self.size > HELD_BYTES:
+            yield self.rows()
+
+    def rows(self) -> pa.RecordBatch:
+        keys = sorted(self.held)
+        found = [self.held[key] for key in keys]
+        self.held, self.size = {}, 0
+        columns = pa.array([b for b, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.float64())), pa.array([f[1] for f in found], pa.int64())
+        return pa.RecordBatch.from_arrays(list(columns), names=["batch_id", "k", "sums", "cnt"])
+
+
+def _partials(labelled: DataFrame, k: int, dims: int, sums: Callable = partial_sums) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Partials(k)
         for batch in batches:
             if batch.num_rows:
                 label = batch.column("cluster_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                yield partial_table(batch.column("batch_id").to_numpy(zero_copy_only=False), matrix(batch.column("x"), dims), label, k)
+                yield from held.add(batch.column("batch_id").to_numpy(zero_copy_only=False), matrix(batch.column("x"), dims), label, sums)
+        yield held.rows()
 
     return labelled.select("batch_id", "x", F.col("cluster_id").cast("int").alias("cluster_id")).mapInArrow(run, PARTIAL)
 
 
 def merge(partials: DataFrame) -> DataFrame:
-    """Add accumulators of equal (batch, k), component by component."""
-    each = partials.select("batch_id", "k", "cnt", F.posexplode("sums").alias("dim", "value"))
-    summed = each.groupBy("batch_id", "k", "dim").agg(F.sum("value").alias("value"), F.sum("cnt").alias("cnt"))
-    packed = F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"])
-    return summed.groupBy("batch_id", "k").agg(packed.alias("sums"), F.max("cnt").cast("int").alias("cnt"))
+    """Add accumulators of equal (batch, k): arrays are shuffled and added, in the order of the partitions they come from."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        for batch in batches:
+            rows = []
+            for b, k, sums, n in zip(*(batch.column(c) for c in ("batch_id", "k", "sums", "cnt"))):
+                key, values = (b.as_py(), k.as_py()), sums.values.to_numpy()
+                if last and last[0] == key:
+                    last = key, last[1] + values, last[2] + n.as_py()
+                else:
+                    rows += [last] if last else []
+                    last = key, values, n.as_py()
+            yield table(rows)
+        if last:
+            yield table([last])
+
+    def table(rows: list) -> pa.RecordBatch:
+        columns = pa.array([r[0][0] for r in rows], pa.int32()), pa.array([r[0][1] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.int32())
+        return pa.RecordBatch.from_arrays(list(columns), names=["batch_id", "k", "sums", "cnt"])
+
+    placed = partials.select("batch_id", "k", "sums", F.col("cnt").cast("long").alias("cnt"), F.spark_partition_id().alias("part"))
+    ordered = placed.repartition("batch_id", "k").sortWithinPartitions("batch_id", "k", "part", "cnt").drop("part")
+    return ordered.mapInArrow(add, "batch_id int, k int, sums array<double>, cnt int")
 
 
 def dense(found: DataFrame, batches: DataFrame, k: int, dims: int) -> DataFrame:
@@ -64,9 +108,22 @@ def centroid_update_labelled(labelled: DataFrame, k: int, dims: int) -> DataFram
     return dense(merge(_partials(labelled, k, dims)), labelled, k, dims)
 
 
-def centroid_update_sorted(points: DataFrame, order: DataFrame, k: int, dims: int) -> DataFrame:
-    """As centroid_update, for labels given with the row they belong to in sorted order (position, point_id, cluster_id)."""
-    return centroid_update(points, order.select("batch_id", "point_id", "cluster_id"), k, dims)
+def gather(points: DataFrame, order: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Points in the order of a permutation: row ``position`` is the point whose number is ``perm[position]``.
+
+    ``order`` has batch_id, position and perm; ``numbered`` has each point's batch_id, point_id and number ``at``.
+    """
+    named = numbered.select("batch_id", "point_id", F.col("at").alias("perm"))
+    return points.join(named, ["batch_id", "point_id"]).join(order, ["batch_id", "perm"])
+
+
+def centroid_update_sorted(gathered: DataFrame, k: int, dims: int) -> DataFrame:
+    """As centroid_update, for gathered points with ``position`` in label order: runs of one label are added as they lie.
+
+    Positions are range-partitioned, so a cluster of many points is split among tasks and each adds one run.
+    """
+    lying = gathered.repartitionByRange("batch_id", "position").sortWithinPartitions("batch_id", "position")
+    return dense(merge(_partials(lying, k, dims, run_sums)), gathered, k, dims)
 
 
 def accumulate(new: DataFrame, prior: DataFrame) -> DataFrame:
@@ -75,11 +132,11 @@ def accumulate(new: DataFrame, prior: DataFrame) -> DataFrame:
     return merge(new.select(columns).unionByName(prior.select(columns)))
 
 
-def centroid_finalize(accumulators: DataFrame, old: DataFrame) -> DataFrame:
-    """Mean of each cluster; a cluster without points keeps its old centroid."""
+def centroid_finalize(accumulators: DataFrame, old: DataFrame, precision: str = "double") -> DataFrame:
+    """Mean of each cluster, rounded to the precision; a cluster without points keeps its old centroid."""
     joined = old.select("batch_id", "k", "c").join(accumulators, ["batch_id", "k"], "left")
-    mean = F.when(F.col("cnt") > 0, F.transform("sums", lambda s: s / F.col("cnt"))).otherwise(F.col("c"))
-    return joined.select("batch_id", "k", mean.alias("c"))
+    mean = rounded(F.transform("sums", lambda s: s / F.col("cnt")), precision)
+    return joined.select("batch_id", "k", F.when(F.col("cnt") > 0, mean).otherwise(F.col("c")).alias("c"))
 
 
 def long_form(centroids: DataFrame, vector: str = "c") -> DataFrame:
