@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import drawn
 from .assign import assign
 
 
@@ -22,10 +23,10 @@ def inertia(points: DataFrame, labels: DataFrame, centroids: DataFrame) -> DataF
 def sampled_inertia(points: DataFrame, centroids: DataFrame, sample: int | None = None, seed: int = 0, ids=None) -> DataFrame:
     """Sum of least squared distances over a sample of point ids, the same in every batch.
 
-    ``ids`` is a condition that picks the sample; otherwise ``sample`` ids of least seeded hash are taken.
+    ``ids`` is a condition that picks the sample; otherwise ``sample`` ids of least seeded draw are taken.
     """
     if ids is None:
-        chosen = points.select("point_id").distinct().orderBy(F.xxhash64(F.lit(seed), "point_id"), "point_id").limit(sample)
+        chosen = points.select("point_id").distinct().orderBy(drawn(seed, F.col("point_id")), "point_id").limit(sample)
         points = points.join(chosen, "point_id", "left_semi")
     else:
         points = points.filter(ids)

@@ -12,13 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, rounded, sq_norm
+from ..functions.vectors import FORMATS, dot, rounded, sq_norm
 from ..operators import measures
 from ..operators.assign import assign, brute_force, cross_products
-from ..operators.kmeans import kmeans
-from ..operators.update import accumulate, centroid_finalize, centroid_update, centroid_update_sorted, long_form
-from ..sources.points import first_k, gaussian_points, points, random_rows, vector
+from ..operators.kmeans import KMeans, kmeans
+from ..operators.update import accumulate, centroid_finalize, centroid_update, centroid_update_sorted, gather, long_form
+from ..sources.points import first_k, gaussian_points, points, random_rows, read_points, vector, write_table
+from ..streaming.assign import assign_stream, write_labels
 from .ordering import dense_index
+from .scratch import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, DIMS = 16, 64
@@ -102,6 +104,12 @@ def assign_odd_d(spark, sf):
     return _labels(assign(cut(_embeddings(spark, sf), "x"), cut(_start(spark, sf), "c")))
 
 
+def assign_k8192_doubled(spark, sf):
+    """4096 generated centroids, each twice, so that equal ones lie in different blocks of the kernel."""
+    one = gaussian_points(spark, 1, 4096, DIMS, 5).select("batch_id", F.col("point_id").cast("int").alias("k"), F.col("x").alias("c"))
+    return _labels(assign(_embeddings(spark, sf), one.unionByName(one.withColumn("k", F.col("k") + 4096))))
+
+
 def assign_k_gt_n(spark, sf):
     """Five regions against twenty-five nations, by key."""
     regions = points(spark.read.parquet(f"{sf}/region.parquet"), "r_regionkey", vector("r_regionkey"))
@@ -178,9 +186,19 @@ def centroid_update_accumulate(spark, sf):
     return _long_sums(accumulate(one, two))
 
 
+def _gathered(spark, sf):
+    """Points in label order: the permutation names each point by its number in id order."""
+    numbered = dense_index(_assigned(spark, sf), ["batch_id"], ["point_id"], "at")
+    order = dense_index(numbered.withColumnRenamed("at", "perm"), ["batch_id"], ["cluster_id", "point_id"], "position").select("batch_id", "position", "perm", "cluster_id")
+    return gather(_embeddings(spark, sf), order, numbered)
+
+
+def gather_by_permutation(spark, sf):
+    return _gathered(spark, sf).select("position", "perm", "point_id", F.element_at("x", 1).alias("x_first"), F.element_at("x", DIMS).alias("x_last"))
+
+
 def centroid_update_indexed(spark, sf):
-    order = dense_index(_assigned(spark, sf), ["batch_id"], ["cluster_id", "point_id"], "position")
-    return _long_sums(centroid_update_sorted(_embeddings(spark, sf), order, K, DIMS))
+    return _long_sums(centroid_update_sorted(_gathered(spark, sf), K, DIMS))
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -228,6 +246,50 @@ def kmeans_tol_stop(spark, sf):
     return _long(run.centroids).withColumn("n_iters", F.lit(run.n_iters))
 
 
+def _short(spark, sf, precision):
+    """Three iterations whose points and centroids are rounded to a shorter format."""
+    return _long(kmeans(_embeddings(spark, sf), K, 3, init=_start(spark, sf), precision=precision).centroids)
+
+
+def kmeans_half(spark, sf):
+    return _short(spark, sf, "half")
+
+
+def kmeans_bfloat(spark, sf):
+    return _short(spark, sf, "bfloat")
+
+
+def kmeans_single(spark, sf):
+    return _short(spark, sf, "single")
+
+
+def fit_predict(spark, sf):
+    pts = _embeddings(spark, sf)
+    return _labels(KMeans(K, 3).fit(pts, _start(spark, sf)).predict(pts))
+
+
+def scan_points(spark, sf):
+    """The scan of a Parquet table as points, by batch."""
+    pts = read_points(spark, f"{sf}/embeddings.parquet", "vec_id", "embedding", "label")
+    return pts.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("point_id").alias("last"), F.sum(F.element_at("x", 1)).alias("total"))
+
+
+def sink_labels(spark, sf):
+    """Labels written as a table and read again."""
+    path = fresh(spark, "labels")
+    write_table(_assigned(spark, sf), path)
+    return _labels(spark.read.parquet(path))
+
+
+def stream_assign(spark, sf):
+    """Labels of a stream of all points, appended to a table until the stream has nothing new."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf}/embeddings[.]parquet")  # a pattern may name one file
+    path = fresh(spark, "stream")
+    write_labels(assign_stream(points(stream, "vec_id", "embedding"), _start(spark, sf)), path, f"{path}-state").awaitTermination()
+    return _labels(spark.read.schema("batch_id int, point_id long, cluster_id int").parquet(path))
+
+
 def reassign_final(spark, sf):
     return _labels(assign(_embeddings(spark, sf), _run(spark, sf, 3).centroids))
 
@@ -245,6 +307,12 @@ def inertia_sampled(spark, sf):
     return found.select(F.round("inertia", 6).alias("inertia"), "n_points")
 
 
+def inertia_drawn(spark, sf):
+    """Exact inertia over 200 drawn points."""
+    found = measures.sampled_inertia(_embeddings(spark, sf), _run(spark, sf, 3).centroids, sample=200, seed=11)
+    return found.select(F.round("inertia", 6).alias("inertia"), "n_points")
+
+
 def inertia_delta(spark, sf):
     """Relative change of the inertia from one iteration to three."""
     pts = _embeddings(spark, sf)
@@ -291,7 +359,8 @@ def init_random(spark, sf):
 
 def datagen_kmeans(spark, sf):
     pts = gaussian_points(spark, 2, 4096, 16, 3)
-    return long_form(kmeans(pts, 8, 2, init=first_k(pts, 8)).centroids)
+    found = long_form(kmeans(pts, 8, 2, init=first_k(pts, 8)).centroids)
+    return found.select("batch_id", "k", "dim", F.round("value", 6).alias("value"))
 
 
 def operation_counts(spark, sf):
@@ -307,6 +376,7 @@ def queries() -> dict[str, Query]:
         label_runs_256, centroid_update_sums, centroid_update_out_of_range, centroid_update_accumulate, centroid_update_indexed, centroid_finalize_means, centroid_finalize_empty,
         kmeans_iter1, kmeans_labels_5, kmeans_centroids_5, kmeans_batched, kmeans_shift_history, kmeans_tol_stop, reassign_final, inertia_final, inertia_sampled, inertia_delta,
         empty_cluster_count, label_disagreement, centroid_drift, centroid_off_fraction, label_summary, lineitem_kmeans, init_random, datagen_kmeans, operation_counts,
+        assign_k8192_doubled, gather_by_permutation, kmeans_half, kmeans_bfloat, kmeans_single, fit_predict, scan_points, sink_labels, stream_assign, inertia_drawn,
     )
     return {f.__name__: f for f in found}
 
@@ -335,14 +405,47 @@ def _update(name: str, labels: str, cents: str, pts: str = "p") -> str:
   ON s.b = u.b AND s.k = u.k AND s.dim = u.dim)"""
 
 
-def _final(name: str, sums: str) -> str:
-    return f"{name} AS MATERIALIZED (SELECT b, k, list(CASE WHEN n > 0 THEN value / n ELSE old END ORDER BY dim) AS c FROM {sums} GROUP BY b, k)"
+def _short_of(v: str, precision: str) -> str:
+    """A value rounded to nearest, ties to even, in a shorter format."""
+    if precision == "double":
+        return v
+    if precision == "single":
+        return f"({v})::FLOAT::DOUBLE"
+    bits, least = FORMATS[precision]
+    v = _short_of(v, "single") if precision == "bfloat" else f"({v})"
+    unit = f"pow(2.0, greatest(floor(log2(abs({v}))), {least}) - {bits})"
+    return f"(CASE WHEN {v} = 0 THEN {v} ELSE round_even({v} / {unit}, 0) * {unit} END)"
 
 
-def _lloyd(iters: int, pts: str = "p") -> str:
+def _short_points(precision: str) -> str:
+    return f"p AS MATERIALIZED (SELECT 0 AS b, vec_id AS id, list_transform(embedding::DOUBLE[], lambda v: {_short_of('v', precision)}) AS x FROM embeddings)"
+
+
+def _drawn(seed: int, *keys: str) -> str:
+    """The seeded draw of integer keys."""
+    h = f"{seed}::BIGINT"
+    for key in keys:
+        h = f"(({h} + {key} + 1013904223) * 747796405 % 4294967296)"
+        h = f"(xor({h}, {h} >> 16) * 569420461 % 4294967296)"
+        h = f"xor({h}, {h} >> 15)"
+    return h
+
+
+def _normal_points(name: str, batches: int, n: int, dims: int, seed: int) -> str:
+    one, two = (_drawn(seed, "b", "id", f"(2 * d + {k})") for k in (0, 1))
+    value = f"sqrt(-2 * ln(({one} + 0.5) / 4294967296.0)) * cos({two} * (2 * pi() / 4294967296.0))"
+    rows = f"FROM range({batches}) t(b), range({n}) u(id), range({dims}) v(d)"
+    return f"{name} AS MATERIALIZED (SELECT b, id, list(v ORDER BY d) AS x FROM (SELECT b, id, d, ({value})::DOUBLE AS v {rows}) GROUP BY b, id)"
+
+
+def _final(name: str, sums: str, precision: str = "double") -> str:
+    return f"{name} AS MATERIALIZED (SELECT b, k, list(CASE WHEN n > 0 THEN {_short_of('value / n', precision)} ELSE old END ORDER BY dim) AS c FROM {sums} GROUP BY b, k)"
+
+
+def _lloyd(iters: int, pts: str = "p", precision: str = "double") -> str:
     steps = []
     for i in range(iters):
-        steps += [_assign(f"a{i}", f"c{i}", pts), _update(f"u{i}", f"a{i}", f"c{i}", pts), _final(f"c{i + 1}", f"u{i}")]
+        steps += [_assign(f"a{i}", f"c{i}", pts), _update(f"u{i}", f"a{i}", f"c{i}", pts), _final(f"c{i + 1}", f"u{i}", precision)]
     return ", ".join(steps)
 
 
@@ -377,7 +480,14 @@ def oracle_sql() -> dict[str, str]:
     line = "p AS MATERIALIZED (SELECT 0 AS b, row_number() OVER () AS id, [l_quantity, l_extendedprice, l_discount] AS x FROM lineitem)", "c0 AS MATERIALIZED (SELECT 0 AS b, r::INT AS k, [3.0::DOUBLE + 6 * r, 5000.0 + 11000 * r, 0.05] AS c FROM range(8) t(r))"
     plain = "(x[1]*x[1] + x[2]*x[2] + x[3]*x[3]) + (c[1]*c[1] + c[2]*c[2] + c[3]*c[3]) - 2 * (x[1]*c[1] + x[2]*c[2] + x[3]*c[3])"
     line_steps = [_assign("a0", "c0", distance=plain), _update("u0", "a0", "c0"), _final("c1", "u0"), _assign("a1", "c1", distance=plain)]
-    sweep = " UNION ALL ".join(f"SELECT {d}::INT AS d, 0.0::DOUBLE AS disagreement, count(*) AS n_points FROM embeddings" for d in (1, 7, 16, 31, 64))
+    steps, sweep = [], []
+    for d in (1, 7, 16, 31, 64):
+        steps += [f"p{d} AS MATERIALIZED (SELECT b, id, x[1:{d}] AS x FROM p)", f"c{d} AS MATERIALIZED (SELECT b, id::INT AS k, x AS c FROM p{d} WHERE id < {K})"]
+        steps += [_assign(f"a{d}", f"c{d}", f"p{d}"), _assign(f"g{d}", f"c{d}", f"p{d}", square)]
+        sweep.append(f"SELECT {d}::INT AS d, avg((a{d}.k <> g{d}.k)::INT)::DOUBLE AS disagreement, count(*) AS n_points FROM a{d} JOIN g{d} USING (b, id)")
+    indexed = "m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY b ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY b) AS n FROM p)"
+    every_dim = "SELECT b::INT AS batch_id, k::INT AS k, dim::INT AS dim, {} AS value FROM (SELECT b, k, c, unnest(range(len(c))) AS dim FROM {})"
+    short = {precision: _with(_short_points(precision), _c0(), _lloyd(3, precision=precision)) + _FLAT.format("c3") for precision in ("half", "bfloat", "single")}
     return {
         "point_sq_norms": _with(_P) + "SELECT id AS point_id, round(list_dot_product(x, x), 6) AS x_sq FROM p",
         "centroid_sq_norms": _with(*base) + "SELECT k, round(list_dot_product(c, c), 6) AS c_sq FROM c0",
@@ -394,7 +504,21 @@ def oracle_sql() -> dict[str, str]:
         "assign_odd_d": _with(odd, _c0(), _assign("a0", "c0")) + labels.format("a0"),
         "assign_k_gt_n": "SELECT r_regionkey::BIGINT AS point_id, (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = r_regionkey)::INT AS cluster_id FROM region",
         "assign_given_norms": _with(*base, _assign("a0", "c0", distance="1.0 + k * 0.03125 - 2 * list_dot_product(x, c)")) + labels.format("a0"),
-        "d_sweep_disagreement": sweep,
+        "assign_half": _with(_short_points("half"), _c0(), _assign("a0", "c0")) + labels.format("a0"),
+        "assign_bfloat": _with(_short_points("bfloat"), _c0(), _assign("a0", "c0")) + labels.format("a0"),
+        "assign_k8192_doubled": _with(_P, _normal_points("g", 1, 4096, DIMS, 5), "c0 AS MATERIALIZED (SELECT 0 AS b, id::INT AS k, x AS c FROM g)", _assign("a0", "c0", distance=distance)) + labels.format("a0"),
+        "gather_by_permutation": _with(*base, _assign("a0", "c0"), sorted_rows) + f"SELECT position, (SELECT count(*) FROM p q WHERE q.id < o.point_id) AS perm, point_id, x[1] AS x_first, x[{DIMS}] AS x_last FROM o JOIN p ON p.id = o.point_id",
+        "kmeans_half": short["half"],
+        "kmeans_bfloat": short["bfloat"],
+        "kmeans_single": short["single"],
+        "fit_predict": _with(*base, _lloyd(3), _assign("a3", "c3")) + labels.format("a3"),
+        "scan_points": "SELECT label AS batch_id, count(*) AS n, max(vec_id) AS last, sum(embedding[1]::DOUBLE) AS total FROM embeddings GROUP BY label",
+        "sink_labels": _with(*base, _assign("a0", "c0")) + labels.format("a0"),
+        "stream_assign": _with(*base, _assign("a0", "c0")) + labels.format("a0"),
+        "inertia_drawn": _with(*base, _lloyd(3), _assign("a3", "c3")) + f"SELECT round(inertia, 6) AS inertia, n AS n_points FROM ({total.format('a3', 'c3')} WHERE id IN (SELECT id FROM p ORDER BY {_drawn(11, 'id')}, id LIMIT 200))",
+        "init_random": _with(by_label[0], indexed, f"s AS (SELECT b, n, k, {_drawn(7, 'b', 'k')} % n AS pos FROM (SELECT DISTINCT b, n FROM m), range(4) t(k))", "c0 AS (SELECT b, k, x AS c FROM s JOIN m USING (b, pos))") + every_dim.format("c[dim + 1]", "c0"),
+        "datagen_kmeans": _with(_normal_points("p", 2, 4096, 16, 3), "c0 AS MATERIALIZED (SELECT b, id::INT AS k, x AS c FROM p WHERE id < 8)", _lloyd(2)) + every_dim.format("round(c[dim + 1], 6)", "c2"),
+        "d_sweep_disagreement": _with(_P, *steps) + " UNION ALL ".join(sweep),
         "label_sort_permutation": _with(*base, _assign("a0", "c0"), sorted_rows) + "SELECT * FROM o",
         "label_runs_256": _with(*base, _assign("a0", "c0"), sorted_rows) + "SELECT position // 256 AS block, cluster_id, min(position) AS run_start, count(*) AS run_length FROM o GROUP BY ALL",
         "centroid_update_sums": _with(*base, _assign("a0", "c0"), _update("u0", "a0", "c0")) + sums.format("u0"),

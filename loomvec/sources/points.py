@@ -7,10 +7,14 @@ labels: ``batch_id INT, point_id BIGINT, cluster_id INT``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vectors import drawn
+
 
 def points(df: DataFrame, id_col: str | Column, vector_col: str | Column, batch_col: str | Column | None = None) -> DataFrame:
     """Any table with an identifier and a vector (or an array of numeric columns) as points; one batch unless named."""
@@ -35,10 +39,14 @@ def write_table(df: DataFrame, path: str, source: str = "parquet", mode: str = "
 
 
 def gaussian_points(spark: SparkSession, batches: int, n: int, dims: int, seed: int = 0) -> DataFrame:
-    """Seeded standard normal points; the value at (batch, point, dim) depends on the seed and the partitioning."""
-    rows = spark.range(batches * n)
-    x = F.array(*(F.randn(seed + d) for d in range(dims)))
-    return rows.select((F.col("id") / n).cast("int").alias("batch_id"), (F.col("id") % n).alias("point_id"), x.alias("x"))
+    """Seeded standard normal points; a value depends on the seed, batch, point and dimension alone."""
+    rows = spark.range(batches * n).select((F.col("id") / n).cast("int").alias("batch_id"), (F.col("id") % n).alias("point_id"))
+
+    def normal(d: Column) -> Column:
+        one, two = (drawn(seed, F.col("batch_id"), F.col("point_id"), 2 * d + k) for k in (0, 1))
+        return F.sqrt(-2.0 * F.log((one + 0.5) / 2.0**32)) * F.cos(two * (2.0 * math.pi / 2.0**32))
+
+    return rows.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), normal))
 
 
 def first_k(pts: DataFrame, k: int) -> DataFrame:
@@ -48,11 +56,11 @@ def first_k(pts: DataFrame, k: int) -> DataFrame:
 
 
 def random_rows(pts: DataFrame, k: int, seed: int) -> DataFrame:
-    """k points of each batch drawn with replacement: draws of a seeded hash on the batch's dense row index."""
+    """k points of each batch drawn with replacement: seeded draws of the batch's dense row index."""
     from ..plans.ordering import dense_index
 
     indexed = dense_index(pts, ["batch_id"], ["point_id"], "at")
     sizes = indexed.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
     slots = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    draws = slots.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "batch_id", "k"), F.col("n")))
+    draws = slots.withColumn("at", drawn(seed, F.col("batch_id"), F.col("k")) % F.col("n"))
     return draws.join(indexed, ["batch_id", "at"]).select("batch_id", "k", F.col("x").alias("c"))

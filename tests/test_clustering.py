@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomvec.functions.vectors import to_bfloat, to_half
+from loomvec.functions.vectors import drawn, rounded, to_precision
 from loomvec.operators import assign as assign_module
 from loomvec.operators import kmeans as kmeans_module
 from loomvec.operators import measures
@@ -192,11 +192,148 @@ def test_measures(spark):
     assert spark.range(1).select(measures.relative_delta(F.lit(1.0), F.lit(0.0)).alias("d")).first().d is None
 
 
-def test_half_formats():
-    x = np.array([1.0, 1.0 + 2**-12, 3.14159, np.nan])
-    assert to_half(x)[1] == 1.0 and abs(to_half(x)[2] - 3.140625) < 1e-12
-    assert to_bfloat(x)[1] == 1.0 and to_bfloat(x)[2] == 3.140625 and np.isnan(to_bfloat(x)[3])
-    assert to_bfloat(np.array([1.0 + 2**-8]))[0] == 1.0 and to_bfloat(np.array([1.0 + 3 * 2**-8]))[0] == 1.0 + 2**-6
+def test_short_formats(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([[1.0, 1.0 + 2**-12, 3.14159, 0.0, -0.0, 2.0**-20, 1.0 + 2**-8, 1.0 + 3 * 2**-8, 1.0 + 2**-11, 65504.0], rng.standard_normal(300) * 10.0 ** rng.integers(-6, 4, 300)])
+    assert (to_precision(x, "half") == x.astype(np.float16).astype(float)).all()
+    assert (to_precision(x, "single") == x.astype(np.float32).astype(float)).all()
+    word = x.astype(np.float32).view(np.uint32).astype(np.uint64)
+    bfloat = ((word + 0x7FFF + (word >> 16 & 1)) & 0xFFFF0000).astype(np.uint32).view(np.float32).astype(float)
+    assert (to_precision(x, "bfloat") == bfloat).all() and (to_precision(x, "double") == x).all()
+    assert np.isnan(to_precision(np.array([np.nan, np.inf]), "half")[0]) and np.isinf(to_precision(np.array([np.inf]), "half")[0])
+    row = spark.createDataFrame([([float(v) for v in x],)], "x array<double>")
+    for precision in ("half", "bfloat", "single"):
+        assert row.select(rounded(F.col("x"), precision)).first()[0] == to_precision(x, precision).tolist()
+
+
+@pytest.mark.parametrize("precision", ["half", "bfloat", "single"])
+@pytest.mark.parametrize("block", [32 << 20, 64])
+def test_kmeans_in_short_formats(spark, monkeypatch, precision, block):
+    monkeypatch.setattr(kmeans_module, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((400, 6))
+    points, c = to_precision(x, precision), to_precision(x[:7], precision)
+    for _ in range(3):
+        label = gold(points, c)
+        c = np.array([to_precision(points[label == k].mean(0), precision) if (label == k).any() else c[k] for k in range(len(c))])
+    run = kmeans(frame(spark, x), 7, 3, init=cents(spark, x[:7]), precision=precision)
+    assert np.allclose(np.array([r.c for r in run.centroids.orderBy("k").collect()]), c, atol=1e-12)
+    assert labels_of(run.labels) == label.tolist()
+
+
+def test_draws_depend_on_seed_and_keys_alone(spark):
+    rows = spark.range(20000)
+    one = [r[0] for r in rows.select(drawn(3, F.col("id"))).collect()]
+    assert one == [r[0] for r in rows.repartition(9).sort("id").select(drawn(3, F.col("id"))).collect()]
+    assert len(set(one)) > 19990 and abs(np.mean(one) / 2**31 - 1) < 0.02 and one != [r[0] for r in rows.select(drawn(4, F.col("id"))).collect()]
+    x = np.array([r.x for r in gaussian_points(spark, 2, 3000, 4, 7).collect()])
+    assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03 and abs(np.corrcoef(x.T) - np.eye(4)).max() < 0.06
+
+
+def test_ties_between_blocks_of_the_kernel(spark):
+    """Equal centroids 4096 apart: the lower one wins, also where many rows tie."""
+    from loomvec.operators.kernel import nearest, squares
+
+    rng = np.random.default_rng(21)
+    x, c = rng.standard_normal((300, 24)), rng.standard_normal((4096, 24))
+    for clamp in (True, False):
+        best, label = nearest(x, np.vstack([c, c]), squares(np.vstack([c, c])), clamp)
+        assert (label == gold(x, c)).all()
+        assert (nearest(x, np.vstack([c[:1]] * 5000), squares(np.vstack([c[:1]] * 5000)), clamp)[1] == 0).all()
+    run = kmeans(frame(spark, x), 8192, 1, init=cents(spark, np.vstack([c, c])))
+    assert labels_of(run.labels) == gold(x, c).tolist()
+
+
+@pytest.mark.parametrize("k", [256, 2048, 4096, 8192])
+def test_more_centroids_than_points(spark, k):
+    rng = np.random.default_rng(k)
+    x, c = rng.standard_normal((256, 128)), rng.standard_normal((k, 128))
+    assert labels_of(assign(frame(spark, x), cents(spark, c))) == gold(x, c).tolist()
+
+
+def test_near_ties_are_decided_in_bulk():
+    """A million rows, each centroid twice: ties cost about as much as the product."""
+    import time
+
+    from loomvec.operators.kernel import distinct, nearest, squares
+
+    rng = np.random.default_rng(22)
+    x, c = rng.standard_normal((200_000, 8)), rng.standard_normal((8, 8))
+    both = np.vstack([c, c])
+    began = time.perf_counter()
+    _, label = nearest(x, both, squares(both), True)
+    assert time.perf_counter() - began < 2 and (label == gold(x, c)).all()
+    assert distinct(both, squares(both)).tolist() == list(range(8))
+
+
+def test_labels_do_not_depend_on_the_block_width(spark, monkeypatch):
+    """(1, 8192, 256, 128): one width and another, and one task or many, give the same labels and centroids."""
+    from loomvec.operators import kernel
+
+    pts = gaussian_points(spark, 1, 8192, 128, 9)
+    cs = first_k(pts, 256)
+    whole = labels_of(assign(pts, cs))
+    x = np.array([r.x for r in pts.orderBy("point_id").collect()])
+    assert whole == gold(x, x[:256]).tolist()
+    monkeypatch.setattr(kernel, "TILE", 5000)
+    assert kernel.nearest(x, x[:256], kernel.squares(x[:256]), True)[1].tolist() == whole
+    one, two = ({r.k: r.c for r in kmeans(p, 256, 3, init=cs).centroids.collect()} for p in (pts, pts.repartition(11)))
+    assert all(np.allclose(one[k], two[k], atol=1e-12) for k in range(256))
+
+
+def test_a_task_adds_up_before_the_shuffle(spark, monkeypatch):
+    from loomvec.operators import update
+
+    x = np.random.default_rng(3).standard_normal((5000, 6))
+    labelled = frame(spark, x).repartition(3).withColumn("cluster_id", (F.col("point_id") % 4).cast("int"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert update._partials(labelled, 4, 6).count() == 12
+        monkeypatch.setattr(update, "HELD_BYTES", 0)
+        got = {r.k: (r.sums, r.cnt) for r in update.merge(update._partials(labelled, 4, 6)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(np.allclose(got[k][0], x[k::4].sum(0)) and got[k][1] == 1250 for k in range(4))
+
+
+def test_points_in_permuted_order_give_the_same_sums(spark):
+    from loomvec.operators.update import centroid_update_sorted, gather
+    from loomvec.plans.ordering import dense_index
+
+    x = np.random.default_rng(13).standard_normal((700, 3))
+    pts = frame(spark, x)
+    labels = pts.select("batch_id", "point_id", (F.col("point_id") % 5 - 1).cast("int").alias("cluster_id"))  # -1 is out of range
+    numbered = dense_index(labels, ["batch_id"], ["point_id"], "at")
+    order = dense_index(numbered.withColumnRenamed("at", "perm"), ["batch_id"], ["cluster_id", "point_id"], "position")
+    gathered = gather(pts, order.select("batch_id", "position", "perm", "cluster_id"), numbered)
+    one, two = ({r.k: (r.sums, r.cnt) for r in t.collect()} for t in (centroid_update_sorted(gathered, 6, 3), centroid_update(pts, labels, 6, 3)))
+    assert set(one) == set(two) == set(range(6)) and all(np.allclose(one[k][0], two[k][0]) and one[k][1] == two[k][1] for k in one)
+
+
+def test_scan_and_sink(spark, tmp_path):
+    from loomvec.sources.points import read_points, write_table
+
+    spark.createDataFrame([(1, [1.0, 2.0], 3, "x"), (2, [3.0, 4.0], 4, "y")], "a long, v array<float>, g int, other string").write.json(str(tmp_path / "in"))
+    pts = read_points(spark, str(tmp_path / "in"), "a", "v", "g", source="json")
+    write_table(pts, str(tmp_path / "out"), "orc")
+    assert sorted((r.batch_id, r.point_id, r.x) for r in spark.read.orc(str(tmp_path / "out")).collect()) == [(3, 1, [1.0, 2.0]), (4, 2, [3.0, 4.0])]
+    with pytest.raises(Exception, match="exist"):
+        write_table(pts, str(tmp_path / "out"), "orc")
+
+
+def test_scratch_tables_can_be_discarded_and_need_a_shared_folder(spark, monkeypatch):
+    from pathlib import Path
+
+    from loomvec.plans import scratch
+
+    kept = scratch.keep(spark.range(5), "numbers")
+    folder = Path(scratch._PATHS[kept].removeprefix("file://"))
+    assert folder.is_dir() and kept.count() == 5
+    scratch.discard(kept)
+    assert not folder.exists()
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(spark)
 
 
 def test_stream_of_points(spark, tmp_path):
