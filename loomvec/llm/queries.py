@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, token_shards, url_filter
-from .url_filter import DEFAULT_RULES, SCALE, SYMBOLS
+from .url_filter import DEFAULT_RULES, ORDER, SCALE, SYMBOLS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,25 +85,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _url_sql() -> str:
     """The whole of op1: rules, both Markov models, the calibrated bound and the verdicts."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    upper, lower_case = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rules = ", ".join(f"('{rule}', '{verdict}', '{host}', '{rule[len(host):]}')" for rule, verdict, host in DEFAULT_RULES)
 
     def smooth(count: str, total: str, kinds: str, shorter: str) -> str:
         return f"CASE WHEN {total} + {kinds} > 0 THEN ({count} + {kinds} * ({shorter})) / ({total} + {kinds})::DOUBLE ELSE {shorter} END"
 
-    chance = {}
-    for c in "ab":
-        p1 = smooth(f"{c}1", f"{c}0", f"k{c}0", f"1.0::DOUBLE / {len(SYMBOLS)}")
-        p2 = smooth(f"{c}2", f"{c}c1", f"k{c}c1", f"p1{c}")
-        p3 = smooth(f"{c}3", f"{c}c2", f"k{c}c2", f"p2{c}")
-        chance[c] = p1, p2, p3
-    micro = ", ".join(f"floor((ln(p{n}a) - ln(p{n}b)) * {SCALE})::BIGINT AS m{n}" for n in (1, 2, 3))
+    levels = []
+    for n in range(1, ORDER + 2):
+        lower = ("s.pa", "s.pb") if n > 1 else (f"1.0::DOUBLE / {SYMBOLS}",) * 2
+        levels.append(f"""
+c{n} AS MATERIALIZED (SELECT right(gram, {n}) AS g, left(right(gram, {n}), {n - 1}) AS context, sum(a) AS a, sum(b) AS b FROM counts WHERE a + b > 0 GROUP BY ALL),
+x{n} AS MATERIALIZED (SELECT context, sum(a) AS ta, sum(b) AS tb, count(*) FILTER (a > 0) AS ka, count(*) FILTER (b > 0) AS kb FROM c{n} GROUP BY context),
+l{n} AS MATERIALIZED (SELECT c.g, {smooth('c.a', 'x.ta', 'x.ka', lower[0])} AS pa, {smooth('c.b', 'x.tb', 'x.kb', lower[1])} AS pb
+  FROM c{n} c JOIN x{n} x USING (context){f" JOIN l{n - 1} s ON right(c.g, {n - 1}) = s.g" if n > 1 else ""})""")
+    micro = ", ".join(f"floor((ln(l{n}.pa) - ln(l{n}.pb)) * {SCALE})::BIGINT" for n in range(ORDER + 1, 0, -1))
+    joins = " ".join(f"LEFT JOIN l{n} ON right(gram, {n}) = l{n}.g" for n in range(1, ORDER + 2))
     return f"""
 WITH parsed AS MATERIALIZED (
   SELECT row_number() OVER () AS uid, page_id,
-    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}'), '') AS host,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower_case}'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-    '^^' || regexp_replace(translate(coalesce(url, ''), '{upper}123456789', '{lower}000000000'), '[^a-z0./:\\-_?=&#%+]', '~', 'g') AS text
+    '{"^" * ORDER}' || translate(coalesce(url, ''), '{upper}', '{lower_case}') AS text
   FROM pages),
 rules(rule, verdict, name, prefix) AS (VALUES {rules}),
 fitted AS (
@@ -111,28 +114,12 @@ fitted AS (
   FROM parsed JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) GROUP BY uid),
 judged AS MATERIALIZED (SELECT p.*, f.rule, f.verdict FROM parsed p LEFT JOIN fitted f USING (uid)),
 grams AS MATERIALIZED (
-  SELECT uid, verdict, substring(text, spot, 3) AS gram
-  FROM (SELECT uid, verdict, text, unnest(generate_series(1, length(text) - 2)) AS spot FROM judged)),
-tri AS (
-  SELECT gram, gram[2:3] AS pair, gram[3:3] AS one, gram[1:2] AS ctx2, gram[2:2] AS ctx1,
-    count(*) FILTER (verdict = 'allow') AS a3, count(*) FILTER (verdict = 'block') AS b3
-  FROM grams WHERE verdict IS NOT NULL GROUP BY gram),
-ones AS (SELECT one, sum(a3) AS a1, sum(b3) AS b1 FROM tri GROUP BY one),
-whole AS (SELECT sum(a1) AS a0, sum(b1) AS b0, count(*) FILTER (a1 > 0) AS ka0, count(*) FILTER (b1 > 0) AS kb0 FROM ones),
-pairs AS (SELECT ctx1, one, sum(a3) AS a2, sum(b3) AS b2 FROM tri GROUP BY ctx1, one),
-after1 AS (SELECT ctx1, sum(a2) AS ac1, sum(b2) AS bc1, count(*) FILTER (a2 > 0) AS kac1, count(*) FILTER (b2 > 0) AS kbc1 FROM pairs GROUP BY ctx1),
-after2 AS (SELECT ctx2, sum(a3) AS ac2, sum(b3) AS bc2, count(*) FILTER (a3 > 0) AS kac2, count(*) FILTER (b3 > 0) AS kbc2 FROM tri GROUP BY ctx2),
-joined AS (SELECT * FROM tri JOIN ones USING (one) JOIN after1 USING (ctx1) JOIN pairs USING (ctx1, one) JOIN after2 USING (ctx2), whole),
-c1 AS (SELECT *, {chance['a'][0]} AS p1a, {chance['b'][0]} AS p1b FROM joined),
-c2 AS (SELECT *, {chance['a'][1]} AS p2a, {chance['b'][1]} AS p2b FROM c1),
-c3 AS (SELECT *, {chance['a'][2]} AS p3a, {chance['b'][2]} AS p3b FROM c2),
-model AS MATERIALIZED (SELECT gram, pair, one, {micro} FROM c3),
-m2s AS (SELECT DISTINCT pair, m2 FROM model),
-m1s AS (SELECT DISTINCT one, m1 FROM model),
-scored AS MATERIALIZED (
-  SELECT uid, floor(sum(coalesce(m.m3, m2s.m2, m1s.m1, 0))::DOUBLE / count(*))::BIGINT AS ratio
-  FROM grams g LEFT JOIN model m ON g.gram = m.gram LEFT JOIN m2s ON g.gram[2:3] = m2s.pair LEFT JOIN m1s ON g.gram[3:3] = m1s.one
-  GROUP BY uid),
+  SELECT uid, verdict, substring(text, spot, {ORDER + 1}) AS gram
+  FROM (SELECT uid, verdict, text, unnest(generate_series(1, length(text) - {ORDER})) AS spot FROM judged)),
+counts AS MATERIALIZED (SELECT gram, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM grams GROUP BY gram),
+{",".join(levels)},
+known AS MATERIALIZED (SELECT gram, coalesce({micro}, 0) AS micro FROM counts {joins}),
+scored AS MATERIALIZED (SELECT uid, floor(sum(micro)::DOUBLE / count(*))::BIGINT AS ratio FROM grams JOIN known USING (gram) GROUP BY uid),
 rated AS (SELECT j.*, coalesce(s.ratio, 0) AS r FROM judged j LEFT JOIN scored s USING (uid)),
 bound AS (SELECT (avg(r) FILTER (verdict = 'allow') + avg(r) FILTER (verdict = 'block')) / 2 AS bound FROM rated)
 SELECT page_id, host, path, rule,

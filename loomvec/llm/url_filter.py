@@ -3,16 +3,18 @@
 Rules are (host, path prefix, verdict); a rule fits its host and all subdomains,
 and the longest written rule wins. URLs that rules accept and URLs that rules
 reject train two variable-order Markov models over characters. A character is
-predicted from up to two before it, with Witten-Bell smoothing down to shorter
-contexts and at last a uniform one. A URL without a rule is judged by the
+predicted from up to ``order`` before it, with Witten-Bell smoothing down to
+shorter contexts and at last a uniform one. A URL without a rule is judged by the
 difference of its two log-likelihoods, divided by its length, against a bound
 calibrated half-way between the two classes' means.
 
-Everything is DataFrame expressions. Characters are folded to 40 symbols, so the
-model has at most 40 ** 3 grams and their suffixes: that bound, not the data, decides that it is
-broadcast. Log ratios are rounded to whole millionths and summed as integers, so
-results do not depend on the order of rows. Scoring is one pass with map-side
-combine; hot hosts or repeated URLs make no hot task.
+Everything is DataFrame expressions. Different grams of all URLs are counted once
+with map-side combine; every length of context is a grouped aggregate of these
+counts, joined to the next shorter one, and each gram of the URLs is resolved to
+its longest known part before the characters of the URLs meet it. The model is a
+table that grows with the input; no join is forced to broadcast it, and a gram of
+most URLs is split by adaptive execution. Log ratios are rounded to whole
+millionths and summed as integers, so results do not depend on the order of rows.
 
 Null URLs and URLs without ``://`` have empty host and path and no rule; their
 text (null: empty) is still judged by the models. Empty text is allowed. Very
@@ -33,7 +35,9 @@ from ..plans.scratch import keep
 Rule = tuple[str, str, str]
 #: Every rule as it is written, its host, its path prefix and its verdict.
 DEFAULT_RULES: tuple[Rule, ...] = (("com/", "allow", "com"), ("example.com/en/", "block", "example.com"), ("www.example.com/en/", "allow", "www.example.com"), ("net/es/", "block", "net"), ("net/fr/", "block", "net"))
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0./:-_?=&#%~+^"
+ORDER = 5
+#: Code points, the uniform distribution's support.
+SYMBOLS = 1_114_112
 SCALE = 1_000_000
 
 
@@ -57,81 +61,68 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = DEFAULT_RULES
     return found
 
 
-def folded(url: Column) -> Column:
-    """A-Z lower-cased, digits to 0, other characters outside SYMBOLS to ~, with ``^^`` before the start."""
-    text = F.translate(F.coalesce(url, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
-    return F.concat(F.lit("^^"), F.regexp_replace(text, r"[^a-z0./:\-_?=&#%+]", "~"))
+def padded(url: Column, order: int = ORDER) -> Column:
+    """The URL, A-Z lower-cased, null as empty, behind ``order`` marks of the start."""
+    return F.concat(F.lit("^" * order), F.translate(F.coalesce(url, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def _grams(df: DataFrame, names: list[str]) -> DataFrame:
-    """One row for each character with the two before it; rows of empty texts vanish."""
-    places = F.when(F.length("text") > 2, F.sequence(F.lit(1), F.length("text") - 2))
-    return df.select(*names, "text", F.explode(places).alias("at")).select(*names, F.substring("text", F.col("at"), F.lit(3)).alias("gram"))
+def _grams(df: DataFrame, name: str, order: int) -> DataFrame:
+    """One row for each character, with those before it; rows of empty texts vanish."""
+    places = F.when(F.length("text") > order, F.sequence(F.lit(1), F.length("text") - order))
+    return df.select(name, "text", F.explode(places).alias("at")).select(name, F.substring("text", F.col("at"), F.lit(order + 1)).alias("gram"))
 
 
-def train(judged: DataFrame) -> DataFrame:
-    """(gram, micro): log-likelihood ratio of each three-symbol gram seen in training, in millionths.
+def _end(column: str, n: int) -> Column:
+    return F.right(F.col(column), F.lit(n))
 
-    ``judged`` has ``text`` and ``verdict``. Unseen grams back off to (a pair, or a single symbol): the table has a row for every
-    gram, pair or symbol seen, marked by its length, so scoring takes the longest that is known.
+
+def train(grams: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """For contexts of 0 to ``order`` characters: (g, micro), the log-likelihood ratio of each gram seen in training, in millionths.
+
+    ``grams`` has the different grams of ``order`` + 1 characters and how often each class shows them (a, b).
     """
-    counts = _grams(judged, ["verdict"]).groupBy("gram").agg(*(F.sum((F.col("verdict") == v).cast("long")).alias(v[0]) for v in ("allow", "block")))
-    tri = counts.select("gram", F.substring("gram", 2, 2).alias("pair"), F.substring("gram", 3, 1).alias("one"), F.substring("gram", 1, 2).alias("ctx2"), F.substring("gram", 2, 1).alias("ctx1"), "a", "b")
-
-    def summed(keys: list[str], tag: str, kinds: bool) -> DataFrame:
-        """Totals of both classes over ``keys``, and how many different following symbols each class shows."""
-        level = tri.groupBy(*keys, *(["one"] if kinds else [])).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        if not kinds:
-            return level.select(*keys, F.col("a").alias(f"a{tag}"), F.col("b").alias(f"b{tag}"))
-        kind = lambda c: F.sum((F.col(c) > 0).cast("long"))
-        return level.groupBy(*keys).agg(F.sum("a").alias(f"a{tag}"), F.sum("b").alias(f"b{tag}"), kind("a").alias(f"ka{tag}"), kind("b").alias(f"kb{tag}"))
-
-    whole = summed([], "0", True)
-    one = summed(["one"], "1", False)
-    after1 = summed(["ctx1"], "c1", True)
-    pair = summed(["ctx1", "one"], "2", False)
-    after2 = summed(["ctx2"], "c2", True)
-    joined = tri.join(F.broadcast(one), "one").join(F.broadcast(after1), "ctx1").join(F.broadcast(pair), ["ctx1", "one"]).join(F.broadcast(after2), "ctx2").join(F.broadcast(whole))
-    flat = F.lit(1.0 / len(SYMBOLS))
-
-    def smooth(count: str, total: str, kinds: str, lower: Column) -> Column:
+    seen, levels = grams.filter("a + b > 0"), []
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+
+    def smooth(count: str, total: str, different: str, lower: Column) -> Column:
         """Witten-Bell: the share of the context's count, and of its kinds for the shorter context."""
-        weight = F.col(total) + F.col(kinds)
-        return F.when(weight > 0, (F.col(count) + F.col(kinds) * lower) / weight).otherwise(lower)
+        weight = F.col(total) + F.col(different)
+        return F.when(weight > 0, (F.col(count) + F.col(different) * lower) / weight).otherwise(lower)
+
+    for n in range(1, order + 2):
+        counts = seen.groupBy(_end("gram", n).alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("context", F.left(F.col("g"), F.lit(n - 1)))
+        contexts = counts.groupBy("context").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), kinds("a").alias("ka"), kinds("b").alias("kb"))
+        here, lower = counts.join(contexts, "context"), (F.lit(1.0 / SYMBOLS), F.lit(1.0 / SYMBOLS))
+        if levels:
+            shorter = levels[-1].select(F.col("g").alias("rest"), F.col("pa").alias("la"), F.col("pb").alias("lb"))
+            here, lower = here.withColumn("rest", _end("g", n - 1)).join(shorter, "rest"), (F.col("la"), F.col("lb"))
+        levels.append(keep(here.select("g", smooth("a", "ta", "ka", lower[0]).alias("pa"), smooth("b", "tb", "kb", lower[1]).alias("pb")), "url-model"))
+    return [level.select("g", F.floor((F.log("pa") - F.log("pb")) * SCALE).cast("long").alias("micro")) for level in levels]
+
 
-    chance = {}
-    for c in ("a", "b"):
-        p1 = smooth(f"{c}1", f"{c}0", f"k{c}0", flat)
-        p2 = smooth(f"{c}2", f"{c}c1", f"k{c}c1", p1)
-        chance[c] = smooth(c, f"{c}c2", f"k{c}c2", p2), p2, p1
-    micro = [F.floor((F.log(x) - F.log(y)) * SCALE).cast("long") for x, y in zip(chance["a"], chance["b"])]
-    known = joined.select("gram", "pair", "one", micro[0].alias("m3"), micro[1].alias("m2"), micro[2].alias("m1"))
-    return known.select("gram", F.col("m3").alias("micro")).unionByName(known.select(F.col("pair").alias("gram"), F.col("m2").alias("micro")).distinct()).unionByName(known.select(F.col("one").alias("gram"), F.col("m1").alias("micro")).distinct())
+def resolve(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(gram, micro): the ratio of the longest known end of each gram, 0 if not even its last character is known."""
+    found = grams.select("gram")
+    for n, level in enumerate(levels, 1):
+        found = found.join(level.select(F.col("g").alias(f"g{n}"), F.col("micro").alias(f"m{n}")), _end("gram", n) == F.col(f"g{n}"), "left")
+    return found.select("gram", F.coalesce(*(f"m{n}" for n in range(len(levels), 0, -1)), F.lit(0).cast("long")).alias("micro"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id_col, host, path, rule, verdict, ratio (mean log ratio in millionths; null where a rule decided)."""
     url = F.col(url_col)
-    parsed = pages.select(F.col(id_col), F.col(url_col).alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), folded(url).alias("text"))
-    parsed = parsed.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
-    judged = parsed.filter("fit is not null").select("text", F.col("fit.verdict").alias("verdict"))
-    model = keep(train(judged), "url-model")
-
-    # each gram of a row stays in the row's partition, so the sums below are combined before the only exchange
-    def scored(rows: DataFrame, names: list[str]) -> DataFrame:
-        places = F.when(F.length("text") > 2, F.sequence(F.lit(1), F.length("text") - 2))
-        grams = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("at", F.explode_outer(places)).withColumn("gram", F.substring("text", F.col("at"), F.lit(3)))
-        for n in (3, 2, 1):
-            table = F.broadcast(model.select(F.col("gram").alias(f"g{n}"), F.col("micro").alias(f"m{n}")).filter(F.length(f"g{n}") == n))
-            grams = grams.join(table, F.expr(f"substring(gram, {4 - n}, {n})") == F.col(f"g{n}"), "left")
-        total = F.sum(F.coalesce("m3", "m2", "m1", F.lit(0)))
-        return grams.groupBy("uid", *names).agg(F.floor(total / F.greatest(F.count("at"), F.lit(1))).cast("long").alias("ratio"))
-
-    means = scored(judged, ["verdict"]).agg(*(F.avg(F.when(F.col("verdict") == v, F.col("ratio"))).alias(v[0]) for v in ("allow", "block")))
-    bound = means.select(((F.col("a") + F.col("b")) / 2).alias("bound"))
-    names = [id_col, "host", "path", "fit"]
-    free = scored(parsed.filter("fit is null").select(*names, "text"), names).join(F.broadcast(bound))
-    verdict = F.when(F.coalesce(F.col("ratio") >= F.col("bound"), F.lit(True)), "allow").otherwise("block")
-    by_model = free.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), verdict.alias("verdict"), "ratio")
-    by_rule = parsed.filter("fit is not null").select(id_col, "host", "path", "fit.rule", "fit.verdict", F.lit(None).cast("long").alias("ratio"))
-    return by_rule.unionByName(by_model)
+    parsed = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), padded(url, order).alias("text"))
+    # the row number is written with the row, so a repeated task cannot number rows anew
+    parsed = keep(parsed.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("uid", F.monotonically_increasing_id()), "urls")
+
+    verdicts = parsed.select("text", F.col("fit.verdict").alias("verdict"))
+    grams = _grams(verdicts, "verdict", order).groupBy("gram").agg(*(F.sum(F.coalesce((F.col("verdict") == v).cast("long"), F.lit(0))).alias(v[0]) for v in ("allow", "block")))
+    grams = keep(grams, "url-grams")
+    known = keep(resolve(grams, train(grams, order)), "url-ratios")
+    ratios = _grams(parsed, "uid", order).join(known, "gram").groupBy("uid").agg(F.floor(F.sum("micro") / F.count(F.lit(1))).cast("long").alias("ratio"))
+    rated = keep(parsed.drop("text").join(ratios, "uid", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0))), "rated")
+
+    means = rated.agg(*(F.avg(F.when(F.col("fit.verdict") == v, F.col("ratio"))).alias(v[0]) for v in ("allow", "block")))
+    rated = rated.join(F.broadcast(means.select(((F.col("a") + F.col("b")) / 2).alias("bound"))))
+    by_model = F.when(F.coalesce(F.col("ratio") >= F.col("bound"), F.lit(True)), "allow").otherwise("block")
+    return rated.select(F.col("id").alias(id_col), "host", "path", "fit.rule", F.coalesce("fit.verdict", by_model).alias("verdict"), F.when(F.isnull("fit"), F.col("ratio")).alias("ratio"))

@@ -582,6 +582,56 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(table.filter("page_id < 3")).collect()} == {"allow"}
 
 
+def plain_ratios(urls, verdicts, order):
+    """Mean log ratio of each URL by two variable-order models, character by character."""
+    models = {}
+    for kind in ("allow", "block"):
+        count, after = {}, {}
+        for url, verdict in zip(urls, verdicts):
+            text = "^" * order + (url or "").translate(brute.LOWER)
+            for i in range(order, len(text)) if verdict == kind else ():
+                for n in range(order + 1):
+                    context = text[i - n : i]
+                    count[context] = count.get(context, 0) + 1
+                    after.setdefault(context, {})
+                    after[context][text[i]] = after[context].get(text[i], 0) + 1
+        models[kind] = count, after
+
+    def chance(kind, context, c):
+        count, after = models[kind]
+        shorter = chance(kind, context[1:], c) if context else 1 / url_filter.SYMBOLS
+        n, kinds = count.get(context, 0), len(after.get(context, ()))
+        return (after[context].get(c, 0) + kinds * shorter) / (n + kinds) if n + kinds else shorter
+
+    def known(context, c):
+        return any(c in models[k][1].get(context, ()) for k in models)
+
+    out = []
+    for url in urls:
+        text, total = "^" * order + (url or "").translate(brute.LOWER), 0
+        for i in range(order, len(text)):
+            n = max((n for n in range(order + 1) if known(text[i - n : i], text[i])), default=None)
+            if n is not None:
+                total += int(np.floor((np.log(chance("allow", text[i - n : i], text[i])) - np.log(chance("block", text[i - n : i], text[i]))) * 1_000_000))
+        out.append(int(np.floor(total / max(1, len(text) - order))))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_url_ratios_against_plain_models(spark, order):
+    rng = random.Random(order)
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['good', 'news', 'spiel'])}{rng.randrange(30)}.{rng.choice(['com/', 'net/es/', 'net/fr/x', 'org/', 'de/'])}{rng.choice(['ü', 'pagé', '漢字', 'Item?', ''])}{rng.randrange(200)}" for _ in range(120)] + [None, "", "plain", "Ω"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = sorted(url_filter.judge(rows, order=order).collect())
+    rules = [r.verdict if r.rule else None for r in got]
+    want = plain_ratios(urls, rules, order)
+    bound = sum(np.mean([w for w, v in zip(want, rules) if v == kind]) for kind in ("allow", "block")) / 2
+    assert set(rules) == {"allow", "block", None}
+    for r, ratio in zip(got, want):
+        assert r.rule or (abs(r.ratio - ratio) <= 1 and r.verdict == ("allow" if r.ratio >= bound or abs(r.ratio - bound) < 2 and r.verdict == "allow" else "block"))
+        assert (r.ratio is None) == (r.rule is not None)
+
+
 @pytest.mark.parametrize("name", ["loomvec.llm.url_filter"])
 def test_native_operator_runs_no_python(spark, name):
     table = spark.createDataFrame([(1, "https://a.com/x"), (2, "https://b.net/es/y"), (3, "https://c.org/z")], "page_id long, url string")
