@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import keep
+from ..plans.scratch import discard, keep
 from .skew import join_back
 
 
@@ -32,9 +32,12 @@ def _star(links: DataFrame, smaller: bool) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links to (node, root): the smallest node of its component, for every node that has a link."""
     now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
-    before = None
+    before = kept = None
     while True:
         now = keep(_star(_star(now, False), True).distinct(), name)
+        if kept is not None:
+            discard(kept)
+        kept = now
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (state.n, state.s) == before or not state.n:
             break

@@ -67,6 +67,18 @@ def test_each_set_fetches_its_own_text_once(docs, monkeypatch):
     assert tables["texts"].count() == tables["texts"].select("sid").distinct().count() == 40
 
 
+def test_near_duplicates_of_many_rows_without_an_id(docs):
+    """A third of the rows equal and without an id, a third different and without an id."""
+    rng = random.Random(17)
+    hot = " ".join(prose(rng, 40, 10**6))
+    rows = [(None, hot)] * 2000 + [(None, " ".join(prose(rng, 12, 10**6))) for _ in range(2000)] + [(i, " ".join(prose(rng, 12, 10**6))) for i in range(1999)] + [(5000, hot + " end")]
+    got = minhash_dedup.near_duplicates(docs(rows), shingle=2).collect()
+    assert len(got) == len(rows)
+    assert sum(r.component_id == 5000 for r in got) == 2001 and sum(r.kept for r in got if r.component_id == 5000) == 1
+    assert sum(r.doc_id is None and r.component_id is None and r.kept for r in got) == 2000
+    assert all(r.component_id == r.doc_id and r.kept for r in got if r.doc_id is not None)
+
+
 def test_sketches_estimate_high_similarity():
     signer = minhash_dedup.Signer(50, 6)
     rng = np.random.default_rng(1)
