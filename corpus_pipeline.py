@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomvec.llm import decontamination, minhash_dedup, packing, quality, secret_scan
 from loomvec.llm.queries import vocabulary
 from loomvec.plans.runtime import ship
-from loomvec.plans.scratch import keep
+from loomvec.plans.scratch import discard, keep
 
 QUALITY_THRESHOLD = 0.7
 
@@ -72,8 +72,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = keep(docs, name.replace(" ", "-"))
-    return docs
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if number:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
