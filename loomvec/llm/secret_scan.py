@@ -16,7 +16,8 @@ are listed, ``format`` last. Base spans always stay; a format span never overlap
 one. Null text counts as empty. Very long texts and tokens are scanned and scored
 whole, one text at a time, in linear time. Repeated ids and rows are separate
 documents, one result row each. Empty tables give empty results. The texts are
-read twice; found credentials are written nowhere but to the result.
+read twice; the table of found credentials is deleted as soon as the sample is
+drawn.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.scratch import discard, keep
 from .lexing import slices
 
 KINDS = ("assign", "access", "hex")
@@ -221,13 +223,14 @@ def labelled_sample(docs: DataFrame, sample: int, characters: int, text_col: str
             found = {(k, v) for text in batch.column("text").cast(pa.large_binary()).to_pylist() if text for _, _, k, v in base_spans(text)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v.decode() for _, v in found], pa.string())], names=["kind", "value"])
 
-    values = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "kind string, value string").distinct()
-    ranked = values.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))).filter(F.col("place") <= sample)
-    so_far = F.sum(F.length("value")).over(W.partitionBy("kind").orderBy("place"))
-    rows = ranked.withColumn("so_far", so_far).filter(F.col("so_far") <= characters).toArrow()
-    out: dict[str, list[bytes]] = {kind: [] for kind in KINDS}
-    for _, kind, value in sorted(zip(rows.column("place").to_pylist(), rows.column("kind").to_pylist(), rows.column("value").to_pylist())):
-        out[kind].append(value.encode())
+    values = keep(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "kind string, value string").distinct(), "credentials")
+    out: dict[str, list[bytes]] = {}
+    for kind in KINDS:
+        first = values.filter(F.col("kind") == kind).select("value", F.xxhash64("value").alias("place")).orderBy("place", "value").limit(sample)
+        so_far = F.sum(F.length("value")).over(W.orderBy("place", "value"))  # over ``sample`` rows at most
+        rows = first.withColumn("so_far", so_far).filter(F.col("so_far") <= characters).toArrow()
+        out[kind] = [v.encode() for _, v in sorted(zip(rows.column("place").to_pylist(), rows.column("value").to_pylist()))]
+    discard(values)
     return out
 
 
