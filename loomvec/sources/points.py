@@ -50,9 +50,15 @@ def gaussian_points(spark: SparkSession, batches: int, n: int, dims: int, seed:
 
 
 def first_k(pts: DataFrame, k: int) -> DataFrame:
-    """The k points of least id of each batch as centroids, by a bounded top-k for each batch."""
-    ranked = pts.withColumn("rank", F.row_number().over(W.partitionBy("batch_id").orderBy("point_id")))
-    return ranked.filter(F.col("rank") <= k).select("batch_id", (F.col("rank") - 1).cast("int").alias("k"), F.col("x").alias("c"))
+    """The k points of least id of each batch as centroids.
+
+    Each part of the input ranks its own ids first, so the last ranking of a batch sees k ids a part, however many points it has.
+    """
+    ids = pts.select("batch_id", "point_id", F.spark_partition_id().alias("part"))
+    for group in (["batch_id", "part"], ["batch_id"]):
+        ids = ids.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy("point_id"))).filter(F.col("rank") <= k)
+    low = ids.select("batch_id", "point_id", (F.col("rank") - 1).cast("int").alias("k"))
+    return pts.join(low, ["batch_id", "point_id"]).select("batch_id", "k", F.col("x").alias("c"))
 
 
 def random_rows(pts: DataFrame, k: int, seed: int) -> DataFrame:
