@@ -38,10 +38,18 @@ def dimension(centroids: DataFrame) -> int:
     return s.least
 
 
+def rejected(points: DataFrame, dims: int) -> DataFrame:
+    """One row: points in all, and those whose vector is null, of another length, or has a null component."""
+    x, there = F.col("x"), F.col("x").isNotNull()
+    whole = there & (F.size("x") == dims)
+    count = lambda c: F.count(F.when(c, 1))
+    return points.agg(F.count(F.lit(1)).alias("n_points"), count(x.isNull()).alias("n_null"), count(there & (F.size("x") != dims)).alias("n_length"), count(whole & F.exists(x, lambda v: v.isNull())).alias("n_incomplete"))
+
+
 def validate(points: DataFrame, dims: int) -> None:
     """Fail on null, ragged or incomplete vectors: one scan, one row back."""
-    bad = F.col("x").isNull() | (F.size("x") != dims) | F.exists("x", lambda v: v.isNull())
-    if points.agg(F.count(F.when(F.coalesce(bad, F.lit(True)), 1)).alias("n")).first().n:
+    found = rejected(points, dims).first()
+    if found.n_null or found.n_length or found.n_incomplete:
         raise ValueError(f"a vector is null, has a null component, or is not of length {dims}")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import FORMATS, dot, rounded, sq_norm
 from ..operators import measures
-from ..operators.assign import assign, brute_force, cross_products
+from ..operators.assign import assign, brute_force, cross_products, rejected
 from ..operators.kmeans import KMeans, kmeans
 from ..operators.update import accumulate, centroid_finalize, centroid_update, centroid_update_sorted, gather, long_form
 from ..sources.points import first_k, gaussian_points, points, random_rows, read_points, vector, write_table
@@ -268,6 +268,14 @@ def fit_predict(spark, sf):
     return _labels(KMeans(K, 3).fit(pts, _start(spark, sf)).predict(pts))
 
 
+def validation_counts(spark, sf):
+    """What validation rejects in a damaged copy of the points."""
+    x, kind = F.col("x"), F.col("point_id") % 10
+    hole = F.concat(F.array(F.lit(None).cast("double")), F.slice("x", 2, DIMS))
+    damaged = F.when(kind == 0, F.lit(None)).when(kind == 1, F.slice("x", 1, DIMS - 1)).when(kind == 2, hole).otherwise(x)
+    return rejected(_embeddings(spark, sf).withColumn("x", damaged), DIMS)
+
+
 def scan_points(spark, sf):
     """The scan of a Parquet table as points, by batch."""
     pts = read_points(spark, f"{sf}/embeddings.parquet", "vec_id", "embedding", "label")
@@ -376,7 +384,7 @@ def queries() -> dict[str, Query]:
         label_runs_256, centroid_update_sums, centroid_update_out_of_range, centroid_update_accumulate, centroid_update_indexed, centroid_finalize_means, centroid_finalize_empty,
         kmeans_iter1, kmeans_labels_5, kmeans_centroids_5, kmeans_batched, kmeans_shift_history, kmeans_tol_stop, reassign_final, inertia_final, inertia_sampled, inertia_delta,
         empty_cluster_count, label_disagreement, centroid_drift, centroid_off_fraction, label_summary, lineitem_kmeans, init_random, datagen_kmeans, operation_counts,
-        assign_k8192_doubled, gather_by_permutation, kmeans_half, kmeans_bfloat, kmeans_single, fit_predict, scan_points, sink_labels, stream_assign, inertia_drawn,
+        assign_k8192_doubled, gather_by_permutation, kmeans_half, kmeans_bfloat, kmeans_single, fit_predict, validation_counts, scan_points, sink_labels, stream_assign, inertia_drawn,
     )
     return {f.__name__: f for f in found}
 
@@ -512,6 +520,7 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_bfloat": short["bfloat"],
         "kmeans_single": short["single"],
         "fit_predict": _with(*base, _lloyd(3), _assign("a3", "c3")) + labels.format("a3"),
+        "validation_counts": f"SELECT count(*) AS n_points, count(*) FILTER (x IS NULL) AS n_null, count(*) FILTER (len(x) <> {DIMS}) AS n_length, count(*) FILTER (len(x) = {DIMS} AND len(list_filter(x, lambda v: v IS NULL)) > 0) AS n_incomplete FROM (SELECT CASE vec_id % 10 WHEN 0 THEN NULL WHEN 1 THEN embedding[1:{DIMS - 1}] WHEN 2 THEN list_concat([NULL], embedding[2:{DIMS}]) ELSE embedding END AS x FROM embeddings)",
         "scan_points": "SELECT label AS batch_id, count(*) AS n, max(vec_id) AS last, sum(embedding[1]::DOUBLE) AS total FROM embeddings GROUP BY label",
         "sink_labels": _with(*base, _assign("a0", "c0")) + labels.format("a0"),
         "stream_assign": _with(*base, _assign("a0", "c0")) + labels.format("a0"),
