@@ -11,6 +11,7 @@ ever holds the point-by-centroid matrix.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,30 @@ LABELS = "batch_id int, point_id long, cluster_id int"
 BLOCK_BYTES = 32 << 20
 
 
-def dimension(centroids: DataFrame) -> int:
-    """Length of the centroids; they must be one table of equal, complete vectors with ids 0..K-1 in each batch."""
+class Facts(NamedTuple):
+    """Length of the centroids, how many there are, the highest number, and the least and most of a batch."""
+
+    dims: int
+    n: int
+    last: int
+    fewest: int
+    most: int
+
+
+def facts(centroids: DataFrame) -> Facts:
+    """One job: centroids must be one table of equal, complete vectors with ids 0..K-1 in each batch."""
     seen = centroids.groupBy("batch_id").agg(
         F.min(F.size("c")).alias("least"), F.max(F.size("c")).alias("most"), F.count(F.when(F.col("c").isNull() | F.exists("c", lambda v: v.isNull()), 1)).alias("broken"),
         F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("ids"), F.min("k").alias("first"), F.max("k").alias("last"),
     )
-    s = seen.agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("broken").alias("broken"), F.max((F.col("n") != F.col("ids")) | (F.col("first") != 0) | (F.col("last") != F.col("n") - 1)).alias("odd")).first()
+    odd = (F.col("n") != F.col("ids")) | (F.col("first") != 0) | (F.col("last") != F.col("n") - 1)
+    s = seen.agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("broken").alias("broken"), F.max(odd).alias("odd"),
+        F.sum("n").alias("n"), F.max("last").alias("last"), F.min("n").alias("fewest"), F.max("n").alias("many"),
+    ).first()
     if s.least is None or s.broken or s.least != s.most or s.odd:
         raise ValueError("centroids must be vectors of one length without nulls, numbered 0..K-1 in each batch")
-    return s.least
+    return Facts(s.least, s.n, s.last, s.fewest, s.many)
 
 
 def rejected(points: DataFrame, dims: int) -> DataFrame:
@@ -72,19 +87,19 @@ def packed_block(which: np.ndarray, names: np.ndarray, c: np.ndarray, c_sq: np.n
     return out
 
 
-def _blocks(centroids: DataFrame, dims: int) -> Iterator[Block]:
+def _blocks(centroids: DataFrame, seen: Facts) -> Iterator[Block]:
     """Blocks of k, about BLOCK_BYTES at once."""
-    table = _with_norm(centroids)
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).first()
-    step = max(1, int(BLOCK_BYTES / (8 * (dims + 2)) * (size.k + 1) / size.n))
-    for first in range(0, size.k + 1, step):
+    table, dims = _with_norm(centroids), seen.dims
+    step = max(1, int(BLOCK_BYTES / (8 * (dims + 2)) * (seen.last + 1) / seen.n))
+    for first in range(0, seen.last + 1, step):
         rows = table.filter((F.col("k") >= first) & (F.col("k") < first + step)).orderBy("batch_id", "k").toArrow()
         batch = rows.column("batch_id").to_numpy()
         c = matrix(rows.column("c"), dims) if len(rows) else np.zeros((0, dims))
         yield packed_block(batch, rows.column("k").to_numpy(), c, rows.column("c_sq").to_numpy())
 
 
-def _by_kernel(points: DataFrame, centroids: DataFrame, dims: int, clamp: bool) -> DataFrame:
+def _by_kernel(points: DataFrame, centroids: DataFrame, seen: Facts, clamp: bool) -> DataFrame:
+    dims = seen.dims
     out = points.select("batch_id", "point_id", "x", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("cluster_id"))
     names = out.columns
 
@@ -109,7 +124,7 @@ def _by_kernel(points: DataFrame, centroids: DataFrame, dims: int, clamp: bool)
 
         return run
 
-    for number, block in enumerate(_blocks(centroids, dims)):
+    for number, block in enumerate(_blocks(centroids, seen)):
         # one block at a time on the driver and in a plan: the running best is written before the next block is read
         out = (keep(out, "nearest") if number else out).mapInArrow(step(block), out.schema)
     return out.filter(F.col("cluster_id").isNotNull())
@@ -120,15 +135,14 @@ def packed(centroids: DataFrame) -> DataFrame:
     return _with_norm(centroids).groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("k", "c", "c_sq"))).alias("cs"))
 
 
-def small(centroids: DataFrame) -> DataFrame:
+def small(centroids: DataFrame, seen: Facts) -> DataFrame:
     """The packed centroids, to be broadcast if they fit BLOCK_BYTES; else Spark joins them as it finds best."""
     rows = packed(centroids)
-    size = centroids.agg(F.coalesce(F.sum(F.size("c") + 2), F.lit(0)).alias("n")).first().n * 8
-    return F.broadcast(rows) if size <= BLOCK_BYTES else rows
+    return F.broadcast(rows) if seen.n * (seen.dims + 2) * 8 <= BLOCK_BYTES else rows
 
 
-def _by_expression(points: DataFrame, centroids: DataFrame, dims: int, clamp: bool) -> DataFrame:
-    joined = points.join(small(centroids), "batch_id").withColumn("x", checked(F.col("x"), dims))
+def _by_expression(points: DataFrame, centroids: DataFrame, seen: Facts, clamp: bool) -> DataFrame:
+    joined = points.join(small(centroids, seen), "batch_id").withColumn("x", checked(F.col("x"), seen.dims))
     joined = joined.withColumn("x_sq", sq_norm(F.col("x")) if clamp else F.lit(0.0))
 
     def candidate(s):
@@ -142,18 +156,18 @@ def _by_expression(points: DataFrame, centroids: DataFrame, dims: int, clamp: bo
 
 def assign(points: DataFrame, centroids: DataFrame, clamp: bool = True, strategy: str = "auto", with_points: bool = False) -> DataFrame:
     """Label of every point whose batch has centroids; with_points keeps ``x`` and adds the least ``distance``."""
-    dims = dimension(centroids)
+    seen = facts(centroids)
     if strategy == "auto":
-        strategy = "expression" if centroids.count() * dims <= 64 else "arrow"
-    elif strategy == "expression" and centroids.count() * dims * 8 > BLOCK_BYTES:
+        strategy = "expression" if seen.n * seen.dims <= 64 else "arrow"
+    elif strategy == "expression" and seen.n * seen.dims * 8 > BLOCK_BYTES:
         strategy = "arrow"
-    out = {"arrow": _by_kernel, "expression": _by_expression}[strategy](points, centroids, dims, clamp)
+    out = {"arrow": _by_kernel, "expression": _by_expression}[strategy](points, centroids, seen, clamp)
     return out if with_points else out.select("batch_id", "point_id", "cluster_id")
 
 
 def cross_products(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """Every point's product with every centroid of its batch, and the clamped squared distance."""
-    each = points.join(small(centroids), "batch_id").select("batch_id", "point_id", "x", F.explode("cs").alias("s"))
+    each = points.join(small(centroids, facts(centroids)), "batch_id").select("batch_id", "point_id", "x", F.explode("cs").alias("s"))
     product = dot(F.col("x"), F.col("s.c"))
     each = each.select("batch_id", "point_id", F.col("s.k").alias("k"), product.alias("product"), sq_norm(F.col("x")).alias("x_sq"), F.col("s.c_sq").alias("c_sq"))
     return each.withColumn("distance", clamped_distance(F.col("x_sq"), F.col("c_sq"), F.col("product")))

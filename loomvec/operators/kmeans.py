@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import rounded, to_precision
 from ..plans.scratch import keep
 from ..sources.points import random_rows
-from .assign import BLOCK_BYTES, assign, dimension, packed_block, validate
+from .assign import BLOCK_BYTES, assign, facts, packed_block, validate
 from .kernel import matrix, nearest, squares
 from .update import PARTIAL, Partials, centroid_finalize, centroid_update_labelled, merge
 
@@ -83,16 +83,16 @@ def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tol: float
     points = points.withColumn("x", rounded(F.col("x"), precision))
     centroids = init if init is not None else random_rows(points, n_clusters, seed)
     centroids = keep(centroids.withColumn("c", rounded(F.col("c"), precision)), "centroids")
-    dims = dimension(centroids)
-    sizes = centroids.groupBy("batch_id").count()
-    if sizes.filter(F.col("count") != n_clusters).take(1):
+    seen = facts(centroids)
+    dims = seen.dims
+    if (seen.fewest, seen.most) != (n_clusters, n_clusters):
         raise ValueError(f"every batch needs {n_clusters} centroids")
     if check:
         validate(points, dims)
     if persist:
         points = points.persist()
     watched = tol > 0 or verbose
-    small = centroids.count() * dims * 8 <= BLOCK_BYTES
+    small = seen.n * dims * 8 <= BLOCK_BYTES
     if small:
         rows = centroids.orderBy("batch_id", "k").toArrow()
         which, values = rows.column("batch_id").to_numpy(), matrix(rows.column("c"), dims)
