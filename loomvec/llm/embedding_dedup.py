@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
     # a label's number of distinct vectors decides its cells; one row a label and length reaches the driver
     sizes = nodes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
     plans = nodes.sparkSession.createDataFrame([(n, *cells_for(n, threshold, miss)) for (n,) in sizes.select("n").distinct().collect()], "n long, bits int, tables int")
-    planned = nodes.join(sizes.join(plans, "n").drop("n"), ["label", "size"])
+    planned = join_back(nodes, sizes.join(plans, "n").drop("n"), "size", "label")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +149,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, projections: int =
     cell = ["label", "size", "tab", "cell"]
     group = each.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(*cell, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
-    dealt = each.join(group, cell).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = join_back(each, group, "cell", "label", "size", "tab").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
