@@ -34,10 +34,12 @@ def shingles(text, n):
 def near(rows, n, percent=80):
     """doc_id -> (set size, component, kept) for rows of distinct ids."""
     sets = {i: shingles(t, n) for i, t in rows}
-    ids = sorted(sets)
+    ids, size = sorted(sets), {i: len(s) for i, s in sets.items()}
     links = []
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
+            if 100 * min(size[a], size[b]) < percent * max(size[a], size[b]):
+                continue  # the union alone is too large
             common = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 links.append((a, b))

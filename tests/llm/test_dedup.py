@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import sys
 from pathlib import Path
@@ -46,6 +47,16 @@ def test_near_duplicates(spark, docs, shingle):
     assert got == brute.near(rows, shingle)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("shingle", [2, 5])
+def test_near_duplicates_of_a_whole_table(spark, shingle):
+    """Every pair at 0.8 or more of a thousand documents, and no other."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(table, shingle=shingle).collect()}
+    want = brute.near([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()], shingle)
+    assert got == want and sum(not kept for *_, kept in want.values()) > 20
+
+
 def test_near_duplicates_keeps_odd_rows(docs, odd_rows, spark):
     rows = minhash_dedup.near_duplicates(docs(odd_rows)).collect()
     assert len(rows) == len(odd_rows)
