@@ -45,7 +45,7 @@ from .components import components, forest
 from .skew import join_back
 
 LAST = 2**63 - 1
-BLOCK = 1024
+BLOCK = 4096
 TILE = 256
 
 
