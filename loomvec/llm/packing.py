@@ -92,14 +92,16 @@ class LocalSearch:
             self.where[items] = b
         self.fill = np.bincount(self.where, self.size, len(bins)).astype(np.int64)
         self.steps, self._at = 0, -1
+        self._by_size = np.argsort(self.size, kind="stable")
+        self._small = np.int16 if len(bins) < 1 << 15 else np.int64  # short integers are sorted in linear time
 
     def _under(self) -> tuple[np.ndarray, ...]:
         """Underfull bins, and of each their different sizes with an item that has it and a second one (-1: none): bins, bin, item, second."""
         if self._at != self.steps:
             self._at = self.steps
             bins = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
-            items = np.flatnonzero((self.fill < self.capacity)[self.where])
-            items = items[np.lexsort((items, self.size[items], self.where[items]))]
+            items = self._by_size[(self.fill < self.capacity)[self.where[self._by_size]]]
+            items = items[np.argsort(self.where[items].astype(self._small), kind="stable")]
             bin_, size = self.where[items], self.size[items]
             new = np.ones(len(items), bool)
             new[1:] = (bin_[1:] != bin_[:-1]) | (size[1:] != size[:-1])
@@ -139,21 +141,22 @@ class LocalSearch:
         """
         bins, bin_, item, second = self._under()
         own = np.flatnonzero(bin_ == source)
-        sizes = self.size[item[own]]
-        one, two = [(i,) for i in item[own].tolist()], [(i, j) for i, j in zip(item[own].tolist(), second[own].tolist()) if j >= 0]
+        one, again = item[own], second[own]
         left, right = np.triu_indices(len(own), 1)
-        two += list(zip(item[own[left]].tolist(), item[own[right]].tolist()))
-        sums = np.array([self.size[list(o)].sum() for o in one + two] if len(two) < 64 else np.concatenate([sizes, self.size[np.array(two)].sum(axis=1)]), np.int64)
+        a = np.concatenate([one, one[again >= 0], one[left]])
+        b = np.concatenate([np.full(len(one), -1), again[again >= 0], one[right]])
+        sums = self.size[a] + np.where(b >= 0, self.size[b], 0)
         order = np.argsort(sums, kind="stable")
-        move = self._best(source, sizes, np.zeros(len(bins), np.int64), bins)
+        move = self._best(source, self.size[one], np.zeros(len(bins), np.int64), bins)
         swap = self._best(source, sums[order], self.size[item], bin_)
         if max(move[0], swap[0]) > 0:
             if move[0] >= swap[0]:
-                return self._take(source, int(bins[move[2]]), one[move[1]], ())
-            return self._take(source, int(bin_[swap[2]]), (one + two)[order[swap[1]]], (int(item[swap[2]]),))
+                return self._take(source, int(bins[move[2]]), (int(one[move[1]]),), ())
+            k = order[swap[1]]
+            return self._take(source, int(bin_[swap[2]]), (int(a[k]), int(b[k]))[: 1 + (b[k] >= 0)], (int(item[swap[2]]),))
         target, a, b = self._pairs()
-        rise, at, k = self._best(source, sizes, self.size[a] + self.size[b], target)
-        return rise > 0 and self._take(source, int(target[k]), one[at], (int(a[k]), int(b[k])))
+        rise, at, k = self._best(source, self.size[one], self.size[a] + self.size[b], target)
+        return rise > 0 and self._take(source, int(target[k]), (int(one[at]),), (int(a[k]), int(b[k])))
 
     def _take(self, source: int, target: int, out: tuple[int, ...], back: tuple[int, ...]) -> bool:
         self.where[list(out)], self.where[list(back)] = target, source
@@ -212,7 +215,7 @@ def _pack_group(capacity: int, hand_on: bool):
     return pack
 
 
-def pack(pieces_df: DataFrame, capacity: int = 4096, group_size: int = 16384) -> DataFrame:
+def pack(pieces_df: DataFrame, capacity: int = 4096, group_size: int = 8192) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; ``row`` must be a number of its own for each piece.
 
     A sequence id holds the pass, the group and the bin; group counts follow the
@@ -230,7 +233,7 @@ def pack(pieces_df: DataFrame, capacity: int = 4096, group_size: int = 16384) ->
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, group_size: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, group_size: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
     ready = keep(pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(ready, capacity, group_size).withColumnRenamed("id", id_col)
