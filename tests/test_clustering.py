@@ -321,8 +321,9 @@ def test_scan_and_sink(spark, tmp_path):
         write_table(pts, str(tmp_path / "out"), "orc")
 
 
-def test_scratch_tables_can_be_discarded_and_need_a_shared_folder(spark, monkeypatch):
+def test_scratch_tables_can_be_discarded_and_need_a_shared_folder(spark):
     from pathlib import Path
+    from types import SimpleNamespace
 
     from loomvec.plans import scratch
 
@@ -331,9 +332,14 @@ def test_scratch_tables_can_be_discarded_and_need_a_shared_folder(spark, monkeyp
     assert folder.is_dir() and kept.count() == 5
     scratch.discard(kept)
     assert not folder.exists()
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
-    with pytest.raises(ValueError, match="checkpoint"):
-        scratch.shared_dir(spark)
+    unset = SimpleNamespace(get=lambda *_: None)  # a session without the setting, whatever the tests' own has
+    for master, refused in (("spark://host:7077", True), ("local[2]", False)):
+        session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master))
+        if refused:
+            with pytest.raises(ValueError, match="checkpoint"):
+                scratch.shared_dir(session)
+        else:
+            assert scratch.shared_dir(session).startswith("file://")
 
 
 def test_stream_of_points(spark, tmp_path):
