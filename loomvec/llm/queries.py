@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, token_shards, url_filter
+from . import decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, token_shards, toxicity, url_filter
 from .url_filter import DEFAULT_RULES, ORDER, SCALE, SYMBOLS
 
 
@@ -72,6 +72,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_table(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_secret_scan, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_language_id, op7_embedding_near_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_shards, pipeline)
+    found = (op1_url_filter, op2_secret_scan, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_language_id, op7_embedding_near_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_shards, op11_toxicity, pipeline)
     return {f.__name__: f for f in found}
 
 
