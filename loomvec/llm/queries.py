@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, token_shards, toxicity, url_filter
+from . import conversation_repair, decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, token_shards, toxicity, url_filter
 from .url_filter import DEFAULT_RULES, ORDER, SCALE, SYMBOLS
 
 
@@ -76,6 +76,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")), present_col="present")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_secret_scan, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_language_id, op7_embedding_near_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_shards, op11_toxicity, pipeline)
+    found = (op1_url_filter, op2_secret_scan, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_language_id, op7_embedding_near_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_shards, op11_toxicity, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in found}
 
 
