@@ -75,12 +75,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def split_words(column: pa.Array, lower: bool = False, closing: bool = False) -> Words:
-    """Words of a column; ``closing`` makes a run of ``.,!?:;`` after a letter or digit at a word's end a word of its own."""
+def split_words(column: pa.Array, lower: bool = False, closing: bool = False, separator: np.ndarray = _SEPARATOR) -> Words:
+    """Words of a column; ``closing`` makes a run of ``.,!?:;`` after a letter or digit at a word's end a word of its own.
+
+    ``separator`` says of each byte whether it parts words.
+    """
     data, offsets = text_bytes(column)
     if lower:
         data = _LOWER[data]
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     before = np.zeros_like(inside)
     before[1:] = inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(data))]

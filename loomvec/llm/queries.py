@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, token_shards, toxicity, url_filter
+from . import conversation_repair, decontamination, embedding_dedup, importance, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, token_shards, toxicity, url_filter
 from .url_filter import DEFAULT_RULES, ORDER, SCALE, SYMBOLS
 
 
@@ -76,6 +76,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")), present_col="present")
 
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_secret_scan, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_language_id, op7_embedding_near_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_shards, op11_toxicity, op13_conversation_repair, pipeline)
+    found = (op1_url_filter, op2_secret_scan, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_language_id, op7_embedding_near_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_shards, op11_toxicity, op12_importance_resampling, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -135,5 +139,34 @@ SELECT page_id, host, path, rule,
 FROM rated, bound"""
 
 
+#: op12 whole: every run of every text, a dictionary of distinct strings with their CRC-32, gains, weights, noise and ranks.
+_IMPORTANCE_SQL = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc),
+texts AS (
+  SELECT row_number() OVER () AS uid, 's' AS side, doc_id, text FROM documents
+  UNION ALL SELECT -row_number() OVER () AS uid, 't', NULL, text FROM benchmark),
+split AS MATERIALIZED (
+  SELECT uid, side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS MATERIALIZED (
+  SELECT uid, side, array_to_string(w[i:i + n - 1], ' ') AS feature
+  FROM (SELECT uid, side, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM split, (VALUES (1), (2), (3)) sizes(n))),
+counted AS MATERIALIZED (SELECT feature, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM runs GROUP BY feature),
+hashed AS MATERIALIZED (
+  SELECT feature, s, t,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c >> 8, steps.crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM counted, steps),
+buckets AS (SELECT bucket, sum(s) AS s, sum(t) AS t, sum(sum(s)) OVER () AS all_s, sum(sum(t)) OVER () AS all_t FROM hashed GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (all_t + 10000.0::DOUBLE))))::BIGINT AS gain FROM buckets),
+dictionary AS MATERIALIZED (SELECT feature, gain FROM hashed JOIN gains USING (bucket)),
+weighed AS (SELECT uid, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM runs JOIN dictionary USING (feature) WHERE side = 's' GROUP BY uid),
+scored AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM split LEFT JOIN weighed USING (uid) WHERE side = 's'),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_words < 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_sql()}
+    return {"op1_url_filter": _url_sql(), "op12_importance_resampling": _IMPORTANCE_SQL}
