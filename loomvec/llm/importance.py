@@ -54,7 +54,9 @@ RUN = 3
 BUCKETS = 10_000
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 50_000
-CELL_BYTES = 8 << 20
+CELL_BYTES = 6 << 20
+#: Runs whose strings are put together at once.
+TOGETHER = 1 << 16
 POSTINGS = "cell int, block long, strings binary, documents binary, counts binary, sizes array<long>, ids binary, known binary, words binary"
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -109,6 +111,22 @@ def _array(data: bytes, size: int, kind: str = "<u4") -> np.ndarray:
     return np.frombuffer(_ZSTD.decompress(data, size, asbytes=True), kind)
 
 
+def _spelt(words: Words, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of runs, words with a space behind each and a new line behind the last, and where each run begins."""
+    data, texts, at = np.append(words.data, np.uint8(32)), [], [np.zeros(1, np.int64)]
+    for a in range(0, len(head), TOGETHER):
+        token = ranges(head[a : a + TOGETHER], size[a : a + TOGETHER])
+        length = words.end[token] - words.start[token] + 1
+        ends = np.cumsum(length)
+        text = data[ranges(words.start[token], length)]
+        text[ends - 1] = 32
+        ends = ends[np.cumsum(size[a : a + TOGETHER]) - 1]
+        text[ends - 1] = 10
+        texts.append(text)
+        at.append(at[-1][-1] + ends)
+    return np.concatenate(texts), np.concatenate(at)
+
+
 def _block(texts: pa.Array, cells: int, block: int) -> Iterator[dict]:
     """A block's postings, one row a cell."""
     words = split_words(texts, lower=True, separator=_SEPARATOR)
@@ -148,18 +166,10 @@ def _block(texts: pa.Array, cells: int, block: int) -> Iterator[dict]:
     head, documents_of, cell_of = head[by_cell], documents[by_cell], cell[by_cell]
     posts = np.argsort(cell[run], kind="stable")
     document, count, post_cell = document[posts], count[posts], cell[run][posts]
-    # the runs' strings: words with a space behind each, and a new line behind the last
-    token = ranges(head, size[head])
-    last = np.cumsum(size[head]) - 1
-    length = words.end[token] - words.start[token] + 1
-    data = np.append(words.data, np.uint8(32))
-    text = data[ranges(words.start[token], length)]
-    ends = np.cumsum(length)
-    text[ends - 1] = 32
-    text[ends[last] - 1] = 10
+    text, byte_of = _spelt(words, head, size[head])
     found, run_at = np.unique(cell_of, return_index=True)
     run_at, post_at = np.append(run_at, len(cell_of)), np.append(np.searchsorted(post_cell, found), len(post_cell))
-    byte_at = np.append(0, ends[last])[run_at]
+    byte_at = byte_of[run_at]
     for i, c in enumerate(found.tolist()):
         mine = slice(run_at[i], run_at[i + 1]), slice(post_at[i], post_at[i + 1])
         parts = _compressed(text[byte_at[i] : byte_at[i + 1]]), _compressed(np.concatenate([documents_of[mine[0]], document[mine[1]]]).astype("<u4")), _compressed(count[mine[1]].astype("<u4"))
