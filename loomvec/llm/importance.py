@@ -55,6 +55,8 @@ BUCKETS = 10_000
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 50_000
 CELL_BYTES = 6 << 20
+#: Pieces in which the sums of all buckets are shuffled.
+PARTS = 16
 #: Runs whose strings are put together at once.
 TOGETHER = 1 << 16
 POSTINGS = "cell int, block long, strings binary, documents binary, counts binary, sizes array<long>, ids binary, known binary, words binary"
@@ -280,19 +282,39 @@ def _unpacked(rows: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray], lis
 
 
 def bucket_sums(posted: DataFrame) -> DataFrame:
-    """bucket, n: features of all documents in each bucket that has any."""
+    """bucket, n: features of all documents in each bucket that has any.
+
+    A cell's sums travel as PARTS packed arrays; each task adds up those of its cells before they are shuffled.
+    """
+    size, packed = -(-BUCKETS // PARTS), "part int, sums binary"
 
     def total(table: pa.Table) -> pa.Table:
         rows = table.filter(pc.is_valid(table.column("strings"))).to_pylist()
-        sums = np.zeros(BUCKETS, np.int64)
-        if rows:
-            many, _, counts = _unpacked(rows)
-            of_run = [np.add.reduceat(c, np.cumsum(m) - m) for m, c in zip(many, counts)]
-            sums = Dictionary(rows).sums(np.concatenate(of_run))
-        at = np.flatnonzero(sums)
-        return pa.table({"bucket": at.astype(np.int32), "n": sums[at]})
-
-    return posted.groupBy("cell").applyInArrow(total, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        if not rows:
+            return pa.table({"part": pa.array([], pa.int32()), "sums": pa.array([], pa.binary())})
+        many, _, counts = _unpacked(rows)
+        sums = Dictionary(rows).sums(np.concatenate([np.add.reduceat(c, np.cumsum(m) - m) for m, c in zip(many, counts)]))
+        return pa.table({"part": np.arange(PARTS, dtype=np.int32), "sums": [_compressed(sums[p * size : (p + 1) * size])[0] for p in range(PARTS)]})
+
+    def held(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
+                sums = _array(sums, 8 * (min(BUCKETS, (p + 1) * size) - p * size), "<i8")
+                out[p] = out[p] + sums if p in out else sums
+        return out
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = held(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([_compressed(s)[0] for s in found.values()], pa.binary())], names=["part", "sums"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, sums in held(batches).items():
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at + p * size, pa.int32()), pa.array(sums[at])], names=["bucket", "n"])
+
+    added = posted.groupBy("cell").applyInArrow(total, packed).mapInArrow(add, packed)
+    return added.repartition("part").mapInArrow(spread, "bucket int, n long")
 
 
 def bucket_gains(source: DataFrame, target: DataFrame) -> DataFrame:
