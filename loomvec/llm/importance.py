@@ -54,7 +54,7 @@ RUN = 3
 BUCKETS = 10_000
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 50_000
-CELL_BYTES = 6 << 20
+CELL_BYTES = 4 << 20
 #: Pieces in which the sums of all buckets are shuffled.
 PARTS = 16
 #: Runs whose strings are put together at once.
@@ -62,7 +62,7 @@ TOGETHER = 1 << 16
 POSTINGS = "cell int, block long, strings binary, documents binary, counts binary, sizes array<long>, ids binary, known binary, words binary"
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_ZSTD = pa.Codec("zstd")
+_ZSTD = pa.Codec("zstd", compression_level=7)
 
 
 def _powers() -> np.ndarray:
