@@ -17,7 +17,8 @@ from ..operators import measures
 from ..operators.assign import assign, brute_force, cross_products, rejected
 from ..operators.kmeans import KMeans, kmeans
 from ..operators.update import accumulate, centroid_finalize, centroid_update, centroid_update_sorted, gather, long_form
-from ..sources.points import first_k, gaussian_points, points, random_rows, read_points, vector, write_table
+from ..sources.points import first_k, gaussian_points, gaussian_rows, points, random_rows, read_points, vector, write_table
+from ..streaming.accumulate import accumulate_stream, committed
 from ..streaming.assign import assign_stream, write_labels
 from .ordering import dense_index
 from .scratch import fresh
@@ -164,7 +165,7 @@ def label_runs_256(spark, sf):
 
 
 def _long_sums(df: DataFrame) -> DataFrame:
-    return long_form(df, "sums").select("k", "dim", "value", F.col("cnt").cast("int").alias("cnt"))
+    return long_form(df, "sums").select("k", "dim", "value", "cnt")
 
 
 def centroid_update_sums(spark, sf):
@@ -268,6 +269,25 @@ def fit_predict(spark, sf):
     return _labels(KMeans(K, 3).fit(pts, _start(spark, sf)).predict(pts))
 
 
+def kmeans_bounds(spark, sf):
+    """Six iterations whose bounds skip products: labels as without."""
+    return _labels(kmeans(_embeddings(spark, sf), K, 6, init=_start(spark, sf), bounds=True).labels)
+
+
+def kmeans_resumed(spark, sf):
+    """Three iterations, and two more from their log alone."""
+    folder = fresh(spark, "log")
+    kmeans(_embeddings(spark, sf), K, 3, init=_start(spark, sf), log=folder)
+    return _long(kmeans(_embeddings(spark, sf), K, 5, log=folder).centroids)
+
+
+def model_store(spark, sf):
+    """A model fitted, saved, loaded and used."""
+    folder = fresh(spark, "model")
+    KMeans(K, 3).fit(_embeddings(spark, sf), _start(spark, sf)).save(folder)
+    return _labels(KMeans.load(spark, folder).predict(_embeddings(spark, sf)))
+
+
 def validation_counts(spark, sf):
     """What validation rejects in a damaged copy of the points."""
     x, kind = F.col("x"), F.col("point_id") % 10
@@ -298,6 +318,15 @@ def stream_assign(spark, sf):
     return _labels(spark.read.schema("batch_id int, point_id long, cluster_id int").parquet(path))
 
 
+def stream_accumulate(spark, sf):
+    """Sums of a stream of all points by nearest centroid, committed batch by batch."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf}/embeddings[.]parquet")
+    folder = fresh(spark, "sums")
+    accumulate_stream(points(stream, "vec_id", "embedding"), _start(spark, sf), folder, f"{folder}-state", clamp=False).awaitTermination()
+    return _long_sums(committed(spark, folder))
+
+
 def reassign_final(spark, sf):
     return _labels(assign(_embeddings(spark, sf), _run(spark, sf, 3).centroids))
 
@@ -360,13 +389,23 @@ def lineitem_kmeans(spark, sf):
     return sizes.select("cluster_id", "n")
 
 
+def lineitem_bounds(spark, sf):
+    """Six iterations over all line items whose bounds skip products."""
+    pts, k = _lineitem(spark, sf), F.col("id")
+    start = spark.range(8).select(F.lit(0).alias("batch_id"), k.cast("int").alias("k"), F.array(3.0 + 6.0 * k, 5000.0 + 11000.0 * k, F.lit(0.05)).alias("c"))
+    run = kmeans(pts, 8, 6, init=start, bounds=True)
+    return run.labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def init_random(spark, sf):
     pts = _embeddings(spark, sf, True)
     return long_form(random_rows(pts, 4, 7)).select("batch_id", "k", "dim", "value")
 
 
 def datagen_kmeans(spark, sf):
-    pts = gaussian_points(spark, 2, 4096, 16, 3)
+    """Two batches of generated points, one of each for every row of the table."""
+    rows = _embeddings(spark, sf).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("batch_id"), "point_id")
+    pts = gaussian_rows(rows, 16, 3)
     found = long_form(kmeans(pts, 8, 2, init=first_k(pts, 8)).centroids)
     return found.select("batch_id", "k", "dim", F.round("value", 6).alias("value"))
 
@@ -385,6 +424,7 @@ def queries() -> dict[str, Query]:
         kmeans_iter1, kmeans_labels_5, kmeans_centroids_5, kmeans_batched, kmeans_shift_history, kmeans_tol_stop, reassign_final, inertia_final, inertia_sampled, inertia_delta,
         empty_cluster_count, label_disagreement, centroid_drift, centroid_off_fraction, label_summary, lineitem_kmeans, init_random, datagen_kmeans, operation_counts,
         assign_k8192_doubled, gather_by_permutation, kmeans_half, kmeans_bfloat, kmeans_single, fit_predict, validation_counts, scan_points, sink_labels, stream_assign, inertia_drawn,
+        kmeans_bounds, lineitem_bounds, kmeans_resumed, model_store, stream_accumulate,
     )
     return {f.__name__: f for f in found}
 
@@ -439,10 +479,10 @@ def _drawn(seed: int, *keys: str) -> str:
     return h
 
 
-def _normal_points(name: str, batches: int, n: int, dims: int, seed: int) -> str:
+def _normal_points(name: str, batches: int, ids: str, dims: int, seed: int) -> str:
     one, two = (_drawn(seed, "b", "id", f"(2 * d + {k})") for k in (0, 1))
     value = f"sqrt(-2 * ln(({one} + 0.5) / 4294967296.0)) * cos({two} * (2 * pi() / 4294967296.0))"
-    rows = f"FROM range({batches}) t(b), range({n}) u(id), range({dims}) v(d)"
+    rows = f"FROM range({batches}) t(b), {ids} u(id), range({dims}) v(d)"
     return f"{name} AS MATERIALIZED (SELECT b, id, list(v ORDER BY d) AS x FROM (SELECT b, id, d, ({value})::DOUBLE AS v {rows}) GROUP BY b, id)"
 
 
@@ -473,7 +513,7 @@ def _moves(i: int) -> str:
 def oracle_sql() -> dict[str, str]:
     base = (_P, _c0())
     labels = "SELECT id AS point_id, k AS cluster_id FROM {}"
-    sums = "SELECT k, dim::INT AS dim, value, n::INT AS cnt FROM {}"
+    sums = "SELECT k, dim::INT AS dim, value, n::BIGINT AS cnt FROM {}"
     every = "FROM p JOIN c0 ON p.b = c0.b"
     distance = "list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c)"
     by_label = "p AS MATERIALIZED (SELECT label AS b, vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)", "c0 AS MATERIALIZED (SELECT b, (r - 1)::INT AS k, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY id) AS r FROM p) WHERE r <= 4)"
@@ -496,6 +536,9 @@ def oracle_sql() -> dict[str, str]:
     indexed = "m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY b ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY b) AS n FROM p)"
     every_dim = "SELECT b::INT AS batch_id, k::INT AS k, dim::INT AS dim, {} AS value FROM (SELECT b, k, c, unnest(range(len(c))) AS dim FROM {})"
     short = {precision: _with(_short_points(precision), _c0(), _lloyd(3, precision=precision)) + _FLAT.format("c3") for precision in ("half", "bfloat", "single")}
+    line_more = list(line_steps)
+    for i in range(1, 6):
+        line_more += [_update(f"u{i}", f"a{i}", f"c{i}"), _final(f"c{i + 1}", f"u{i}"), _assign(f"a{i + 1}", f"c{i + 1}", distance=plain)]
     return {
         "point_sq_norms": _with(_P) + "SELECT id AS point_id, round(list_dot_product(x, x), 6) AS x_sq FROM p",
         "centroid_sq_norms": _with(*base) + "SELECT k, round(list_dot_product(c, c), 6) AS c_sq FROM c0",
@@ -514,7 +557,7 @@ def oracle_sql() -> dict[str, str]:
         "assign_given_norms": _with(*base, _assign("a0", "c0", distance="1.0 + k * 0.03125 - 2 * list_dot_product(x, c)")) + labels.format("a0"),
         "assign_half": _with(_short_points("half"), _c0(), _assign("a0", "c0")) + labels.format("a0"),
         "assign_bfloat": _with(_short_points("bfloat"), _c0(), _assign("a0", "c0")) + labels.format("a0"),
-        "assign_k8192_doubled": _with(_P, _normal_points("g", 1, 4096, DIMS, 5), "c0 AS MATERIALIZED (SELECT 0 AS b, id::INT AS k, x AS c FROM g)", _assign("a0", "c0", distance=distance)) + labels.format("a0"),
+        "assign_k8192_doubled": _with(_P, _normal_points("g", 1, "range(4096)", DIMS, 5), "c0 AS MATERIALIZED (SELECT 0 AS b, id::INT AS k, x AS c FROM g)", _assign("a0", "c0", distance=distance)) + labels.format("a0"),
         "gather_by_permutation": _with(*base, _assign("a0", "c0"), sorted_rows) + f"SELECT position, (SELECT count(*) FROM p q WHERE q.id < o.point_id) AS perm, point_id, x[1] AS x_first, x[{DIMS}] AS x_last FROM o JOIN p ON p.id = o.point_id",
         "kmeans_half": short["half"],
         "kmeans_bfloat": short["bfloat"],
@@ -526,14 +569,14 @@ def oracle_sql() -> dict[str, str]:
         "stream_assign": _with(*base, _assign("a0", "c0")) + labels.format("a0"),
         "inertia_drawn": _with(*base, _lloyd(3), _assign("a3", "c3")) + f"SELECT round(inertia, 6) AS inertia, n AS n_points FROM ({total.format('a3', 'c3')} WHERE id IN (SELECT id FROM p ORDER BY {_drawn(11, 'id')}, id LIMIT 200))",
         "init_random": _with(by_label[0], indexed, f"s AS (SELECT b, n, k, {_drawn(7, 'b', 'k')} % n AS pos FROM (SELECT DISTINCT b, n FROM m), range(4) t(k))", "c0 AS (SELECT b, k, x AS c FROM s JOIN m USING (b, pos))") + every_dim.format("c[dim + 1]", "c0"),
-        "datagen_kmeans": _with(_normal_points("p", 2, 4096, 16, 3), "c0 AS MATERIALIZED (SELECT b, id::INT AS k, x AS c FROM p WHERE id < 8)", _lloyd(2)) + every_dim.format("round(c[dim + 1], 6)", "c2"),
+        "datagen_kmeans": _with(_normal_points("p", 2, "(SELECT vec_id FROM embeddings)", 16, 3), "c0 AS MATERIALIZED (SELECT b, id::INT AS k, x AS c FROM p WHERE id < 8)", _lloyd(2)) + every_dim.format("round(c[dim + 1], 6)", "c2"),
         "d_sweep_disagreement": _with(_P, *steps) + " UNION ALL ".join(sweep),
         "label_sort_permutation": _with(*base, _assign("a0", "c0"), sorted_rows) + "SELECT * FROM o",
         "label_runs_256": _with(*base, _assign("a0", "c0"), sorted_rows) + "SELECT position // 256 AS block, cluster_id, min(position) AS run_start, count(*) AS run_length FROM o GROUP BY ALL",
         "centroid_update_sums": _with(*base, _assign("a0", "c0"), _update("u0", "a0", "c0")) + sums.format("u0"),
         "centroid_update_indexed": _with(*base, _assign("a0", "c0"), _update("u0", "a0", "c0")) + sums.format("u0"),
         "centroid_update_out_of_range": _with(*base, _assign("a0", "c0"), _SHIFT, _update("u0", "s0", "c0")) + sums.format("u0"),
-        "centroid_update_accumulate": _with(*base, _assign("a0", "c0"), _SHIFT, _update("u0", "a0", "c0"), _update("u1", "s0", "c0")) + "SELECT k, dim::INT AS dim, u0.value + u1.value AS value, (u0.n + u1.n)::INT AS cnt FROM u0 JOIN u1 USING (b, k, dim)",
+        "centroid_update_accumulate": _with(*base, _assign("a0", "c0"), _SHIFT, _update("u0", "a0", "c0"), _update("u1", "s0", "c0")) + "SELECT k, dim::INT AS dim, u0.value + u1.value AS value, (u0.n + u1.n)::BIGINT AS cnt FROM u0 JOIN u1 USING (b, k, dim)",
         "centroid_finalize_means": _with(*base, _lloyd(1)) + _FLAT.format("c1"),
         "centroid_finalize_empty": _with(*base, _assign("a0", "c0"), _SHIFT, _update("u0", "s0", "c0"), _final("c1", "u0")) + _FLAT.format("c1"),
         "kmeans_iter1": _with(*base, _lloyd(1)) + _FLAT.format("c1"),
@@ -552,5 +595,10 @@ def oracle_sql() -> dict[str, str]:
         "centroid_off_fraction": _with(*base, _lloyd(3)) + "SELECT round(avg((abs(v - w) > 0.02 AND abs(v - w) > 0.5 * abs(w))::INT), 9) AS off_fraction, count(*) AS n_values FROM (SELECT unnest(n.c) AS v, unnest(o.c) AS w FROM c3 n JOIN c1 o USING (b, k))",
         "label_summary": _with(_P, _c0(64), _assign("a0", "c0")) + "SELECT count(DISTINCT k) AS n_labels, min(k) AS least, max(k) AS most, round(avg((k = id)::INT), 9) AS self_share FROM a0",
         "lineitem_kmeans": _with(*line, *line_steps) + "SELECT k AS cluster_id, count(*) AS n FROM a1 GROUP BY k",
+        "kmeans_bounds": _with(*base, _lloyd(6)) + labels.format("a5"),
+        "lineitem_bounds": _with(*line, *line_more) + "SELECT k AS cluster_id, count(*) AS n FROM a5 GROUP BY k",
+        "kmeans_resumed": _with(*base, _lloyd(5)) + _FLAT.format("c5"),
+        "model_store": _with(*base, _lloyd(3), _assign("a3", "c3")) + labels.format("a3"),
+        "stream_accumulate": _with(*base, _assign("a0", "c0"), _update("u0", "a0", "c0")) + sums.format("u0"),
         "operation_counts": f"SELECT count(*) * {2 * K * DIMS * 5} AS flops FROM embeddings",
     }

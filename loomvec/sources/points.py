@@ -41,6 +41,11 @@ def write_table(df: DataFrame, path: str, source: str = "parquet", mode: str = "
 def gaussian_points(spark: SparkSession, batches: int, n: int, dims: int, seed: int = 0) -> DataFrame:
     """Seeded standard normal points; a value depends on the seed, batch, point and dimension alone."""
     rows = spark.range(batches * n).select((F.col("id") / n).cast("int").alias("batch_id"), (F.col("id") % n).alias("point_id"))
+    return gaussian_rows(rows, dims, seed)
+
+
+def gaussian_rows(rows: DataFrame, dims: int, seed: int = 0) -> DataFrame:
+    """``rows`` (batch_id and point_id, from any table) with the seeded standard normal point of each."""
 
     def normal(d: Column) -> Column:
         one, two = (drawn(seed, F.col("batch_id"), F.col("point_id"), 2 * d + k) for k in (0, 1))
