@@ -52,7 +52,7 @@ from .lexing import U, Words, hash_words, join, mix, ranges, same_words, slices,
 
 RUN = 3
 BUCKETS = 10_000
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 BLOCK_ROWS = 50_000
 CELL_BYTES = 4 << 20
 #: Pieces in which the sums of all buckets are shuffled.
