@@ -52,7 +52,7 @@ from .lexing import U, Words, hash_words, join, mix, ranges, same_words, slices,
 
 RUN = 3
 BUCKETS = 10_000
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 50_000
 CELL_BYTES = 4 << 20
 #: Pieces in which the sums of all buckets are shuffled.
@@ -62,7 +62,7 @@ TOGETHER = 1 << 16
 POSTINGS = "cell int, block long, strings binary, documents binary, counts binary, sizes array<long>, ids binary, known binary, words binary"
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_ZSTD = pa.Codec("zstd", compression_level=7)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def _powers() -> np.ndarray:
