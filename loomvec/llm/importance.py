@@ -52,7 +52,7 @@ from .lexing import U, Words, hash_words, join, mix, ranges, same_words, slices,
 
 RUN = 3
 BUCKETS = 10_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 50_000
 CELL_BYTES = 4 << 20
 #: Pieces in which the sums of all buckets are shuffled.
@@ -104,13 +104,15 @@ def _numbered(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return number, first
 
 
-def _compressed(x: np.ndarray | bytes) -> tuple[bytes, int]:
-    raw = x if isinstance(x, bytes) else x.tobytes()
-    return _ZSTD.compress(raw, asbytes=True), len(raw)
+def _compressed(x: np.ndarray) -> tuple[bytes, int]:
+    """An array's bytes, the lowest of all numbers first, and their size before compression."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return _ZSTD.compress(raw, asbytes=True), raw.nbytes
 
 
 def _array(data: bytes, size: int, kind: str = "<u4") -> np.ndarray:
-    return np.frombuffer(_ZSTD.decompress(data, size, asbytes=True), kind)
+    raw = np.frombuffer(_ZSTD.decompress(data, size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _spelt(words: Words, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
