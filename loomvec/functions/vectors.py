@@ -74,3 +74,13 @@ def drawn(seed: int, *keys: Column) -> Column:
         return h.bitwiseXOR(F.shiftright(h, 15))
 
     return F.aggregate(F.array(*(key.cast("long") for key in keys)), F.lit(seed).cast("long"), step)
+
+
+def drawn_array(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """The same numbers as ``drawn``, from arrays."""
+    h = np.uint64(seed)
+    for key in keys:
+        h = (h + key.astype(np.uint64) + np.uint64(1013904223)) * np.uint64(747796405) % np.uint64(1 << 32)
+        h = (h ^ h >> np.uint64(16)) * np.uint64(569420461) % np.uint64(1 << 32)
+        h = h ^ h >> np.uint64(15)
+    return h

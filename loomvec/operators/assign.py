@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.packed import is_packed
 from ..functions.vectors import checked, clamped_distance, dot, raw_distance, sq_norm
 from ..plans.scratch import keep
 from .kernel import distinct, matrix, nearest
@@ -55,10 +56,11 @@ def facts(centroids: DataFrame) -> Facts:
 
 def rejected(points: DataFrame, dims: int) -> DataFrame:
     """One row: points in all, and those whose vector is null, of another length, or has a null component."""
-    x, there = F.col("x"), F.col("x").isNotNull()
-    whole = there & (F.size("x") == dims)
+    x, there, short = F.col("x"), F.col("x").isNotNull(), is_packed(points, "x")
+    size = (F.octet_length("x") - 1) / 2 if short else F.size("x")
+    hole = F.lit(False) if short else F.exists(x, lambda v: v.isNull())
     count = lambda c: F.count(F.when(c, 1))
-    return points.agg(F.count(F.lit(1)).alias("n_points"), count(x.isNull()).alias("n_null"), count(there & (F.size("x") != dims)).alias("n_length"), count(whole & F.exists(x, lambda v: v.isNull())).alias("n_incomplete"))
+    return points.agg(F.count(F.lit(1)).alias("n_points"), count(x.isNull()).alias("n_null"), count(there & (size != dims)).alias("n_length"), count(there & (size == dims) & hole).alias("n_incomplete"))
 
 
 def validate(points: DataFrame, dims: int) -> None:
@@ -155,8 +157,13 @@ def _by_expression(points: DataFrame, centroids: DataFrame, seen: Facts, clamp:
 
 
 def assign(points: DataFrame, centroids: DataFrame, clamp: bool = True, strategy: str = "auto", with_points: bool = False) -> DataFrame:
-    """Label of every point whose batch has centroids; with_points keeps ``x`` and adds the least ``distance``."""
+    """Label of every point whose batch has centroids; with_points keeps ``x`` and adds the least ``distance``.
+
+    Packed points (``functions/packed.py``) go to the kernel.
+    """
     seen = facts(centroids)
+    if is_packed(points, "x"):
+        strategy = "arrow"
     if strategy == "auto":
         strategy = "expression" if seen.n * seen.dims <= 64 else "arrow"
     elif strategy == "expression" and seen.n * seen.dims * 8 > BLOCK_BYTES:

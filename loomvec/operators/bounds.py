@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.packed import is_packed
 from ..plans.scratch import keep
 from .kernel import TILE, matrix, nearest, squares
 from .update import PARTIAL, Partials
@@ -95,10 +96,12 @@ def anchored(points: DataFrame, held: Held, dims: int, block, clamp: bool) -> Da
 
     def sums(rows: pa.RecordBatch) -> pa.RecordBatch:
         none = pa.nulls(rows.num_rows)
-        return pa.RecordBatch.from_arrays([rows.column("batch_id"), none.cast(pa.list_(pa.float64())), none.cast(pa.int32()), none.cast(pa.float64()), none.cast(pa.float64()), *rows.columns[1:]], names=names)
+        return pa.RecordBatch.from_arrays([rows.column("batch_id"), none.cast(x_type), none.cast(pa.int32()), none.cast(pa.float64()), none.cast(pa.float64()), *rows.columns[1:]], names=names)
 
+    short = is_packed(points, "x")
+    x_type = pa.binary() if short else pa.list_(pa.float64())
     names = ["batch_id", "x", "cluster_id", "upper", "lower", "k", "sums", "cnt"]
-    schema = "batch_id int, x array<double>, cluster_id int, upper double, lower double, k int, sums array<double>, cnt long"
+    schema = f"batch_id int, x {'binary' if short else 'array<double>'}, cluster_id int, upper double, lower double, k int, sums array<double>, cnt long"
     return keep(points.select("batch_id", "x").mapInArrow(run, schema), "anchor")
 
 

@@ -5,12 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from ..functions.packed import decode
+
 TILE = 1 << 22
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """A list column as rows x dims; fails on nulls and on vectors of another length."""
+    """A list column, or one of packed vectors, as rows x dims; fails on nulls and on vectors of another length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        if column.null_count or (np.diff(offsets) != 1 + 2 * dims).any():
+            raise ValueError(f"a vector is null, has a null component, or is not of length {dims}")
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+        return decode(data.reshape(len(column), 1 + 2 * dims))
     values = column.flatten()
     if column.null_count or values.null_count or len(values) != len(column) * dims or (np.diff(column.offsets.to_numpy()) != dims).any():
         raise ValueError(f"a vector is null, has a null component, or is not of length {dims}")

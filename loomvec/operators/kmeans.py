@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packed import is_packed, unpack
 from ..functions.vectors import rounded, to_precision
 from ..plans.scratch import discard, keep
 from ..sources.points import random_rows
@@ -127,15 +128,16 @@ def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tol: float
     if ``max_iters`` is 0. Vectors that are null, ragged or incomplete fail: the kernel refuses them as it scans, and ``check``
     only says which kind they are. ``persist`` caches the points for the iterations.
     ``precision`` (double, single, half or bfloat) is that of points, first centroids and each iteration's centroids; sums and
-    distances of such numbers are taken in double. ``bounds`` skips products whose result is known; it has no effect on centroids
+    distances of such numbers are taken in double; packed points stay in their own format. ``bounds`` skips products whose result is known; it has no effect on centroids
     above ``assign.BLOCK_BYTES``. ``log`` names a folder of this run in a file system that a new driver sees too; a folder that
     already has iterations is gone on from, and ``init`` and ``seed`` are then ignored.
     """
-    points = points.withColumn("x", rounded(F.col("x"), precision))
+    points = _rounded(points, precision)
     journal = Journal(points.sparkSession, log, {"n_clusters": n_clusters, "clamp": clamp, "precision": precision}) if log else None
     done, shifts, centroids, before = journal.last() if journal else (0, [], None, None)
     if centroids is None:
         centroids = init if init is not None else random_rows(points, n_clusters, seed)
+        centroids = unpack(centroids, "c") if is_packed(centroids, "c") else centroids
         centroids = keep(centroids.withColumn("c", rounded(F.col("c"), precision)), "centroids")
         before = centroids
         if journal:
@@ -192,6 +194,11 @@ def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tol: float
     return Result(labels, centroids, done, shifts if watched else [], saved)
 
 
+def _rounded(points: DataFrame, precision: str) -> DataFrame:
+    """Points in a shorter format; packed ones are in theirs already."""
+    return points if is_packed(points, "x") else points.withColumn("x", rounded(F.col("x"), precision))
+
+
 def _held(centroids: DataFrame, dims: int) -> Held:
     """Centroids that fit BLOCK_BYTES, by batch."""
     rows = centroids.orderBy("batch_id", "k").toArrow()
@@ -220,7 +227,7 @@ class KMeans:
     def predict(self, points: DataFrame) -> DataFrame:
         if self.result is None:
             raise ValueError("fit first")
-        return assign(points.withColumn("x", rounded(F.col("x"), self.precision)), self.result.centroids, self.clamp)
+        return assign(_rounded(points, self.precision), self.result.centroids, self.clamp)
 
     def save(self, folder: str) -> int:
         """Commit the fitted model under a folder, as its next version, and say which that is."""

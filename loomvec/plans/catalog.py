@@ -12,16 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packed import pack, unpack
 from ..functions.vectors import FORMATS, dot, rounded, sq_norm
 from ..operators import measures
 from ..operators.assign import assign, brute_force, cross_products, rejected
 from ..operators.kmeans import KMeans, kmeans
 from ..operators.update import accumulate, centroid_finalize, centroid_update, centroid_update_sorted, gather, long_form
-from ..sources.points import first_k, gaussian_points, gaussian_rows, points, random_rows, read_points, vector, write_table
+from ..sources.points import first_k, gaussian_points, gaussian_rows, points, random_rows, read_gaussian, read_points, vector, write_table
 from ..streaming.accumulate import accumulate_stream, committed
 from ..streaming.assign import assign_stream, write_labels
 from .ordering import dense_index
 from .scratch import fresh
+from .sql import register
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, DIMS = 16, 64
@@ -288,6 +290,43 @@ def model_store(spark, sf):
     return _labels(KMeans.load(spark, folder).predict(_embeddings(spark, sf)))
 
 
+def _packed(spark, sf):
+    """All points as a table of two-byte vectors, written and read again."""
+    path = fresh(spark, "packed")
+    write_table(pack(_embeddings(spark, sf), "half"), path)
+    return read_points(spark, path, "point_id", "x", "batch_id")
+
+
+def assign_packed(spark, sf):
+    pts = _packed(spark, sf)
+    low = unpack(pts.filter(F.col("point_id") < K)).select("batch_id", F.col("point_id").cast("int").alias("k"), F.col("x").alias("c"))
+    return _labels(assign(pts, low, clamp=False))
+
+
+def kmeans_packed(spark, sf):
+    """As kmeans_half, from packed points and with bounds."""
+    return _long(kmeans(_packed(spark, sf), K, 3, init=_start(spark, sf), precision="half", bounds=True).centroids)
+
+
+def assign_in_sql(spark, sf):
+    """Assignment written in SQL alone."""
+    register(spark)
+    spark.read.parquet(f"{sf}/embeddings.parquet").createOrReplaceTempView("loomvec_embeddings")
+    return spark.sql(f"""
+        SELECT vec_id AS point_id, nearest_centroid(CAST(embedding AS ARRAY<DOUBLE>), (
+          SELECT array_sort(collect_list(named_struct('k', CAST(vec_id AS INT), 'c', CAST(embedding AS ARRAY<DOUBLE>)))) FROM loomvec_embeddings WHERE vec_id < {K})) AS cluster_id
+        FROM loomvec_embeddings""")
+
+
+def source_noise(spark, sf):
+    """All points with seeded noise, which is read from the generating data source."""
+    pts = _embeddings(spark, sf)
+    n = pts.agg(F.max("point_id") + 1).first()[0] or 0
+    noise = read_gaussian(spark, rows=n, dims=3, seed=5).select("point_id", F.col("x").alias("noise"))
+    moved = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda d: F.element_at("x", d) + F.element_at("noise", d) / 8)
+    return pts.join(noise, "point_id").select("point_id", F.posexplode(moved).alias("dim", "value")).withColumn("value", F.round("value", 9))
+
+
 def validation_counts(spark, sf):
     """What validation rejects in a damaged copy of the points."""
     x, kind = F.col("x"), F.col("point_id") % 10
@@ -424,7 +463,7 @@ def queries() -> dict[str, Query]:
         kmeans_iter1, kmeans_labels_5, kmeans_centroids_5, kmeans_batched, kmeans_shift_history, kmeans_tol_stop, reassign_final, inertia_final, inertia_sampled, inertia_delta,
         empty_cluster_count, label_disagreement, centroid_drift, centroid_off_fraction, label_summary, lineitem_kmeans, init_random, datagen_kmeans, operation_counts,
         assign_k8192_doubled, gather_by_permutation, kmeans_half, kmeans_bfloat, kmeans_single, fit_predict, validation_counts, scan_points, sink_labels, stream_assign, inertia_drawn,
-        kmeans_bounds, lineitem_bounds, kmeans_resumed, model_store, stream_accumulate,
+        kmeans_bounds, lineitem_bounds, kmeans_resumed, model_store, stream_accumulate, assign_packed, kmeans_packed, assign_in_sql, source_noise,
     )
     return {f.__name__: f for f in found}
 
@@ -598,6 +637,10 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_bounds": _with(*base, _lloyd(6)) + labels.format("a5"),
         "lineitem_bounds": _with(*line, *line_more) + "SELECT k AS cluster_id, count(*) AS n FROM a5 GROUP BY k",
         "kmeans_resumed": _with(*base, _lloyd(5)) + _FLAT.format("c5"),
+        "assign_packed": _with(_short_points("half"), _c0(), _assign("a0", "c0")) + labels.format("a0"),
+        "kmeans_packed": short["half"],
+        "assign_in_sql": _with(*base, _assign("a0", "c0")) + labels.format("a0"),
+        "source_noise": _with(_P, _normal_points("g", 1, "(SELECT vec_id FROM embeddings)", 3, 5)) + "SELECT point_id, dim, round(v, 9) AS value FROM (SELECT p.id AS point_id, unnest(range(3))::INT AS dim, unnest([p.x[1] + g.x[1] / 8, p.x[2] + g.x[2] / 8, p.x[3] + g.x[3] / 8]) AS v FROM p JOIN g ON p.id = g.id)",
         "model_store": _with(*base, _lloyd(3), _assign("a3", "c3")) + labels.format("a3"),
         "stream_accumulate": _with(*base, _assign("a0", "c0"), _update("u0", "a0", "c0")) + sums.format("u0"),
         "operation_counts": f"SELECT count(*) * {2 * K * DIMS * 5} AS flops FROM embeddings",

@@ -8,19 +8,26 @@ labels: ``batch_id INT, point_id BIGINT, cluster_id INT``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.vectors import drawn
+from ..functions.vectors import drawn, drawn_array
 
 
 def points(df: DataFrame, id_col: str | Column, vector_col: str | Column, batch_col: str | Column | None = None) -> DataFrame:
-    """Any table with an identifier and a vector (or an array of numeric columns) as points; one batch unless named."""
+    """Any table with an identifier and a vector (an array of numbers, or packed) as points; one batch unless named."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    x = as_col(vector_col)
+    if df.select(x.alias("x")).dtypes[0][1] != "binary":
+        x = x.cast("array<double>")
     batch = F.lit(0) if batch_col is None else as_col(batch_col).cast("int")
-    return df.select(batch.alias("batch_id"), as_col(id_col).cast("long").alias("point_id"), as_col(vector_col).cast("array<double>").alias("x"))
+    return df.select(batch.alias("batch_id"), as_col(id_col).cast("long").alias("point_id"), x.alias("x"))
 
 
 def vector(*columns: str) -> Column:
@@ -54,6 +61,51 @@ def gaussian_rows(rows: DataFrame, dims: int, seed: int = 0) -> DataFrame:
     return rows.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), normal))
 
 
+class GaussianSource(DataSource):
+    """``spark.read.format("gaussian_points")``: the same points as gaussian_points, as a table that tasks generate.
+
+    Options: rows (a batch), dims, batches (1), seed (0) and partitions (8); values do not depend on the last.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "gaussian_points"
+
+    def schema(self) -> str:
+        return "batch_id int, point_id long, x array<double>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return GaussianReader({"batches": 1, "seed": 0, "partitions": 8} | {k: int(v) for k, v in self.options.items()})
+
+
+class GaussianReader(DataSourceReader):
+    ROWS = 4096
+
+    def __init__(self, options: dict[str, int]):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        total, parts = self.options["batches"] * self.options["rows"], max(1, self.options["partitions"])
+        return [InputPartition((total * p // parts, total * (p + 1) // parts)) for p in range(parts)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        (begin, end), o = partition.value, self.options
+        dims = np.arange(o["dims"])
+        for a in range(begin, end, self.ROWS):
+            number = np.arange(a, min(a + self.ROWS, end))
+            batch, point = number // o["rows"], number % o["rows"]
+            one, two = (drawn_array(o["seed"], batch[:, None], point[:, None], 2 * dims[None] + k) for k in (0, 1))
+            x = np.sqrt(-2.0 * np.log((one + 0.5) / 2.0**32)) * np.cos(two * (2.0 * math.pi / 2.0**32))
+            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * o["dims"], pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int32()), pa.array(point, pa.int64()), lists], names=["batch_id", "point_id", "x"])
+
+
+def read_gaussian(spark: SparkSession, **options: int) -> DataFrame:
+    """The generated points as a table."""
+    spark.dataSource.register(GaussianSource)
+    return spark.read.format("gaussian_points").options(**options).load()
+
+
 def first_k(pts: DataFrame, k: int) -> DataFrame:
     """The k points of least id of each batch as centroids.
 
