@@ -18,7 +18,7 @@ millionths and summed as integers, so results do not depend on the order of rows
 
 Null URLs and URLs without ``://`` have empty host and path and no rule; their
 text (null: empty) is still judged by the models. Empty text is allowed. Very
-long URLs are taken whole. Of rules that fit, no two have one length and differ
+long URLs are taken whole, in time proportional to their length. Of rules that fit, no two have one length and differ
 unless they name different hosts; then the later one by name wins. A ratio equal
 to the bound is allowed. Repeated rows and ids get a row each. If either class
 has no URL, every URL without a rule is allowed. An empty table gives an empty
@@ -39,6 +39,8 @@ ORDER = 5
 #: Code points, the uniform distribution's support.
 SYMBOLS = 1_114_112
 SCALE = 1_000_000
+#: Characters of a URL that are taken at once; more than any ``order``.
+PIECE = 256
 
 
 def host_of(url: Column) -> Column:
@@ -67,9 +69,17 @@ def padded(url: Column, order: int = ORDER) -> Column:
 
 
 def _grams(df: DataFrame, name: str, order: int) -> DataFrame:
-    """One row for each character, with those before it; rows of empty texts vanish."""
-    places = F.when(F.length("text") > order, F.sequence(F.lit(1), F.length("text") - order))
-    return df.select(name, "text", F.explode(places).alias("at")).select(name, F.substring("text", F.col("at"), F.lit(order + 1)).alias("gram"))
+    """One row for each character, with those before it; rows of empty texts vanish.
+
+    A text is cut in one pass into pieces of PIECE characters, each behind the ``order`` characters before it, so that no place of
+    a long text is counted off from its beginning.
+    """
+    body = F.substring("text", F.lit(order + 1), F.length("text"))
+    cut = df.select(name, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
+    before = lambda i: F.when(i == 0, F.lit("^" * order)).otherwise(F.right(F.get("pieces", i - 1), F.lit(order)))
+    pieces = cut.select(name, F.explode(F.transform("pieces", lambda piece, i: F.concat(before(i), piece))).alias("piece"))
+    places = pieces.select(name, "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - order)).alias("at"))
+    return places.select(name, F.substring("piece", F.col("at"), F.lit(order + 1)).alias("gram"))
 
 
 def _end(column: str, n: int) -> Column:
