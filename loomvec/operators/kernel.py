@@ -7,7 +7,8 @@ import pyarrow as pa
 
 from ..functions.packed import decode
 
-TILE = 1 << 22
+#: Distances that are held at once: few enough to stay in a core's cache.
+TILE = 1 << 18
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -64,34 +65,50 @@ def nearest(x: np.ndarray, c: np.ndarray, c_sq: np.ndarray, clamp: bool, best: n
     width = max(1, min(len(c), 4096))
     height = max(1, TILE // width)
     with np.errstate(invalid="ignore", over="ignore"):
-        x_sq = squares(x) if clamp else np.zeros(n)
+        x_sq, scaled, top = squares(x), c * -2.0, np.abs(c_sq[np.isfinite(c_sq)]).max(initial=0.0)
         for a in range(0, n, height):
             rows = slice(a, a + height)
+            each = np.arange(len(x[rows]))
             for b in range(0, len(c), width):
                 block, block_sq = c[b : b + width], c_sq[b : b + width]
-                d = block_sq[None] - 2.0 * (x[rows] @ block.T)
-                if clamp:
-                    d += x_sq[rows, None]
-                    d = np.where(d > 0, d, 0.0)
-                else:
-                    d[np.isnan(d)] = np.inf
+                d = x[rows] @ scaled[b : b + width].T
+                d += block_sq
                 at = d.argmin(axis=1)
-                low = d[np.arange(len(d)), at]
-                slack = np.where(np.isfinite(low), 1e-12 * (np.abs(low) + x_sq[rows] + 1.0 + np.abs(block_sq[np.isfinite(block_sq)]).max(initial=0.0)), -np.inf)
-                near = d <= (low + slack)[:, None]
-                near[np.arange(len(d)), at] = True
-                r, k = np.nonzero(near)
-                exact = _exact(x[rows], x_sq[rows], block, block_sq, r, k, clamp)
-                first = np.searchsorted(r, np.arange(len(d)))
-                low = np.minimum.reduceat(exact, first)
-                won = np.flatnonzero(exact == low[r])
-                at = k[won[np.searchsorted(r[won], np.arange(len(d)))]]
+                low = d[each, at]
+                if np.isfinite(low).all():
+                    # a clamped distance is 0 only within this error, so ties of clamped ones are among the near
+                    near = d <= (low + 1e-12 * (np.abs(low) + 2 * x_sq[rows] + 1.0 + top))[:, None]
+                else:
+                    at, near = _odd(d, x_sq[rows], top, clamp)
+                if np.count_nonzero(near) == len(each):
+                    low = _exact(x[rows], x_sq[rows], block, block_sq, each, at, clamp)
+                else:
+                    r, k = np.nonzero(near)
+                    exact = _exact(x[rows], x_sq[rows], block, block_sq, r, k, clamp)
+                    low = np.minimum.reduceat(exact, np.searchsorted(r, each))
+                    won = np.flatnonzero(exact == low[r])
+                    at = k[won[np.searchsorted(r[won], each)]]
                 better = low < best[rows]
                 best[rows] = np.where(better, low, best[rows])
                 label[rows] = np.where(better, names[b + at], label[rows])
     return best, label
 
 
+def _odd(d: np.ndarray, x_sq: np.ndarray, top: float, clamp: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Least entry and those near it where some are not finite: NaN counts as 0 if clamped, else it never wins."""
+    if clamp:
+        d = d + x_sq[:, None]
+        d = np.where(d > 0, d, 0.0)
+    else:
+        d = np.where(np.isnan(d), np.inf, d)
+    at = d.argmin(axis=1)
+    low = d[np.arange(len(d)), at]
+    slack = np.where(np.isfinite(low), 1e-12 * (np.abs(low) + x_sq + 1.0 + top), -np.inf)
+    near = d <= (low + slack)[:, None]
+    near[np.arange(len(d)), at] = True
+    return at, near
+
+
 def partial_sums(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Clusters that occur (0 <= label < k), their sums and counts."""
     inside = (label >= 0) & (label < k)
