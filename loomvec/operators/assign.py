@@ -3,8 +3,11 @@
 ``expression``: the centroids of a batch are packed into one row and broadcast
 to the points, which take the least (distance, k) of an array: a projection
 after a broadcast join, no shuffle. ``arrow``: centroids go to the workers in
-blocks, and a blocked matrix product keeps a running best. ``auto`` takes the
-kernel unless the centroids are few. Both give the lowest k on ties. Neither
+blocks, and a blocked matrix product keeps a running best. ``file``: the same
+kernel, with centroids in files that workers map into memory (``mapped.py``), so
+that points are scanned once however many there are; ``arrow`` becomes ``file``
+above BLOCK_BYTES wherever workers can open the shared folder. ``auto`` takes the
+kernel unless the centroids are few. All give the lowest k on ties. None
 ever holds the point-by-centroid matrix.
 """
 
@@ -22,6 +25,7 @@ from ..functions.packed import is_packed
 from ..functions.vectors import checked, clamped_distance, dot, raw_distance, sq_norm
 from ..plans.scratch import keep
 from .kernel import distinct, matrix, nearest
+from .mapped import assign_mapped, reachable, write_centroids
 
 LABELS = "batch_id int, point_id long, cluster_id int"
 #: Largest centroid table that is broadcast, or sent to the workers at once.
@@ -89,10 +93,14 @@ def packed_block(which: np.ndarray, names: np.ndarray, c: np.ndarray, c_sq: np.n
     return out
 
 
+def _step(seen: Facts, block_bytes: int) -> int:
+    """Numbers whose centroids, over all batches, are about block_bytes."""
+    return max(1, int(block_bytes / (8 * (seen.dims + 2)) * (seen.last + 1) / seen.n))
+
+
 def _blocks(centroids: DataFrame, seen: Facts) -> Iterator[Block]:
     """Blocks of k, about BLOCK_BYTES at once."""
-    table, dims = _with_norm(centroids), seen.dims
-    step = max(1, int(BLOCK_BYTES / (8 * (dims + 2)) * (seen.last + 1) / seen.n))
+    table, dims, step = _with_norm(centroids), seen.dims, _step(seen, BLOCK_BYTES)
     for first in range(0, seen.last + 1, step):
         rows = table.filter((F.col("k") >= first) & (F.col("k") < first + step)).orderBy("batch_id", "k").toArrow()
         batch = rows.column("batch_id").to_numpy()
@@ -156,18 +164,22 @@ def _by_expression(points: DataFrame, centroids: DataFrame, seen: Facts, clamp:
     return joined.withColumn("best", best).select("batch_id", "point_id", "x", F.col("best.d").alias("distance"), F.col("best.k").alias("cluster_id"))
 
 
-def assign(points: DataFrame, centroids: DataFrame, clamp: bool = True, strategy: str = "auto", with_points: bool = False) -> DataFrame:
+def assign(points: DataFrame, centroids: DataFrame, clamp: bool = True, strategy: str = "auto", with_points: bool = False, block_bytes: int | None = None) -> DataFrame:
     """Label of every point whose batch has centroids; with_points keeps ``x`` and adds the least ``distance``.
 
-    Packed points (``functions/packed.py``) go to the kernel.
+    Packed points (``functions/packed.py``) go to the kernel. ``block_bytes`` is the size of a file of centroids (BLOCK_BYTES).
     """
     seen = facts(centroids)
-    if is_packed(points, "x"):
+    large = seen.n * seen.dims * 8 > BLOCK_BYTES
+    if strategy != "file" and is_packed(points, "x"):
         strategy = "arrow"
     if strategy == "auto":
         strategy = "expression" if seen.n * seen.dims <= 64 else "arrow"
-    elif strategy == "expression" and seen.n * seen.dims * 8 > BLOCK_BYTES:
-        strategy = "arrow"
+    if large and strategy in ("arrow", "expression"):
+        strategy = "file" if reachable(points.sparkSession) else "arrow"
+    if strategy == "file":
+        files = write_centroids(_with_norm(centroids), seen.dims, _step(seen, block_bytes or BLOCK_BYTES))
+        return assign_mapped(points, files, clamp, with_points)
     out = {"arrow": _by_kernel, "expression": _by_expression}[strategy](points, centroids, seen, clamp)
     return out if with_points else out.select("batch_id", "point_id", "cluster_id")
 

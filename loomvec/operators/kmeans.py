@@ -3,8 +3,8 @@
 Each iteration is one scan: a kernel assigns the points and adds them up over its
 task, and one small shuffle adds up the tasks. Centroids are held by the
 driver and sent to the workers while they fit ``assign.BLOCK_BYTES``; larger
-ones stay in tables, and the same iteration runs as assignment in blocks,
-update and finalise, with a table written for each new set of centroids.
+ones stay in tables, and the same scan maps files of centroids (``mapped.py``),
+with a table written for each new set of centroids.
 
 As in the original operator, the labels returned are those against the centroids
 before the last update; ``tol <= 0`` runs all iterations; otherwise the run stops
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from ..functions.packed import is_packed, unpack
 from ..functions.vectors import rounded, to_precision
-from ..plans.scratch import discard, keep
+from ..plans.scratch import discard, keep, release
 from ..sources.points import random_rows
 from .assign import BLOCK_BYTES, Block, assign, facts, packed_block, validate
 from .bounds import SEEN, SKIPPED, Held, anchor_sums, anchored, bounded_sums
 from .journal import Journal, load_version, save_version
 from .kernel import matrix, nearest, squares
-from .update import PARTIAL, Partials, centroid_finalize, centroid_update_labelled, merge
+from .update import PARTIAL, Partials, centroid_finalize, merge, sums_of_labelled
 
 log_ = logging.getLogger(__name__)
 
@@ -168,9 +168,12 @@ def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tol: float
                     saved.append(share)
                 last, held, move = held, new, _move(held, new)
             else:
-                before = centroids
+                stale, before = before, centroids
                 labelled = assign(points, before, clamp, "arrow", with_points=True)
-                centroids = keep(centroid_finalize(centroid_update_labelled(labelled, n_clusters, dims), before, precision), "centroids")
+                centroids = keep(centroid_finalize(sums_of_labelled(labelled, n_clusters, dims), before, precision), "centroids")
+                release(labelled)
+                if stale is not before:
+                    release(stale)
                 move = largest_move(before, centroids) if watched or journal else None
         except Exception:
             if check:

@@ -135,6 +135,11 @@ def centroid_update_labelled(labelled: DataFrame, k: int, dims: int) -> DataFram
     return dense(merge(_partials(labelled, k, dims), k), labelled, k, dims)
 
 
+def sums_of_labelled(labelled: DataFrame, k: int, dims: int) -> DataFrame:
+    """As centroid_update_labelled, of the clusters that have points: nothing but one scan of the labelled table."""
+    return merge(_partials(labelled, k, dims), k)
+
+
 def gather(points: DataFrame, order: DataFrame, numbered: DataFrame) -> DataFrame:
     """Points in the order of a permutation: row ``position`` is the point whose number is ``perm[position]``.
 

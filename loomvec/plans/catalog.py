@@ -109,8 +109,17 @@ def assign_odd_d(spark, sf):
 
 def assign_k8192_doubled(spark, sf):
     """4096 generated centroids, each twice, so that equal ones lie in different blocks of the kernel."""
+    return _labels(assign(_embeddings(spark, sf), _doubled(spark)))
+
+
+def _doubled(spark):
     one = gaussian_points(spark, 1, 4096, DIMS, 5).select("batch_id", F.col("point_id").cast("int").alias("k"), F.col("x").alias("c"))
-    return _labels(assign(_embeddings(spark, sf), one.unionByName(one.withColumn("k", F.col("k") + 4096))))
+    return one.unionByName(one.withColumn("k", F.col("k") + 4096))
+
+
+def assign_mapped_files(spark, sf):
+    """As assign_k8192_doubled, from five files of centroids that workers map into memory."""
+    return _labels(assign(_embeddings(spark, sf), _doubled(spark), strategy="file", block_bytes=1 << 20))
 
 
 def assign_k_gt_n(spark, sf):
@@ -463,7 +472,7 @@ def queries() -> dict[str, Query]:
         kmeans_iter1, kmeans_labels_5, kmeans_centroids_5, kmeans_batched, kmeans_shift_history, kmeans_tol_stop, reassign_final, inertia_final, inertia_sampled, inertia_delta,
         empty_cluster_count, label_disagreement, centroid_drift, centroid_off_fraction, label_summary, lineitem_kmeans, init_random, datagen_kmeans, operation_counts,
         assign_k8192_doubled, gather_by_permutation, kmeans_half, kmeans_bfloat, kmeans_single, fit_predict, validation_counts, scan_points, sink_labels, stream_assign, inertia_drawn,
-        kmeans_bounds, lineitem_bounds, kmeans_resumed, model_store, stream_accumulate, assign_packed, kmeans_packed, assign_in_sql, source_noise,
+        kmeans_bounds, lineitem_bounds, kmeans_resumed, model_store, stream_accumulate, assign_packed, kmeans_packed, assign_in_sql, source_noise, assign_mapped_files,
     )
     return {f.__name__: f for f in found}
 
@@ -597,6 +606,7 @@ def oracle_sql() -> dict[str, str]:
         "assign_half": _with(_short_points("half"), _c0(), _assign("a0", "c0")) + labels.format("a0"),
         "assign_bfloat": _with(_short_points("bfloat"), _c0(), _assign("a0", "c0")) + labels.format("a0"),
         "assign_k8192_doubled": _with(_P, _normal_points("g", 1, "range(4096)", DIMS, 5), "c0 AS MATERIALIZED (SELECT 0 AS b, id::INT AS k, x AS c FROM g)", _assign("a0", "c0", distance=distance)) + labels.format("a0"),
+        "assign_mapped_files": _with(_P, _normal_points("g", 1, "range(4096)", DIMS, 5), "c0 AS MATERIALIZED (SELECT 0 AS b, id::INT AS k, x AS c FROM g)", _assign("a0", "c0", distance=distance)) + labels.format("a0"),
         "gather_by_permutation": _with(*base, _assign("a0", "c0"), sorted_rows) + f"SELECT position, (SELECT count(*) FROM p q WHERE q.id < o.point_id) AS perm, point_id, x[1] AS x_first, x[{DIMS}] AS x_last FROM o JOIN p ON p.id = o.point_id",
         "kmeans_half": short["half"],
         "kmeans_bfloat": short["bfloat"],

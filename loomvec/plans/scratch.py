@@ -62,6 +62,18 @@ def discard(kept: DataFrame) -> None:
     _delete(kept.sparkSession, _PATHS.pop(kept))
 
 
+def attach(df: DataFrame, path: str) -> DataFrame:
+    """Note that ``df`` reads a path of the application's folder, which goes when ``df`` is released."""
+    _PATHS[df] = path
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """As discard, for a table that may be one of the caller's own, which stays."""
+    if df in _PATHS:
+        discard(df)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for an explicit shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
