@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ordering import dense_index
 from ..plans.scratch import keep, width
-from .lexing import U, Words, hash_words, join, mix, ranges, same_words, slices, split_words
+from .lexing import U, Words, join, mix, ranges, same_words, slices, split_words
 
 RUN = 3
 BUCKETS = 10_000
@@ -91,9 +91,22 @@ def crc_joined(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndar
     return out ^ right
 
 
+def _encoded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each distinct value, in order of appearance, and these values."""
+    out = values.dictionary_encode()
+    return out.indices.to_numpy(), out.dictionary
+
+
+def _strings(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """An Arrow array of the strings that lie one behind the other in ``data``, without a copy of the bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64, copy=False)), pa.py_buffer(data)])
+
+
 def _numbered(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """A number for each distinct word, and the first place of each; words of one hash that differ are told apart."""
-    _, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    number, found = _encoded(pa.array(words.hash))
+    number, first = number.astype(np.int64), np.zeros(len(found), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]  # the first place is written last
     other = np.flatnonzero(~same_words(words, np.arange(len(number)), words, first[number]))
     if len(other):
         raw, more = words.data.tobytes(), {}
@@ -115,16 +128,16 @@ def _array(data: bytes, size: int, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _spelt(words: Words, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spelt(words: Words, number: np.ndarray, first: np.ndarray, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strings of runs, words with a space behind each and a new line behind the last, and where each run begins."""
-    data, texts, at = np.append(words.data, np.uint8(32)), [], [np.zeros(1, np.int64)]
+    length = words.end[first] - words.start[first] + 1
+    data = np.append(words.data, np.uint8(32))[ranges(words.start[first], length)]
+    data[np.cumsum(length) - 1] = 32
+    spelt, texts, at = _strings(data, np.append(0, np.cumsum(length))), [], [np.zeros(1, np.int64)]
     for a in range(0, len(head), TOGETHER):
-        token = ranges(head[a : a + TOGETHER], size[a : a + TOGETHER])
-        length = words.end[token] - words.start[token] + 1
-        ends = np.cumsum(length)
-        text = data[ranges(words.start[token], length)]
-        text[ends - 1] = 32
-        ends = ends[np.cumsum(size[a : a + TOGETHER]) - 1]
+        taken = spelt.take(pa.array(number[ranges(head[a : a + TOGETHER], size[a : a + TOGETHER])]))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[np.cumsum(size[a : a + TOGETHER])]
+        text = np.frombuffer(taken.buffers()[2], np.uint8)[: ends[-1]].copy()
         text[ends - 1] = 10
         texts.append(text)
         at.append(at[-1][-1] + ends)
@@ -149,15 +162,15 @@ def _block(texts: pa.Array, cells: int, block: int) -> Iterator[dict]:
         if int(key.max()) >= (1 << 62) // v:
             key = np.unique(key, return_inverse=True)[1].astype(np.int64)
         key = key * v + later
-    order = np.argsort(key, kind="stable")
-    key, row = key[order], words.row[order]
+    order = np.argsort(key)
+    key = key[order]
     run_new = np.ones(n, bool)
     run_new[1:] = key[1:] != key[:-1]
-    new = run_new.copy()
-    new[1:] |= row[1:] != row[:-1]
-    place = np.flatnonzero(new)
-    count, document, run = np.diff(np.append(place, n)), row[place], np.cumsum(run_new)[place] - 1
+    both = np.sort((np.cumsum(run_new) - 1) * words.rows + words.row[order])  # run and row
+    place = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    count, run, document = np.diff(np.append(place, n)), *np.divmod(both[place], words.rows)
     head = order[run_new]  # a place where each distinct run stands
+    del key, order, both, later
     documents = np.bincount(run)
     mark = words.hash[head]
     for k in range(1, RUN):
@@ -166,11 +179,13 @@ def _block(texts: pa.Array, cells: int, block: int) -> Iterator[dict]:
     cell = (mix(mark) % U(cells)).astype(np.int64)
     hot = documents > max(64, len(place) >> 6)
     cell[hot] = (cell[hot] + block) % cells
+    if cells <= 1 << 16:
+        cell = cell.astype(np.uint16)  # which are sorted by digits
     by_cell = np.argsort(cell, kind="stable")
     head, documents_of, cell_of = head[by_cell], documents[by_cell], cell[by_cell]
     posts = np.argsort(cell[run], kind="stable")
     document, count, post_cell = document[posts], count[posts], cell[run][posts]
-    text, byte_of = _spelt(words, head, size[head])
+    text, byte_of = _spelt(words, number, first, head, size[head])
     found, run_at = np.unique(cell_of, return_index=True)
     run_at, post_at = np.append(run_at, len(cell_of)), np.append(np.searchsorted(post_cell, found), len(post_cell))
     byte_at = byte_of[run_at]
@@ -229,28 +244,23 @@ class Dictionary:
     """The distinct strings of a cell by length: their buckets, and of each run the number of its string of each length (-1: none)."""
 
     def __init__(self, rows: list[dict]):
-        data = np.frombuffer(b"".join(_ZSTD.decompress(r["strings"], r["sizes"][0], asbytes=True) for r in rows), np.uint8)
-        end = np.flatnonzero((data == 32) | (data == 10))
-        start = np.append(0, end[:-1] + 1)
-        head, value = hash_words(data, start, end)
-        closes = data[end] == 10
-        first = np.append(0, np.flatnonzero(closes) + 1)[:-1] if len(end) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(end)))
-        number, place = _numbered(Words(data, start, end, np.zeros(0, np.int64), head, value, first))
-        raw = data.tobytes()
-        spelt = [raw[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())]
-        crc = np.fromiter(map(zlib.crc32, spelt), np.uint32, len(spelt))
-        space = zlib.crc32(b" ")
-        spaced = np.fromiter((zlib.crc32(w, space) for w in spelt), np.uint32, len(spelt))
-        length = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        data = np.frombuffer(b"\n" + b"".join(_ZSTD.decompress(r["strings"], r["sizes"][0], asbytes=True) for r in rows), np.uint8).copy()
+        at = np.flatnonzero((data == 32) | (data == 10))  # before each word, and at the end
+        first = np.flatnonzero(data[at] == 10)
+        first, size = first[:-1], np.diff(first)
+        data[at] = 32
+        number, spelt = _encoded(_strings(data, at))
+        del data, at
+        length = pc.binary_length(spelt).to_numpy()  # with the space before the word
+        spaced = np.fromiter(map(zlib.crc32, spelt.to_numpy(zero_copy_only=False)), np.uint32, len(spelt))
+        crc = crc_joined(np.full(len(spelt), zlib.crc32(b" "), np.uint32), spaced, length - 1)  # what the space added is taken out
         self.buckets, self.strings = [crc % BUCKETS], [number[first]]
         for k in range(1, RUN):
-            there = size > k
-            word = number[first[there] + k]
-            both, at, back = np.unique(self.strings[-1][there].astype(np.int64) * len(spelt) + word, return_index=True, return_inverse=True)
-            shorter, word = both // max(1, len(spelt)), word[at]
-            crc = crc_joined(crc[shorter], spaced[word], length[word] + 1)
-            string = np.full(len(size), -1, np.int64)
+            there = np.flatnonzero(size > k)
+            back, both = _encoded(pa.array(self.strings[-1][there].astype(np.int64) * len(spelt) + number[first[there] + k]))
+            shorter, word = np.divmod(both.to_numpy(), max(1, len(spelt)))
+            crc = crc_joined(crc[shorter], spaced[word], length[word])
+            string = np.full(len(size), -1, np.int32)
             string[there] = back
             self.buckets.append(crc % BUCKETS)
             self.strings.append(string)
@@ -286,7 +296,8 @@ def _unpacked(rows: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray], lis
 def bucket_sums(posted: DataFrame) -> DataFrame:
     """bucket, n: features of all documents in each bucket that has any.
 
-    A cell's sums travel as PARTS packed arrays; each task adds up those of its cells before they are shuffled.
+    A cell's sums travel as PARTS packed arrays, which are shuffled as they are: to add them up in the task that made
+    them would take a second Python worker beside each that holds a cell.
     """
     size, packed = -(-BUCKETS // PARTS), "part int, sums binary"
 
@@ -298,25 +309,18 @@ def bucket_sums(posted: DataFrame) -> DataFrame:
         sums = Dictionary(rows).sums(np.concatenate([np.add.reduceat(c, np.cumsum(m) - m) for m, c in zip(many, counts)]))
         return pa.table({"part": np.arange(PARTS, dtype=np.int32), "sums": [_compressed(sums[p * size : (p + 1) * size])[0] for p in range(PARTS)]})
 
-    def held(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        out: dict[int, np.ndarray] = {}
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
                 sums = _array(sums, 8 * (min(BUCKETS, (p + 1) * size) - p * size), "<i8")
-                out[p] = out[p] + sums if p in out else sums
-        return out
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = held(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([_compressed(s)[0] for s in found.values()], pa.binary())], names=["part", "sums"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, sums in held(batches).items():
+                held[p] = held[p] + sums if p in held else sums
+        for p, sums in held.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at + p * size, pa.int32()), pa.array(sums[at])], names=["bucket", "n"])
 
-    added = posted.groupBy("cell").applyInArrow(total, packed).mapInArrow(add, packed)
-    return added.repartition("part").mapInArrow(spread, "bucket int, n long")
+    added = posted.groupBy("cell").applyInArrow(total, packed)
+    return added.repartition(PARTS, "part").mapInArrow(spread, "bucket int, n long")
 
 
 def bucket_gains(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -353,8 +357,7 @@ def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col
             cut = np.cumsum([0, *map(len, many)])
             for r, m, d, c, a, b in zip(rows, many, documents, counts, cut[:-1], cut[1:]):
                 which, place = np.unique(d, return_inverse=True)
-                sums = np.zeros(len(which), np.int64)
-                np.add.at(sums, place, np.repeat(of_run[a:b], m) * c)
+                sums = np.bincount(place, np.repeat(of_run[a:b], m) * c, len(which))  # whole numbers far below 2**53
                 put(block=r["block"], documents=_compressed(which.astype("<u4"))[0], sums=_compressed(sums.astype("<i8"))[0], words=np.int64(len(which)).tobytes())
         kinds = {"block": pa.int64()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})

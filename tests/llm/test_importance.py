@@ -106,6 +106,23 @@ def test_a_hot_run_goes_to_several_cells():
     assert first[0] >= 3000 and where[0] != where[1]
 
 
+def test_a_stage_holds_one_python_worker_a_task(spark, docs):
+    cells = importance.postings(docs([(i, f"word {i} of") for i in range(20)]), "doc_id", "text", 5)
+    plan = importance.bucket_sums(cells)._jdf.queryExecution().executedPlan().toString()
+    stages = [len(re.findall(r"\w+In(?:Arrow|Pandas)\b", stage)) for stage in plan.split("Exchange")]
+    assert sum(stages) == 3 and max(stages) == 1  # each Python operator of a stage has a worker of its own, beside the others
+
+
+def test_a_dictionary_has_each_string_once():
+    import pyarrow as pa
+
+    texts = ["a b a b a b", "b a", "", "é a b", "x" * 100_000 + " a b " + "x" * 100_000, "a\nb c"]
+    rows = [r for k in (0, 3) for r in importance._block(pa.array(texts[k:] + texts[:k]), 1, k) if "cell" in r]
+    found = importance.Dictionary(rows)
+    want = [{" ".join(w[i : i + n]).encode() for w in map(WORD.findall, texts) for i in range(len(w) - n + 1)} for n in (1, 2, 3)]
+    assert [sorted(b.tolist()) for b in found.buckets] == [sorted(zlib.crc32(s) % 10_000 for s in strings) for strings in want]
+
+
 def test_empty_tables(spark, docs):
     assert run(spark, docs, []) == []
     nothing = spark.createDataFrame([], "item_id long, text string")
