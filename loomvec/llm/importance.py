@@ -7,8 +7,9 @@ text's end it is shorter.
 
 1. ``postings``: a task takes documents in blocks of some BLOCK_BYTES and counts
    each block's distinct runs by document. Runs are dealt into cells by their
-   words, and a row holds what a block has for a cell: the strings, once each,
-   and their documents and counts, compressed. A run that makes up more than
+   words. Blocks are held, compressed, up to HELD_BYTES, and a row has what such
+   a group of blocks has for a cell: the strings, once a block each, and their
+   documents and counts, compressed. A run that makes up more than
    a 64th of its block goes to a cell of the block's own choice, so one very common
    string is never dealt to one task.
 2. ``bucket_sums``: the strings of a cell, from all blocks, become a dictionary:
@@ -17,14 +18,14 @@ text's end it is shorter.
    words. Buckets are summed over all cells.
 3. ``weights``: the gains of all buckets, one array of BUCKETS numbers, come back
    to each cell's dictionary and from there to the documents' counts; sums go
-   back to the blocks, which give one row for each document. The shuffle of the
+   back to the groups, which give one row for each document. The shuffle of the
    postings is made once for steps 2 and 3.
 4. ``draw``: Gumbel noise from a hash of the identifier makes the highest scores
    a draw without replacement; positions come from range partitions.
 
 A string that is a prefix of others is hashed once in each cell that holds it.
-Memory is bounded by BLOCK_BYTES, CELL_BYTES and the longest text; the number of
-cells follows the size of the texts. Block numbers come from the place in the
+Memory is bounded by BLOCK_BYTES, HELD_BYTES, CELL_BYTES and the longest text; the
+number of cells follows the size of the texts. Block numbers come from the place in the
 input, which a repeated task sees again.
 
 Null and empty texts have no features and weight 0; they keep their row. Very
@@ -55,6 +56,13 @@ BUCKETS = 10_000
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 50_000
 CELL_BYTES = 4 << 20
+#: Compressed postings that a task holds, so that its rows do not get too small where cells are many.
+HELD_BYTES = 48 << 20
+HELD_ROWS = 500_000
+#: Ranges of cells in which held postings are compressed.
+SHELVES = 64
+#: Postings sent on at once.
+SENT_BYTES = 4 << 20
 #: Pieces in which the sums of all buckets are shuffled.
 PARTS = 16
 #: Runs whose strings are put together at once.
@@ -63,6 +71,7 @@ POSTINGS = "cell int, block long, strings binary, documents binary, counts binar
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _ZSTD = pa.Codec("zstd", compression_level=3)
+_FAST = pa.Codec("zstd", compression_level=1)
 
 
 def _powers() -> np.ndarray:
@@ -117,10 +126,10 @@ def _numbered(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return number, first
 
 
-def _compressed(x: np.ndarray) -> tuple[bytes, int]:
+def _compressed(x: np.ndarray, codec: pa.Codec = _ZSTD) -> tuple[bytes, int]:
     """An array's bytes, the lowest of all numbers first, and their size before compression."""
     raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
-    return _ZSTD.compress(raw, asbytes=True), raw.nbytes
+    return codec.compress(raw, asbytes=True), raw.nbytes
 
 
 def _array(data: bytes, size: int, kind: str = "<u4") -> np.ndarray:
@@ -144,13 +153,9 @@ def _spelt(words: Words, number: np.ndarray, first: np.ndarray, head: np.ndarray
     return np.concatenate(texts), np.concatenate(at)
 
 
-def _block(texts: pa.Array, cells: int, block: int) -> Iterator[dict]:
-    """A block's postings, one row a cell."""
-    words = split_words(texts, lower=True, separator=_SEPARATOR)
-    n, v = len(words.hash), 0
-    yield {"words": words.counts().astype("<i8")}
-    if not n:
-        return
+def _dealt(words: Words, cells: int, block: int) -> tuple[np.ndarray, ...]:
+    """A block's runs by cell: the cells, where the runs, postings and bytes of each begin; strings, documents a run, documents and counts."""
+    n = len(words.hash)
     number, first = _numbered(words)
     v = len(first) + 1
     left = words.first[1:][words.row] - np.arange(n)  # words of the text from here on
@@ -188,11 +193,56 @@ def _block(texts: pa.Array, cells: int, block: int) -> Iterator[dict]:
     text, byte_of = _spelt(words, number, first, head, size[head])
     found, run_at = np.unique(cell_of, return_index=True)
     run_at, post_at = np.append(run_at, len(cell_of)), np.append(np.searchsorted(post_cell, found), len(post_cell))
-    byte_at = byte_of[run_at]
-    for i, c in enumerate(found.tolist()):
-        mine = slice(run_at[i], run_at[i + 1]), slice(post_at[i], post_at[i + 1])
-        parts = _compressed(text[byte_at[i] : byte_at[i + 1]]), _compressed(np.concatenate([documents_of[mine[0]], document[mine[1]]]).astype("<u4")), _compressed(count[mine[1]].astype("<u4"))
-        yield {"cell": c, "strings": parts[0][0], "documents": parts[1][0], "counts": parts[2][0], "sizes": [*(s for _, s in parts), int(run_at[i + 1] - run_at[i])]}
+    return found, run_at, post_at, byte_of[run_at], text, documents_of, document, count
+
+
+class Group:
+    """Blocks whose postings are written together."""
+
+    def __init__(self, cells: int):
+        self.cells, self.step = cells, -(-cells // SHELVES)
+        self.shelves: list[list[tuple]] = [[] for _ in range(0, cells, self.step)]
+        self.words: list[np.ndarray] = []
+        self.rows = self.bytes = 0
+
+    def add(self, texts: pa.Array, block: int) -> None:
+        words = split_words(texts, lower=True, separator=_SEPARATOR)
+        self.words.append(words.counts().astype("<i8"))
+        if len(words.hash):
+            found, *at, text, documents_of, document, count = _dealt(words, self.cells, block)
+            document = document + self.rows
+            cut = np.searchsorted(found, np.arange(0, self.cells + self.step, self.step))
+            for shelf, a, b in zip(self.shelves, cut[:-1].tolist(), cut[1:].tolist()):
+                if b > a:
+                    run, post, byte = (slice(x[a], x[b]) for x in at)
+                    parts = text[byte], documents_of[run].astype("<u4"), document[post].astype("<u4"), count[post].astype("<u4")
+                    shelf.append((found[a:b].copy(), [x[a : b + 1] - x[a] for x in at], [_compressed(x, _FAST) for x in parts]))
+                    self.bytes += sum(len(data) for data, _ in shelf[-1][2]) + 32 * (b - a)
+        self.rows += words.rows
+
+    def postings(self) -> Iterator[dict]:
+        """The words of each text, then one row a cell; what has been given is held no longer."""
+        yield {"words": np.concatenate(self.words)}
+        for shelf in self.shelves:
+            cells: dict[int, list[tuple]] = {}
+            for found, (run_at, post_at, byte_at), parts in shelf:
+                text, documents_of, document, count = (_array(*x, kind) for x, kind in zip(parts, ("u1", "<u4", "<u4", "<u4")))
+                ends = run_at.tolist(), post_at.tolist(), byte_at.tolist()
+                for i, c in enumerate(found.tolist()):
+                    run, post, byte = (slice(x[i], x[i + 1]) for x in ends)
+                    cells.setdefault(c, []).append((text[byte], documents_of[run], document[post], count[post]))
+            shelf.clear()
+            for c, parts in cells.items():
+                text, documents_of, document, count = (np.concatenate(x) for x in zip(*parts))
+                packed = _compressed(text), _compressed(np.concatenate([documents_of, document])), _compressed(count)
+                yield {"cell": c, **dict(zip(("strings", "documents", "counts"), (data for data, _ in packed))), "sizes": [*(size for _, size in packed), len(documents_of)]}
+
+
+def _block(texts: pa.Array, cells: int, block: int) -> Iterator[dict]:
+    """A block's postings by themselves."""
+    group = Group(cells)
+    group.add(texts, block)
+    yield from group.postings()
 
 
 def cell_count(texts: DataFrame, text_col: str) -> int:
@@ -202,37 +252,49 @@ def cell_count(texts: DataFrame, text_col: str) -> int:
 
 
 def postings(docs: DataFrame, id_col: str | None, text_col: str, cells: int) -> DataFrame:
-    """Rows of a block's runs for a cell, and one row a block of its documents' identifiers and words."""
+    """Rows of the runs of a group of blocks for a cell, and one row a group of its documents' identifiers and words; ``block`` is the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, done, groups, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        group, ids = Group(cells), []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             nonlocal done, size
             table = pa.Table.from_batches(held).combine_chunks()
-            block = (task << 32) + done
+            group.add(table.column("text").combine_chunks(), (task << 32) + done)
+            ids.append(table.column("id").combine_chunks())
             done, size = done + 1, 0
             held.clear()
-            ids = table.column("id")
-            fields = {f.name: [] for f in schema}
-            for row in _block(table.column("text").combine_chunks(), cells, block):
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal group, groups
+            number, found = (task << 32) + groups, pa.chunked_array(ids)
+            fields, sent = {f.name: [] for f in schema}, 0
+            for row in group.postings():
                 if "words" in row:
-                    known = np.asarray(ids.is_valid())
-                    row = {"cell": block % cells, "ids": ids.fill_null(0).to_numpy().astype("<i8").tobytes(), "known": known.astype(np.uint8).tobytes(), "words": row["words"].tobytes()}
+                    known = np.asarray(found.is_valid())
+                    row = {"cell": number % cells, "ids": found.fill_null(0).to_numpy().astype("<i8").tobytes(), "known": known.astype(np.uint8).tobytes(), "words": row["words"].tobytes()}
                 for name in fields:
-                    fields[name].append(block if name == "block" else row.get(name))
-                if len(fields["cell"]) >= 1000:
+                    fields[name].append(number if name == "block" else row.get(name))
+                sent += sum(len(x) for x in row.values() if isinstance(x, bytes))
+                if len(fields["cell"]) >= 1000 or sent >= SENT_BYTES:
                     yield pa.RecordBatch.from_pydict(fields, schema=schema)
-                    fields = {f.name: [] for f in schema}
+                    fields, sent = {f.name: [] for f in schema}, 0
             yield pa.RecordBatch.from_pydict(fields, schema=schema)
+            group, groups = Group(cells), groups + 1
+            ids.clear()
 
         for batch in batches:
             for part in slices(batch, "text"):
                 held.append(part)
                 size += part.column("text").nbytes
                 if size >= BLOCK_BYTES or sum(p.num_rows for p in held) >= BLOCK_ROWS:
-                    yield from flush()
+                    close()
+                    if group.bytes >= HELD_BYTES or group.rows >= HELD_ROWS:
+                        yield from flush()
         if held:
+            close()
+        if ids:
             yield from flush()
 
     schema = pa.schema([("cell", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("strings", "documents", "counts")), ("sizes", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("ids", "known", "words"))])

@@ -113,6 +113,24 @@ def test_a_stage_holds_one_python_worker_a_task(spark, docs):
     assert sum(stages) == 3 and max(stages) == 1  # each Python operator of a stage has a worker of its own, beside the others
 
 
+def test_blocks_of_a_task_share_rows(spark, docs, odd_rows, monkeypatch):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        monkeypatch.setattr(importance, "BLOCK_ROWS", 7)
+        rows = odd(odd_rows)
+        one = docs(rows).coalesce(1)
+        posted = importance.postings(one, "doc_id", "text", 200).collect()
+        cells = [r.cell for r in posted if r.strings is not None]
+        assert len(cells) == len(set(cells)) and [len(r.words) for r in posted if r.words is not None] == [8 * len(rows)]
+        monkeypatch.setattr(importance, "HELD_BYTES", 2000)
+        assert len({r.block for r in importance.postings(one, "doc_id", "text", 200).collect()}) > 1
+        assert order(importance.draw(one, spark.createDataFrame([(i, t) for i, t in enumerate(TARGET)], "item_id long, text string")).collect()) == order(plain(rows, TARGET))
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_a_dictionary_has_each_string_once():
     import pyarrow as pa
 
